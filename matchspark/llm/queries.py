@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from matchspark.llm import byte_bpe, chat_format, language_id, toxicity
+from matchspark.llm import byte_bpe, chat_format, language_id, packing, quality, toxicity
 
-MODULES = [byte_bpe, chat_format, language_id, toxicity]
+MODULES = [byte_bpe, chat_format, language_id, packing, quality, toxicity]
 
 
 def queries() -> dict:
