@@ -181,9 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 def _calibrate(rows: DataFrame, model: Model) -> tuple[float, float]:
     """Logistic fit of the labels on the evidence of the (bounded) sample, both classes weighing alike."""
-    found = _evidence(rows.select(F.col("toxic").alias("_id"), "text"), model, "int").select("_id", "evidence").collect()
+    found = _evidence(rows.select("toxic", "text"), model).select("toxic", "evidence").collect()
     x = np.array([r["evidence"] for r in found])
-    y = np.array([float(r["_id"]) for r in found])
+    y = np.array([float(r["toxic"]) for r in found])
     if not len(x) or y.min() == y.max():
         return 0.0, 0.0
     mean, spread = x.mean(), x.std() + 1e-9
@@ -202,26 +202,28 @@ def _calibrate(rows: DataFrame, model: Model) -> tuple[float, float]:
     return float(a / spread), float(b - a * mean / spread)
 
 
-def _evidence(rows: DataFrame, model: Model, kind: str) -> DataFrame:
-    """_id, evidence, n_passages of rows (_id, text)."""
+def _evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (the last column is the text) with evidence and n_passages."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
+    names = [*rows.columns, "evidence", "n_passages"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, buf, offsets in blocks(batch.column(1)):
+            for at, buf, offsets in blocks(batch.column(batch.num_columns - 1)):
                 h, first = token_hashes(buf, offsets)
                 b = first.tolist()
                 found = [evidence(h[s:e], sent.value) for s, e in zip(b, b[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int32())], ["_id", "evidence", "n_passages"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(found)).columns, pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int32())], names)
 
-    return rows.mapInArrow(run, f"_id {kind}, evidence double, n_passages int")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, evidence double, n_passages int")
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, n_passages (significant passages)."""
-    found = _evidence(docs.select(F.col("doc_id").alias("_id"), "text"), model, docs.schema["doc_id"].dataType.simpleString())
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` with score and n_passages (significant passages)."""
+    found = _evidence(docs.select(*(F.col(c).alias(f"_{c}") for c in keep), "text"), model)
     value = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("evidence") + F.lit(model.offset)))) if model.slope else F.lit(0.0)
-    return found.select(F.col("_id").alias("doc_id"), value.alias("score"), "n_passages")
+    return found.select(*(F.col(f"_{c}").alias(c) for c in keep), value.alias("score"), "n_passages")
 
 
 def find_passages(docs: DataFrame, model: Model) -> DataFrame:
