@@ -99,28 +99,32 @@ def job_totals(asked: DataFrame, c: Config = Config()) -> DataFrame:
     return asked.groupBy("job_id").agg(F.sum(requirement_weight(F.col("requirement"), c)).alias("possible"), F.count(F.lit(1)).alias("parsed_count"), F.array_sort(F.collect_list("name")).alias("names"))
 
 
-def earned_skills(asked: DataFrame, resume_skills: DataFrame, c: Config = Config()) -> DataFrame:
-    """resume_id, job_id, earned, matching_skills of pairs that share a skill."""
-    held = resume_skills.select("resume_id", "skill_id").distinct()
-    return asked.join(held, "skill_id").groupBy("resume_id", "job_id").agg(F.sum(requirement_weight(F.col("requirement"), c)).alias("earned"), F.array_sort(F.collect_list("name")).alias("matching_skills"))
-
-
 def skill_recall(asked: DataFrame, resume_skills: DataFrame, pairs: DataFrame, c: Config = Config()) -> DataFrame:
-    """pairs (resume_id, job_id) with recall, confidence, parsed_count, matching_skills, missing_skills, skills_unparsed."""
-    out = pairs.join(job_totals(asked, c), "job_id", "left").join(earned_skills(asked, resume_skills, c), ["resume_id", "job_id"], "left")
-    none = F.array().cast("array<string>")
-    matching = F.coalesce("matching_skills", none)
+    """pairs (resume_id, job_id) with recall, confidence, parsed_count, skills_unparsed."""
+    held = resume_skills.select("resume_id", "skill_id").distinct()
+    weighed = asked.select("job_id", "skill_id", requirement_weight(F.col("requirement"), c).alias("w"))
+    earned = weighed.join(held, "skill_id").groupBy("resume_id", "job_id").agg(F.sum("w").alias("earned"))
+    totals = weighed.groupBy("job_id").agg(F.sum("w").alias("possible"), F.count(F.lit(1)).alias("parsed_count"))
+    out = pairs.join(totals, "job_id", "left").join(earned, ["resume_id", "job_id"], "left")
     return out.select(
         *pairs.columns,
         (F.coalesce("earned", F.lit(0.0)) / F.col("possible")).alias("skill_recall"),
         F.when(F.col("parsed_count").isNotNull(), skill_confidence(F.col("parsed_count"), c)).alias("skill_confidence"),
         F.coalesce("parsed_count", F.lit(0)).cast("long").alias("parsed_count"),
-        matching.alias("matching_skills"),
-        F.coalesce(F.array_except("names", matching), none).alias("missing_skills"),
         F.col("parsed_count").isNull().alias("skills_unparsed"),
     )
 
 
+def with_skill_names(matches: DataFrame, asked: DataFrame, resume_skills: DataFrame) -> DataFrame:
+    """matches with matching_skills and missing_skills, by name. For all pairs this collects what every job asks for once a profile."""
+    held = resume_skills.select("resume_id", "skill_id", F.lit(True).alias("held")).distinct()
+    rows = matches.select("resume_id", "job_id").join(asked.select("job_id", "skill_id", "name"), "job_id").join(held, ["resume_id", "skill_id"], "left")
+    names = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("name"))))
+    lists = rows.groupBy("resume_id", "job_id").agg(names(F.col("held").isNotNull()).alias("matching_skills"), names(F.col("held").isNull()).alias("missing_skills"))
+    none = F.array().cast("array<string>")
+    return matches.join(lists, ["resume_id", "job_id"], "left").withColumns({c: F.coalesce(c, none) for c in ("matching_skills", "missing_skills")})
+
+
 def passage_similarity(resume_vectors: DataFrame, chunks: DataFrame, c: Config = Config(), known_profiles: int | None = None) -> DataFrame:
     """resume_id, job_id, mean of the top_k cosines of a posting's passages.
 
@@ -140,7 +144,7 @@ def passage_similarity(resume_vectors: DataFrame, chunks: DataFrame, c: Config =
     return cosines.withColumn("k", F.row_number().over(best)).where(F.col("k") <= c.top_k).groupBy("resume_id", "job_id").agg(F.avg("cos").alias("mean_cos"))
 
 
-def score_all(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, resume_skills: DataFrame, chunks: DataFrame, resume_vectors: DataFrame, c: Config = Config()) -> DataFrame:
+def score_all(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, resume_skills: DataFrame, chunks: DataFrame, resume_vectors: DataFrame, c: Config = Config(), names: bool = True) -> DataFrame:
     """Every pair of resumes (resume_id, candidate_years) and jobs (job_id, required_years), scored.
 
     The pair table is the result's size by definition; the smaller side of it
@@ -154,12 +158,13 @@ def score_all(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, skills
     scored = scored.withColumn("semantic_score", rescale_clamp(F.col("mean_cos"), c.cos_lo, c.cos_hi)).withColumn("multiplier", experience_multiplier(F.col("required_years"), F.col("candidate_years")))
     scored = scored.withColumn("overall", overall_score(F.col("skill_recall"), F.col("skill_confidence"), F.col("semantic_score"), F.col("multiplier"), c))
     r4 = lambda name: F.round(name, 4)
-    return scored.select(
+    scored = scored.select(
         "resume_id", "job_id", r4("overall").alias("overall_score"), r4("semantic_score").alias("semantic_score"),
         r4(F.col("skill_recall") * F.col("skill_confidence")).alias("skill_score"), r4("skill_recall").alias("skill_recall"), r4("skill_confidence").alias("skill_confidence"),
         "parsed_count", "skills_unparsed", F.col("multiplier").alias("experience_multiplier"), tier(F.col("overall"), F.col("skills_unparsed"), c).alias("tier"),
-        "matching_skills", "missing_skills", F.lit(SCORER_VERSION).alias("model_version"),
+        F.lit(SCORER_VERSION).alias("model_version"),
     )
+    return with_skill_names(scored, asked, resume_skills) if names else scored
 
 
 def load_postings(jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, chunks: DataFrame) -> DataFrame:
