@@ -37,12 +37,12 @@ def incremental_ingest(spark: SparkSession, landing: str, table: str, checkpoint
     ``normalise`` turns landed rows to postings with source, source_job_id,
     fetched_at and seq. A version folder is written for each micro-batch and
     named by it, so that a batch which is tried again writes the same version;
-    readers take the newest complete one. State holds only the keys of payloads
-    within the watermark.
+    readers take the newest complete one. A record that is delivered twice is
+    dropped; the state for that holds only keys within the watermark.
     """
     rows = spark.readStream.schema(LANDED).json(landing)
     payload = F.xxhash64("payload").alias("payload_hash")
-    fresh = rows.select("*", payload).withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(["source", "payload_hash"]).drop("payload_hash")
+    fresh = rows.select("*", payload).withWatermark("fetched_at", watermark).dropDuplicatesWithinWatermark(["source", "fetched_at", "seq", "payload_hash"]).drop("payload_hash")
 
     def write(batch: DataFrame, number: int) -> None:
         incoming = with_dedup_hash(normalise(batch))
