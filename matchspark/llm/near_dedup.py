@@ -8,8 +8,8 @@
    nodes of up to ``SMALL`` classes are compared exhaustively on two-bit
    sketches, larger ones branch again; what is still large at ``DEPTH`` shares
    so many min-wise values that its classes are taken for similar as they are.
-   A pair of similarity s lives on at a node with chance 1 - exp(-BRANCHES * s)
-   or more; over all trees the loss at s = 0.8 is below 1e-4.
+   A pair of similarity 0.8 is lost by all trees with a chance below 1e-11 where
+   roots suffice, and of about 1e-7, 1e-5, 1e-4 where 2, 3, 4 levels are needed.
 3. Candidate components are verified on full sets: the members' texts come
    together in blocks of bounded weight (a component beyond one block is dealt
    to all pairs of its blocks), and a search from text to text finds all links
@@ -38,7 +38,8 @@ from matchspark.llm._text import blocks, mix, sequence_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 FUNCTIONS, CHOOSE_FROM = 64, 32
-TREES, BRANCHES, SMALL, DEPTH = 10, 2, 64, 5
+#: A root chooses 2 functions on average, any other node 1 / THRESHOLD: a pair at the threshold then lives on in one child on average.
+TREES, BRANCHES, SMALL, DEPTH = 16, (2.0, 1.25), 64, 4
 #: Equal two-bit values of 64 below which a pair of similarity 0.8 falls with a chance of about 1e-5.
 LEAST_EQUAL = 42
 #: Shingles (and ROW_WEIGHT for each text) that a block of the verification holds.
@@ -102,9 +103,9 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, a long, b long, values array<int>")
 
 
-def _children(node: Column, values: Column) -> Column:
+def _children(node: Column, values: Column, branches: float) -> Column:
     """The children of a node that a class with these values goes to."""
-    chance = (1 << 32) * BRANCHES // CHOOSE_FROM
+    chance = int((1 << 32) * branches / CHOOSE_FROM)
     goes = lambda i: F.pmod(F.xxhash64(node, i), F.lit(1 << 32)) < F.lit(chance)
     return F.transform(F.filter(F.sequence(F.lit(0), F.lit(CHOOSE_FROM - 1)), goes), lambda i: F.xxhash64(node, i, F.get(values, i)))
 
@@ -120,7 +121,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             stepped = classes.select("doc_id", "a", "b", F.explode(roots).alias("node"), "values")
         else:
             stepped = at.hint("merge").join(own, F.col("doc_id") == F.col("_doc")).select("doc_id", "a", "b", "node", "values")
-        stepped = stepped.select("doc_id", "a", "b", F.explode(_children(F.col("node"), F.col("values"))).alias("node"))
+        stepped = stepped.select("doc_id", "a", "b", F.explode(_children(F.col("node"), F.col("values"), BRANCHES[depth > 1])).alias("node"))
         stepped = keep(stepped, "nodes")
         sizes = keep(stepped.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         sized = keep(stepped.hint("merge").join(sizes, "node"), "sized")
