@@ -72,7 +72,7 @@ def cosine_similarity(a: Column, b: Column, strict: bool = True) -> Column:
 def rescale_clamp(mean: Column, lo: float, hi: float) -> Column:
     if hi <= lo:
         return F.when(mean.isNull(), 0.0).when(mean >= hi, 1.0).otherwise(0.0)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mean - F.lit(lo)) / F.lit(hi - lo))), F.lit(0.0))
+    return F.when(mean.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mean - F.lit(lo)) / F.lit(hi - lo))))
 
 
 def experience_multiplier(required: Column, candidate: Column) -> Column:
@@ -108,7 +108,7 @@ def skill_recall(asked: DataFrame, resume_skills: DataFrame, pairs: DataFrame, c
     out = pairs.join(totals, "job_id", "left").join(earned, ["resume_id", "job_id"], "left")
     return out.select(
         *pairs.columns,
-        (F.coalesce("earned", F.lit(0.0)) / F.col("possible")).alias("skill_recall"),
+        F.when(F.col("possible").isNotNull(), F.least(F.lit(1.0), F.coalesce("earned", F.lit(0.0)) / F.col("possible"))).alias("skill_recall"),  # sums may differ in the last bit
         F.when(F.col("parsed_count").isNotNull(), skill_confidence(F.col("parsed_count"), c)).alias("skill_confidence"),
         F.coalesce("parsed_count", F.lit(0)).cast("long").alias("parsed_count"),
         F.col("parsed_count").isNull().alias("skills_unparsed"),

@@ -76,7 +76,7 @@ cosines AS (SELECT resume_id, job_id, list_cosine_similarity(r.vec, c.vec) AS co
 best AS (SELECT resume_id, job_id, avg(cos) AS mean_cos FROM (SELECT *, row_number() OVER (PARTITION BY resume_id, job_id ORDER BY cos DESC) AS k FROM cosines) WHERE k <= 3 GROUP BY 1, 2),
 parts AS (
   SELECT r.resume_id, j.job_id, title, coalesce(earned, 0) / possible AS recall, sqrt(least(1.0, parsed_count / 6.0)) AS confidence, coalesce(parsed_count, 0) AS parsed_count,
-         parsed_count IS NULL AS skills_unparsed, coalesce(greatest(0, least(1, (mean_cos + 0.1) / 1.0)), 0) AS semantic,
+         parsed_count IS NULL AS skills_unparsed, CASE WHEN mean_cos IS NULL THEN 0 ELSE greatest(0, least(1, mean_cos + 0.1::DOUBLE)) END AS semantic,
          CASE WHEN required_years - candidate_years IS NULL OR required_years - candidate_years <= 0 THEN 1.0 WHEN required_years - candidate_years <= 1 THEN 0.95 WHEN required_years - candidate_years <= 3 THEN 0.85 ELSE 0.7 END::DOUBLE AS mult
   FROM jobs j CROSS JOIN resumes r LEFT JOIN totals t ON t.job_id = j.job_id LEFT JOIN earned e ON e.job_id = j.job_id AND e.resume_id = r.resume_id LEFT JOIN best b ON b.job_id = j.job_id AND b.resume_id = r.resume_id),
 scored AS (

@@ -68,9 +68,11 @@ def normalize_sectioned_board(raw: DataFrame, payload: str = "payload", company:
     r = raw.select(F.col(company).alias("c"), F.explode(F.from_json(payload, SECTIONED_PAYLOAD)).alias("r")).select("c", "r.*")
     # the texts of the lists are decoded as one column with a mark between, since the decoder takes columns
     mark = "\u0001"
-    bodies = F.split(X.html_to_text(F.array_join(F.transform("lists", lambda b: F.translate(F.coalesce(b["content"], F.lit("")), mark, "")), f"\n{mark}\n")), f"\n?{mark}\n?")
+    joined = F.array_join(F.transform("lists", lambda b: F.translate(F.coalesce(b["content"], F.lit("")), mark, "")), f"\n{mark}\n")
+    r = r.withColumn("_joined", joined).withColumns({"_bodies": X.html_to_text(F.col("_joined")), "_open": X.html_to_text(F.col("description")), "_close": X.html_to_text(F.col("additional"))})
+    bodies = F.split("_bodies", f"\n*{mark}\n*")
     pairs = F.transform(F.coalesce("lists", F.array().cast("array<struct<text:string,content:string>>")), lambda b, i: F.struct(b["text"].alias("text"), F.trim(F.coalesce(F.get(bodies, i), F.lit(""))).alias("content")))
-    r = r.withColumn("d", sections_to_text(X.html_to_text(F.col("description")), pairs, X.html_to_text(F.col("additional"))))
+    r = r.withColumn("d", sections_to_text(F.col("_open"), pairs, F.col("_close")))
     place, kind = F.col("categories.location"), F.lower(F.coalesce("workplaceType", F.lit("")))
     return _posting(r.where("coalesce(id, '') <> ''"), source, {
         "source_job_id": F.concat_ws(":", "c", "id"), "title": F.trim("text"), "company": F.col("c"), "location": place,
