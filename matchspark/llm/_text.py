@@ -8,8 +8,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one block holds, unless a single text is longer.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text that one block holds, unless a single text is longer; so that its powers fit in 2**20 numbers.
+BLOCK_BYTES = (1 << 20) - 4096
 
 #: Fixed odd multiplier of the rolling byte hash, and of the rolling word hash.
 BYTE_BASE = 0x9E3779B97F4A7C15
@@ -30,23 +30,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
-def _powers_of(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, dtype=np.uint64)
-    out[0] = 1
+@lru_cache(maxsize=4)
+def _powers_of(base: int) -> np.ndarray:
+    return _computed(base, 1 << 20)
+
+
+def _computed(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
     return np.multiply.accumulate(out)
 
 
 def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 … base**(n-1) modulo 2**64, or those of its inverse."""
+    """base**0 … base**(n-1) modulo 2**64, or those of its inverse. Only those of one block are kept."""
     if inverse:
         base = pow(base, -1, 1 << 64)
-    size = 1 << max(12, int(n - 1).bit_length())
-    if size > 1 << 23:  # one very long text: not worth keeping
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-    return _powers_of(base, size)[:n]
+    return _powers_of(base)[:n] if n <= 1 << 20 else _computed(base, n)
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,29 +105,33 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
         langs, prior = sent.value["langs"], sent.value["prior"]
         columns = [np.ascontiguousarray(sent.value["matrix"][:, k]) for k in range(len(langs))]
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            pred, probability = [], []
-            for _, own in _in_blocks(texts):
-                if not langs:
-                    pred += [UNKNOWN] * len(own)
-                    probability += [0.0] * len(own)
-                    continue
-                total = np.tile(prior, (len(own), 1))
-                for found, bounds in gram_buckets(own, buckets):
-                    for k, column in enumerate(columns):
-                        sums = np.concatenate([np.zeros(1), np.cumsum(column[found], dtype=np.float64)])
-                        total[:, k] += sums[bounds[1:]] - sums[bounds[:-1]]
-                odds = np.exp(total - total.max(axis=1, keepdims=True))
-                best = total.argmax(axis=1)
-                p = odds[np.arange(len(own)), best] / odds.sum(axis=1)
-                for t, b, x in zip(own, best.tolist(), p.tolist()):
-                    known = _LETTER.search(t) is not None
-                    pred.append(langs[b] if known else UNKNOWN)
-                    probability.append(x if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(probability, pa.float64())], [*keep, "lang_pred", "score"])
-
+            size = pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 1)), 0).to_numpy().cumsum()
+            at = 0
+            while at < batch.num_rows:  # slices of about BLOCK_CHARS, so that what is held in Python stays small
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK_CHARS, side="right")))
+                part = batch.slice(at, to - at)
+                at = to
+                own = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                if langs:
+                    total = np.tile(prior, (len(own), 1))
+                    for found, bounds in gram_buckets(own, buckets):
+                        for k, column in enumerate(columns):
+                            sums = np.concatenate([np.zeros(1), np.cumsum(column[found], dtype=np.float64)])
+                            total[:, k] += sums[bounds[1:]] - sums[bounds[:-1]]
+                    odds = np.exp(total - total.max(axis=1, keepdims=True))
+                    best = total.argmax(axis=1)
+                    p = odds[np.arange(len(own)), best] / odds.sum(axis=1)
+                    known = [_LETTER.search(t) is not None for t in own]
+                    pred = [langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known)]
+                    probability = [x if ok else 0.0 for x, ok in zip(p.tolist(), known)]
+                else:
+                    pred, probability = [UNKNOWN] * len(own), [0.0] * len(own)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in out), pa.array(pred, pa.string()), pa.array(probability, pa.float64())], [*keep, "lang_pred", "score"])
+
+    columns_in = [*(c for c in keep if c != "text"), "text"]  # the text crosses once, as the last column
+    out = [columns_in.index(c) for c in keep]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return docs.select(*columns_in).mapInArrow(score, f"{schema}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -221,9 +221,9 @@ def _evidence(rows: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with score and n_passages (significant passages)."""
-    found = _evidence(docs.select(*(F.col(c).alias(f"_{c}") for c in keep), "text"), model)
+    found = _evidence(docs.select(*(F.col(c).alias(f"_{c}") for c in keep if c != "text"), "text"), model)  # the text crosses once
     value = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("evidence") + F.lit(model.offset)))) if model.slope else F.lit(0.0)
-    return found.select(*(F.col(f"_{c}").alias(c) for c in keep), value.alias("score"), "n_passages")
+    return found.select(*(F.col(c if c == "text" else f"_{c}").alias(c) for c in keep), value.alias("score"), "n_passages")
 
 
 def find_passages(docs: DataFrame, model: Model) -> DataFrame:
