@@ -86,6 +86,8 @@ def overall_score(recall: Column, confidence: Column, semantic: Column, multipli
 
 
 def tier(overall: Column, unparsed: Column, c: Config = Config()) -> Column:
+    """By the score before its rounding to four places; nine places settle scores that stand exactly at a bound."""
+    overall = F.round(overall, 9)
     return F.when(unparsed, None).when(overall >= c.strong, "strong").when(overall >= c.moderate, "moderate").otherwise("weak")
 
 

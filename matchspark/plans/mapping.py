@@ -80,6 +80,6 @@ parts AS (
          CASE WHEN required_years - candidate_years IS NULL OR required_years - candidate_years <= 0 THEN 1.0 WHEN required_years - candidate_years <= 1 THEN 0.95 WHEN required_years - candidate_years <= 3 THEN 0.85 ELSE 0.7 END::DOUBLE AS mult
   FROM jobs j CROSS JOIN resumes r LEFT JOIN totals t ON t.job_id = j.job_id LEFT JOIN earned e ON e.job_id = j.job_id AND e.resume_id = r.resume_id LEFT JOIN best b ON b.job_id = j.job_id AND b.resume_id = r.resume_id),
 scored AS (
-  SELECT *, CASE WHEN o IS NULL THEN NULL WHEN skills_unparsed THEN NULL WHEN o >= 0.36 THEN 'strong' WHEN o >= 0.25 THEN 'moderate' ELSE 'weak' END AS tier, round(o, 4) AS overall_score
+  SELECT *, CASE WHEN o IS NULL THEN NULL WHEN skills_unparsed THEN NULL WHEN round(o, 9) >= 0.36::DOUBLE THEN 'strong' WHEN round(o, 9) >= 0.25::DOUBLE THEN 'moderate' ELSE 'weak' END AS tier, round(o, 4) AS overall_score
   FROM (SELECT *, CASE WHEN skills_unparsed THEN semantic * mult ELSE (0.6::DOUBLE * recall * confidence + 0.4::DOUBLE * semantic) * mult END AS o FROM parts))
 """
