@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 
 from matchspark.llm._tables import keep, table
 
-DEGREE, BLOCK, ROUNDS, PIVOTS = 20, 512, 3, 32
+#: Pivots of the first and of the second order; rows that one product takes.
+DEGREE, BLOCK, ROUNDS, PIVOTS, SLICE = 20, 4096, 10, (8, 32), 512
 #: NN-descent ends when a round changes less than this share of the graph, or after this many rounds.
 LEAST_CHANGE, MOST_ROUNDS = 0.02, 4
 #: Length of a query's list, and how many of its entries are opened in a step.
-LIST, OPENED, MOST_STEPS = 48, 8, 6
+LIST, OPENED, MOST_STEPS = 80, 10, 8
 
 
 def matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
@@ -64,14 +65,14 @@ def _best(edges: DataFrame, most: int, key: str = "u", other: str = "v") -> Data
 
 def _blocks_of_round(rows: DataFrame, k: int) -> DataFrame:
     """Edges u, v, s within blocks of the order of one round."""
-    picked = [np.array(r["vec"], np.float32) for r in rows.orderBy(F.xxhash64("id", F.lit(k)), "id").limit(2 * PIVOTS).select("vec").collect()]
+    picked = [np.array(r["vec"], np.float32) for r in rows.orderBy(F.xxhash64("id", F.lit(k)), "id").limit(sum(PIVOTS)).select("vec").collect()]
     pivots = np.array(picked)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = matrix(batch.column(1)) @ pivots.T
-            first, second = near[:, :PIVOTS].argmax(axis=1), near[:, PIVOTS:].argmax(axis=1) if near.shape[1] > PIVOTS else np.zeros(len(near), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first * PIVOTS + second), pa.array(near[:, 0].astype(np.float64))], ["id", "vec", "cell", "along"])
+            first, second = near[:, : PIVOTS[0]].argmax(axis=1), near[:, PIVOTS[0] :].argmax(axis=1) if near.shape[1] > PIVOTS[0] else np.zeros(len(near), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first * PIVOTS[1] + second), pa.array(near[:, 0].astype(np.float64))], ["id", "vec", "cell", "along"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vecs = np.zeros(0, np.int64), None
@@ -85,15 +86,18 @@ def _blocks_of_round(rows: DataFrame, k: int) -> DataFrame:
                 ids, vecs = ids[size:], vecs[size:]
                 if size < 2:
                     continue
-                s = x @ x.T
-                np.fill_diagonal(s, -np.inf)
                 most = min(DEGREE, size - 1)
-                top = np.argpartition(-s, most - 1, axis=1)[:, :most]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, most)), pa.array(own[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel().astype(np.float64))], ["u", "v", "s"])
+                for at in range(0, size, SLICE):
+                    part = own[at : at + SLICE]
+                    s = x[at : at + SLICE] @ x.T
+                    s[np.arange(len(part)), np.arange(at, at + len(part))] = -np.inf
+                    top = np.argpartition(s, size - most, axis=1)[:, size - most :]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, most)), pa.array(own[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel().astype(np.float64))], ["u", "v", "s"])
 
     kind = rows.schema["vec"].dataType.simpleString()
     placed = keep(rows.select("id", "vec").mapInArrow(place, f"id long, vec {kind}, cell long, along double"), "placed")
-    dealt = placed.repartitionByRange("cell", "along", "id").sortWithinPartitions("cell", "along", "id").select("id", "vec")
+    parts = max(1, placed.count() // (2 * BLOCK))  # so that partitions hold whole blocks
+    dealt = placed.repartitionByRange(parts, "cell", "along", "id").sortWithinPartitions("cell", "along", "id").select("id", "vec")
     return dealt.mapInArrow(compare, "u long, v long, s double")
 
 
