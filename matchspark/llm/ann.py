@@ -1,16 +1,19 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy search on it.
 
-Build. Each round of the start sorts all vectors by their nearest pivots (a
-bounded sample of vectors, other ones each round) and cuts the order into
+Equal vectors are one class, stood for by its smallest id; graph and search are
+over classes, and found classes are opened into their smallest ids at the end.
+
+Build. Each round of the start sorts all classes by their nearest pivots (a
+bounded sample of vectors, other ones each round) and cuts the order into small
 blocks of ``BLOCK`` rows; rows of a block are compared with each other. Then
-NN-descent: every vector introduces its neighbours and reverse neighbours to
-each other, through joins on the vector they share; pairs better than what
-either side holds enter the graph, until few do. Every vector is in the index.
+NN-descent: every class introduces its neighbours and reverse neighbours to
+each other, through joins on the class they share; pairs better than what
+either side holds enter the graph, until few do. Every class is in the index.
 
-Search. A query starts from its own neighbours in the graph, walks to the
-neighbours (both ways) of its best candidates not yet visited, and goes on
-until its list stands still; the result is scored in double precision on the
-original vectors.
+Search. A class with queries starts from its own neighbours in the graph, walks
+to the neighbours (both ways) of its best candidates not yet visited, and goes
+on until its list stands still; scores are in double precision on the original
+vectors.
 
 Nearness is the larger inner product; ties go to the smaller id. Reverse
 neighbours taken for a round are bounded by ``DEGREE``, chosen by hash, as in
@@ -32,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchspark.llm._tables import keep, table
+from matchspark.llm._tables import drop_kept, keep, table
 
-#: Pivots of the first and of the second order; rows that one product takes.
-DEGREE, BLOCK, ROUNDS, PIVOTS, SLICE = 20, 4096, 10, (8, 32), 512
-#: NN-descent ends when a round changes less than this share of the graph, or after this many rounds.
-LEAST_CHANGE, MOST_ROUNDS = 0.02, 4
+#: Pivots of the first and of the second order; rows that one product takes; blocks of a partition.
+DEGREE, BLOCK, ROUNDS, PIVOTS, SLICE, DEALT = 20, 256, 3, (8, 32), 512, 16
+#: NN-descent ends when a round changes less than this share of the graph.
+LEAST_CHANGE = 0.02
 #: Length of a query's list, and how many of its entries are opened in a step.
-LIST, OPENED, MOST_STEPS = 80, 10, 8
+LIST, OPENED = 600, 60
 
 
 def matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
@@ -58,6 +61,17 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return keep(rows.groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
 
 
+def classed(rows: DataFrame) -> DataFrame:
+    """id, vec, cls: the smallest id of an equal vector."""
+    classes = rows.groupBy("vec").agg(F.min("id").alias("cls"))
+    return keep(rows.hint("merge").join(classes, "vec").select("id", "vec", "cls"), "classed")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """One row (id, vec) a class."""
+    return keep((rows if "cls" in rows.columns else classed(rows)).where("id = cls").select("id", "vec"), "classes")
+
+
 def _best(edges: DataFrame, most: int, key: str = "u", other: str = "v") -> DataFrame:
     order = Window.partitionBy(key).orderBy(F.desc("s"), other)
     return edges.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
@@ -96,7 +110,7 @@ def _blocks_of_round(rows: DataFrame, k: int) -> DataFrame:
 
     kind = rows.schema["vec"].dataType.simpleString()
     placed = keep(rows.select("id", "vec").mapInArrow(place, f"id long, vec {kind}, cell long, along double"), "placed")
-    parts = max(1, placed.count() // (2 * BLOCK))  # so that partitions hold whole blocks
+    parts = max(1, placed.count() // (DEALT * BLOCK))  # so that partitions hold whole blocks
     dealt = placed.repartitionByRange(parts, "cell", "along", "id").sortWithinPartitions("cell", "along", "id").select("id", "vec")
     return dealt.mapInArrow(compare, "u long, v long, s double")
 
@@ -137,73 +151,97 @@ def _descend(graph: DataFrame, rows: DataFrame) -> DataFrame:
             order = np.lexsort((v, u))
             u, v, s = u[order], v[order], s[order]
             one = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])) if len(u) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(u[one]), pa.array(v[one]), pa.array(s[one])], ["u", "v", "s"])
+            u, v, s = u[one], v[one], s[one]
+            order = np.lexsort((v, -s, u))  # beyond the best DEGREE of a batch none can enter
+            u, v, s = u[order], v[order], s[order]
+            first = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+            best = np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u)))) < DEGREE
+            yield pa.RecordBatch.from_arrays([pa.array(u[best]), pa.array(v[best]), pa.array(s[best])], ["u", "v", "s"])
             rest = [p[last:] for p in rest]
 
     return met.repartition("at").sortWithinPartitions("at").mapInArrow(introduce, "u long, v long, s double")
 
 
 def build(rows: DataFrame) -> DataFrame:
-    """The neighbour graph u, v, s of usable vectors (id, vec)."""
+    """The neighbour graph u, v, s of the classes of usable vectors (id, vec)."""
+    rows = _classes(rows)
     start = None
     for k in range(ROUNDS):
         found = _blocks_of_round(rows, k)
         start = found if start is None else start.unionByName(found)
-    merged = lambda e: keep(_best(e.groupBy("u", "v").agg(F.max("s").alias("s")), DEGREE), "graph")
-    graph = merged(start)
-    for _ in range(MOST_ROUNDS):
+    graph = keep(_best(start.groupBy("u", "v").agg(F.max("s").alias("s")), DEGREE), "graph")
+    while True:
         tagged = graph.withColumn("new", F.lit(0)).unionByName(_descend(graph, rows).withColumn("new", F.lit(1)))
         both = tagged.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new"))
         next_ = keep(_best(both, DEGREE), "graph")
         counts = next_.agg(F.sum("new").alias("new"), F.count(F.lit(1)).alias("all")).first()
+        drop_kept(rows.sparkSession, graph)
         graph = next_.drop("new")
         if (counts["new"] or 0) <= LEAST_CHANGE * counts["all"]:
-            break
-    return graph
+            return graph
 
 
-def _dot(pairs: DataFrame) -> DataFrame:
-    """q, id, s of rows (q, id, qvec, vec): inner products in double precision."""
+def _open(front: DataFrame, nodes: DataFrame) -> DataFrame:
+    """q, id, s of the neighbours of opened nodes (q, qvec, worst, at) that are better than the worst of the list of q."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = (matrix(batch.column(2), np.float64) * matrix(batch.column(3), np.float64)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s if batch.num_rows else np.zeros(0))], ["q", "id", "s"])
-
-    return pairs.select("q", "id", "qvec", "vec").mapInArrow(run, "q long, id long, s double")
-
-
-def search(rows: DataFrame, graph: DataFrame, is_query: Column, nearest: int) -> DataFrame:
-    """q, id, s: the ``nearest`` best found for every row of which is_query holds, itself left out."""
-    queries = keep(rows.where(is_query).select(F.col("id").alias("q"), F.col("vec").alias("qvec")), "queries")
+            q, to, ss = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            own, worst = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            vecs = matrix(batch.column(1), np.float64)
+            for i in range(batch.num_rows):
+                ids = batch.column(3)[i].values.to_numpy()
+                s = (matrix(batch.column(4)[i].values, np.float64) * vecs[i]).sum(axis=1)
+                better = (s >= worst[i]) & (ids != own[i])
+                q.append(np.repeat(own[i], int(better.sum())))
+                to.append(ids[better])
+                ss.append(s[better])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, to, ss)], ["q", "id", "s"])
+
+    return front.hint("merge").join(nodes, "at").select("q", "qvec", "worst", "tos", "vecs").mapInArrow(run, "q long, id long, s double")
+
+
+def walk(rows: DataFrame, graph: DataFrame, queries: DataFrame, length: int) -> DataFrame:
+    """q, id, s: the list of every query class (q, qvec) when it stands still; rows are classes."""
+    spark = rows.sparkSession
     ways = graph.select(F.col("u").alias("at"), F.col("v").alias("to"))
     back = Window.partitionBy("v").orderBy(F.desc("s"), "u")
-    ways = keep(ways.unionByName(graph.withColumn("_rank", F.row_number().over(back)).where(F.col("_rank") <= DEGREE).select(F.col("v").alias("at"), F.col("u").alias("to"))).distinct(), "ways")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        with_vec = pairs.hint("merge").join(rows, "id").select("q", "id", "vec")
-        return _dot(with_vec.hint("merge").join(queries, "q"))
-
-    begin = queries.select("q").hint("merge").join(ways, F.col("q") == F.col("at")).select("q", F.col("to").alias("id")).where("q <> id").distinct()
-    seen = keep(scored(begin).withColumn("opened", F.lit(False)), "list")
-    length = max(LIST, nearest)
-    for _ in range(MOST_STEPS):
-        mine = Window.partitionBy("q").orderBy(F.desc("s"), "id")
+    ways = ways.unionByName(graph.withColumn("_rank", F.row_number().over(back)).where(F.col("_rank") <= DEGREE).select(F.col("v").alias("at"), F.col("u").alias("to"))).distinct()
+    near = ways.hint("merge").join(rows, F.col("to") == F.col("id")).groupBy("at").agg(F.collect_list(F.struct("to", "vec")).alias("n"))  # 2 * DEGREE at most
+    nodes = keep(near.select("at", F.col("n.to").alias("tos"), F.col("n.vec").alias("vecs")), "nodes")
+    seen = keep(_open(queries.select("q", "qvec", F.lit(float("-inf")).alias("worst"), F.col("q").alias("at")), nodes).withColumn("opened", F.lit(False)), "list")
+    mine, turn = Window.partitionBy("q").orderBy(F.desc("s"), "id"), Window.partitionBy("q").orderBy("opened", "rank")
+    while True:
         listed = seen.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= length)
-        turn = Window.partitionBy("q").orderBy("opened", "rank")
-        listed = keep(listed.withColumn("now", (F.row_number().over(turn) <= OPENED) & ~F.col("opened")).select("q", "id", "s", "opened", "now"), "list")
-        front = listed.where("now").select("q", F.col("id").alias("at"))
+        worst = F.when(F.count(F.lit(1)).over(Window.partitionBy("q")) >= length, F.min("s").over(Window.partitionBy("q"))).otherwise(F.lit(float("-inf")))
+        listed = keep(listed.withColumn("worst", worst).withColumn("now", (F.row_number().over(turn) <= OPENED) & ~F.col("opened")).select("q", "id", "s", "opened", "now", "worst"), "list")
+        drop_kept(spark, seen)
+        front = listed.where("now").select("q", "worst", F.col("id").alias("at"))
         if front.isEmpty():
-            break
-        more = front.hint("merge").join(ways, "at").select("q", F.col("to").alias("id")).where("q <> id").distinct()
-        fresh = more.hint("merge").join(listed.select("q", "id"), ["q", "id"], "left_anti")
+            return listed.select("q", "id", "s")
         old = listed.select("q", "id", "s", (F.col("opened") | F.col("now")).alias("opened"))
-        seen = keep(old.unionByName(scored(fresh).withColumn("opened", F.lit(False))), "list")
-    return _best(seen.select("q", "id", "s"), nearest, "q", "id")
+        fresh = _open(front.hint("merge").join(queries, "q"), nodes).withColumn("opened", F.lit(False))
+        seen = keep(old.unionByName(fresh).groupBy("q", "id").agg(F.max("s").alias("s"), F.max("opened").alias("opened")), "list")
+        drop_kept(spark, listed)
+
+
+def search(rows: DataFrame, graph: DataFrame, is_query: Column, nearest: int) -> DataFrame:
+    """q, id, s: the ``nearest`` best found for every row of which is_query holds, itself left out."""
+    rows = rows if "cls" in rows.columns else classed(rows)
+    asked = keep(rows.where(is_query).select(F.col("id").alias("query"), "cls"), "asked")
+    classes = _classes(rows)
+    queries = keep(asked.select(F.col("cls").alias("id")).distinct().hint("merge").join(classes, "id").select(F.col("id").alias("q"), F.col("vec").alias("qvec")), "queries")
+    square = F.aggregate("qvec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    found = _best(walk(classes, graph, queries, max(LIST, nearest)), nearest, "q", "id").unionByName(queries.select("q", F.col("q").alias("id"), square.alias("s")))
+    members = keep(_best(rows.select("cls", "id", F.lit(0).alias("s")), nearest + 1, "cls", "id").select("cls", F.col("id").alias("member")), "members")
+    opened = found.hint("merge").join(members, F.col("id") == F.col("cls")).select("q", F.col("member").alias("id"), "s")
+    opened = keep(_best(opened, nearest + 1, "q", "id"), "opened")
+    dealt = asked.hint("merge").join(opened, F.col("cls") == F.col("q")).select(F.col("query").alias("q"), "id", "s").where("q <> id")
+    return _best(dealt, nearest, "q", "id")
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    rows = classed(usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
     found = search(rows, build(rows), F.col("id") % 20 == 0, 20)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))
     return found.select(F.col("q").alias("query_id"), rank.alias("rank"), F.col("id").alias("vec_id"), F.col("s").alias("score"))

@@ -205,3 +205,42 @@ def test_ann_of_odd_rows(spark):
     assert sorted((r.q, r.id, r.s) for r in out) == [(0, 1, 0.5), (0, 20, 2.0), (20, 0, 2.0), (20, 1, 1.5)]
     none = ann.usable(df.limit(0), "vec_id", "embedding")
     assert ann.search(none, ann.build(none), F.col("id") % 20 == 0, 2).count() == 0
+
+
+def ann_recall(x, ids, found, n):
+    """Share of the n nearest by score, then id, that was found."""
+    hits = total = 0
+    for q, own in found.items():
+        s = x.astype(np.float64) @ x[list(ids).index(q)].astype(np.float64)
+        s[list(ids).index(q)] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:n]].tolist())
+        hits, total = hits + len(best & own), total + n
+    return hits / total
+
+
+def ann_found(spark, x, ids, n):
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "id long, vec array<float>").repartition(3)
+    found = defaultdict(set)
+    for r in ann.search(df, ann.build(df), F.col("id") % 20 == 0, n).collect():
+        found[r.q].add(r.id)
+    return found
+
+
+def test_ann_descends_from_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 32)
+    monkeypatch.setattr(ann, "ROUNDS", 2)
+    monkeypatch.setattr(ann, "LIST", 150)
+    x = np.random.default_rng(3).normal(size=(3000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(3000)
+    found = ann_found(spark, x, ids, 20)
+    assert len(found) == 150 and ann_recall(x, ids, found, 20) >= 0.9
+
+
+def test_ann_of_equal_vectors_takes_the_smallest_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 32)
+    x = np.random.default_rng(4).normal(size=(600, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[200:400] = x[200]
+    ids = np.random.default_rng(5).permutation(600)
+    assert ann_recall(x, ids, ann_found(spark, x, ids, 20), 20) >= 0.99
