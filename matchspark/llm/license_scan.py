@@ -1,12 +1,14 @@
 """License scans by sentence-rule recognition, with DataFrame functions only.
 
-A text is cut into sentences (at line ends and at ``. ``), each sentence is
-normalised (lower case, ``licence`` spelt ``license``, anything but letters and
-digits to one space, version words folded), and looked up among the known
-licence sentences of ``SENTENCES``. A rule of ``RULES`` is an ordered sequence
+A text is cut into sentences (at ``. `` and between paragraphs; a line end within
+a paragraph may end a sentence or wrap it, the longest known sentence counts).
+Each is normalised (lower case, ``licence`` spelt ``license``, ``v. 2`` and ``v2``
+to ``version 2``, anything else but letters and digits to one space), and looked
+up among the known licence sentences of ``SENTENCES`` and ``FULL_SENTENCES``. A rule of ``FULL_RULES`` and ``RULES`` is an ordered sequence
 of sentence identifiers; it holds where its identifiers stand in the text in
 that order with no other licence sentence between them. Rules are tried from
-the longest, so a longer rule takes its sentences from a shorter one.
+the longest, so a longer rule takes its sentences from a shorter one. The SQL
+knows sentences of one line and ``RULES`` only.
 
 The result has one row for each document with a licence sentence: the sentence
 identifiers in order, the licences of the rules that hold, the identifiers that
@@ -21,6 +23,8 @@ are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,28 +75,82 @@ RULES = [
     ("MPL2ref", "MPL-2.0"),
     ("PublicDomain", "Unlicense"),
 ]
+#: Sentences of the standard notices in full, to identifier.
+FULL_SENTENCES = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions": "MITgrant",
+    "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement": "AsIs",
+    "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software": "MITliable",
+    "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License": "Apache2head",
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": "Apache2obtain",
+    "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0": "Apache2obtain",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind, either express or implied": "Apache2asis",
+    "See the License for the specific language governing permissions and limitations under the License": "Apache2see",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version": "GPL3grant",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version": "GPL2grant",
+    "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose": "GPLwarranty",
+    "See the GNU General Public License for more details": "GPLsee",
+    "You should have received a copy of the GNU General Public License along with this program": "GPLcopy",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "BSDgrant",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": "BSDsource",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "BSDbinary",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDendorse",
+    "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSDasis",
+    "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage": "BSDliable",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0": "MPL2copy",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0": "MPL2copy",
+}
+#: Rules of the standard notices, tried before ``RULES``. Longer rules come first.
+FULL_RULES = [
+    ("BSDgrant,BSDsource,BSDbinary,BSDendorse,BSDasis,BSDliable", "BSD-3-Clause"),
+    ("BSDgrant,BSDsource,BSDbinary,BSDasis,BSDliable", "BSD-2-Clause"),
+    ("BSDgrant,BSDsource,BSDbinary,BSDendorse", "BSD-3-Clause"),
+    ("MITgrant,MITnotice,AsIs,MITliable", "MIT"),
+    ("Apache2head,Apache2obtain,Apache2asis,Apache2see", "Apache-2.0"),
+    ("GPL3grant,GPLwarranty,GPLsee,GPLcopy", "GPL-3.0-or-later"),
+    ("GPL2grant,GPLwarranty,GPLsee,GPLcopy", "GPL-2.0-or-later"),
+    ("BSDgrant,BSDsource,BSDbinary", "BSD-2-Clause"),
+    ("Apache2head,Apache2obtain", "Apache-2.0"),
+    ("MPL2ref,MPL2copy", "MPL-2.0"),
+    ("Apache2head", "Apache-2.0"),
+    ("GPL3grant", "GPL-3.0-or-later"),
+    ("GPL2grant", "GPL-2.0-or-later"),
+]
 #: A sentence without any of these is none of a licence; checked before it is normalised.
 HINT = r"(?i)licen[sc]e|permission|redistribut|warrant|copyright|rights reserved|public domain|this program is free|version [23] of|endorse"
-#: ``. `` ends a sentence unless it stands in a version number.
+#: Ends of sentences, for the SQL.
 BREAK = r"\n|\. "
 
 
-def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), "licence", "license"), "[^a-z0-9]+", " "))
+#: What normalises a text, in order: ``|`` then stands for the end of a sentence or paragraph, ``/`` for any other line end.
+STEPS = [
+    ("licence", "license"), (r"[|/]", " "), (r"\b(?:version|ver\.?|v\.?)\s*(?=[0-9])", "version "),
+    (r"\.\s|\n[^a-z0-9]*\n", "|"), (r"\n", "/"), (r"[^a-z0-9|/]+", " "), (r" ?([|/]) ?", r"$1"),
+]
+
+
+def _known() -> dict[str, str]:
+    """Identifiers by normalised sentence."""
+    fold = lambda x: re.sub(r"\bv(?:ersion)? ?(?=[0-9])", "version ", re.sub("[^a-z0-9]+", " ", x.lower()).strip())
+    return {fold(x): i for x, i in [*SENTENCES.items(), *FULL_SENTENCES.items()]}
 
 
 def known_sentences(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
-    likely = F.filter(F.split(text, BREAK), lambda x: x.rlike(HINT))
-    ids = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    return F.filter(F.transform(likely, lambda x: F.try_element_at(ids, normalise(x))), lambda x: x.isNotNull())
+    known = _known()
+    marked = F.lower(text)
+    for pattern, to in STEPS:
+        marked = F.regexp_replace(marked, pattern, to)
+    marked = F.concat(F.lit("|"), F.trim(marked), F.lit("|"))
+    any_of = "|".join(x.replace(" ", "[ /]") for x in sorted(known, key=len, reverse=True))
+    ids = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    return F.transform(F.regexp_extract_all(marked, F.lit(f"(?<=[|/])(?:{any_of})(?=[|/])"), F.lit(0)), lambda x: F.try_element_at(ids, F.translate(x, "/", " ")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids, licenses (both joined by commas), n_unexplained, verdict."""
     rows = docs.where(F.col("text").rlike(HINT)).select("doc_id", known_sentences(F.col("text")).alias("ids")).where(F.size("ids") > 0)
     out = rows.select("doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(","))), "").alias("_left"), F.array().cast("array<string>").alias("_found"))
-    for rule, name in RULES:
+    for rule, name in FULL_RULES + RULES:
         mark = "," + ",,".join(rule.split(",")) + ","
         out = out.select("doc_id", "sentence_ids", F.replace("_left", F.lit(mark), F.lit(";")).alias("_new"), "_left", "_found").select(
             "doc_id", "sentence_ids", F.col("_new").alias("_left"), F.when(F.col("_new") != F.col("_left"), F.array_append("_found", F.lit(name))).otherwise(F.col("_found")).alias("_found")
