@@ -8,8 +8,10 @@
    nodes of up to ``SMALL`` classes are compared exhaustively on two-bit
    sketches, larger ones branch again; what is still large at ``DEPTH`` shares
    so many min-wise values that its classes are taken for similar as they are.
-   A pair of similarity 0.8 is lost by all trees with a chance below 1e-11 where
-   roots suffice, and of about 1e-7, 1e-5, 1e-4 where 2, 3, 4 levels are needed.
+   A pair of similarity 0.8 is lost by all trees with a chance below 1e-13 where
+   roots suffice, and of about 1e-8, 2e-6, 3.4e-5 where 2, 3, 4 levels are needed
+   (``chance_lost``: averaged over how many min-wise values agree, as all trees
+   draw on the same ones). The sketches lose 3e-5 more of small nodes' pairs.
 3. Candidate components are verified on full sets: the members' texts come
    together in blocks of bounded weight (a component beyond one block is dealt
    to all pairs of its blocks), and a search from text to text finds all links
@@ -26,6 +28,7 @@ Further columns are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +40,9 @@ from matchspark.llm._tables import keep, table
 from matchspark.llm._text import blocks, mix, sequence_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
-FUNCTIONS, CHOOSE_FROM = 64, 32
+FUNCTIONS, CHOOSE_FROM = 64, 64
 #: A root chooses 2 functions on average, any other node 1 / THRESHOLD: a pair at the threshold then lives on in one child on average.
-TREES, BRANCHES, SMALL, DEPTH = 16, (2.0, 1.25), 64, 4
+TREES, BRANCHES, SMALL, DEPTH = 20, (2.0, 1.25), 64, 4
 #: Equal two-bit values of 64 below which a pair of similarity 0.8 falls with a chance of about 1e-5.
 LEAST_EQUAL = 42
 #: Shingles (and ROW_WEIGHT for each text) that a block of the verification holds.
@@ -50,6 +53,17 @@ _XOR = _RNG.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32)
 _MULTIPLY = _RNG.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32) | np.uint32(1)
 
 
+def chance_lost(levels: int, similarity: float = THRESHOLD) -> float:
+    """The chance that all trees lose a pair of this similarity which needs so many levels."""
+    total = 0.0
+    for m in range(CHOOSE_FROM + 1):
+        lost = 0.0
+        for level in range(levels, 0, -1):
+            lost = (1 - BRANCHES[level > 1] / CHOOSE_FROM * (1 - lost)) ** m
+        total += comb(CHOOSE_FROM, m) * similarity**m * (1 - similarity) ** (CHOOSE_FROM - m) * lost**TREES
+    return total
+
+
 def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the shingles of each row (with repeats), and the bounds of the rows in them."""
     _, _, h, first = words(buf, offsets, lower=True)

@@ -155,6 +155,25 @@ def test_small_nodes_and_blocks_change_nothing(spark, monkeypatch):
     assert found_components(near_dedup.near_duplicates(docs, 2)) == brute_components(rows, 2)
 
 
+def test_chance_that_all_trees_lose_a_link():
+    lost = [near_dedup.chance_lost(levels) for levels in range(1, near_dedup.DEPTH + 1)]
+    assert lost == sorted(lost) and lost[-1] + 3e-5 < 1e-4
+
+
+def test_links_just_above_the_threshold_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    rnd = random.Random(6)
+    body = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(150):  # every pair of these shares about 0.81 of its shingles
+        text = list(body)
+        for at in rnd.sample(range(400), 21):
+            text[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert found_components(near_dedup.near_duplicates(docs, 1)) == brute_components(rows, 1)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = defaultdict(list)
     for r in near_dedup.near_duplicates(odd_docs(spark), 2).collect():
