@@ -1,82 +1,101 @@
-"""Byte-level BPE over Arrow batches.
+"""Byte-level BPE of whole texts, piece by piece.
 
-A place between a character that is no white space and one that is, is a
-boundary of the pre-tokeniser's matches whatever stands around it: no match
-holds a non-space followed by a space, and no match looks back. Texts are cut
-at all such places, each distinct piece is encoded once, and the ids of the
-rows are put together from the pieces.
+The pre-tokeniser's pattern looks ahead by one character and never back. A run
+of white space before anything else gives up its last character to what follows,
+so these are boundaries of its matches whatever stands around them: before a
+white-space character that follows none, and before the last white-space
+character of a run. A text whose spaces all stand at such places is cut at its
+spaces, any other one by a pattern that finds the places. Each distinct piece is
+encoded once while it is remembered; pieces are compared as strings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from matchspark.llm._text import span_hashes
+#: White space as the pattern engines of both libraries know it.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_PIECE = re.compile(f"[{WHITE}]?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
+_CUT = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
+_BLANK = re.compile(f"[{WHITE}]+")
+#: A space inside a run of white space, but for the last place of one that something follows.
+_INSIDE = re.compile(rf"[{WHITE}] (?:[{WHITE}]|\Z)")
+#: Characters after which a long text is cut at the next boundary.
+STRETCH = 1 << 18
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Second-last byte of every multi-byte white-space character.
-_MAYBE_SPACE = np.zeros(256, dtype=bool)
-_MAYBE_SPACE[[0xC2, 0x80, 0x81, 0x9A]] = True
 
+def is_white(piece: str) -> bool:
+    return _BLANK.fullmatch(piece) is not None
 
-def piece_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the pieces: of rows, and of white space after a character that is none."""
-    cut = np.zeros(len(buf) + 1, dtype=bool)
-    cut[1:-1] = _SPACE[buf[1:]] & ~_SPACE[buf[:-1]]
-    if len(buf) > 2:
-        cut[2:-1] &= ~((buf[1:-1] >= 0x80) & _MAYBE_SPACE[buf[:-2]])
-    cut[offsets] = True
-    return np.flatnonzero(cut[:-1])
+
+def stretches(text: str) -> Iterator[str]:
+    """The text in parts of about STRETCH characters, cut at boundaries."""
+    at = 0
+    while len(text) - at > STRETCH:
+        cut = _CUT.search(text, at + STRETCH)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    if at < len(text):
+        yield text[at:] if at else text
 
 
 class PieceEncoder:
-    """Ids of rows of text; remembers up to ``most`` pieces of at most ``longest`` bytes."""
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 600_000, longest: int = 64):
-        self.encode, self.most, self.longest = encode, most, longest
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def rows(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where those of each row begin (with an end)."""
-        if not len(buf):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        starts = piece_starts(buf, offsets)
-        ends = np.append(starts[1:], len(buf))
-        keys, at, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        known = np.searchsorted(self.keys, keys)
-        known[known == len(self.keys)] = 0
-        new = np.flatnonzero(self.keys[known] != keys) if len(self.keys) else np.arange(len(keys))
-        first, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        if len(self.keys):
-            first[:], count[:] = self.first[known], self.count[known]
-        flat = self.flat
-        if len(new):
-            raw = buf.tobytes()
-            ids = self.encode([raw[s:e].decode("utf-8", "surrogateescape") for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
-            count[new] = np.fromiter(map(len, ids), np.int64, len(ids))
-            first[new] = len(flat) + np.cumsum(count[new]) - count[new]
-            flat = np.concatenate([flat, np.fromiter((i for x in ids for i in x), np.uint32, int(count[new].sum()))])
-            short = new[(ends - starts)[at[new]] <= self.longest]
-            if len(self.keys) + len(short) > self.most:
-                self.forget()
-            else:
-                keys_ = np.concatenate([self.keys, keys[short]])
-                order = np.argsort(keys_, kind="stable")
-                self.keys = keys_[order]
-                self.first = np.concatenate([self.first, first[short]])[order]
-                self.count = np.concatenate([self.count, count[short]])[order]
-                self.flat = flat
-        n = count[which]
-        ends_ = np.cumsum(n)
-        ids = flat[np.repeat(first[which] - (ends_ - n), n) + np.arange(int(ends_[-1]))]
-        bounds = np.concatenate([np.zeros(1, np.int64), ends_])
-        return ids, bounds[np.searchsorted(starts, offsets)]
+    """Ids of texts by ``encode``, which takes one piece. Pieces of up to ``longest`` characters are remembered, of ``most`` in all."""
+
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 8_000_000, longest: int = 64):
+        self.encode, self.most, self.longest, self.held = encode, most, longest, 0
+        self.pieces, self.after_space = _Pieces(self), _AfterSpace(self)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._raw, stretches(text or ""))), "<u4")
+
+    def _raw(self, part: str) -> bytes:
+        if 2 * self.held > self.most:
+            self.pieces.age()
+            self.after_space.age()
+            self.held = 0
+        if _INSIDE.search(part):
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(part)))
+        first, *rest = part.split(" ")
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(first))) + b"".join(map(self.after_space.__getitem__, rest))
+
+
+class _Pieces(dict):
+    """Raw ids by piece: those met since the last ageing, and behind them those of the time before."""
+
+    def __init__(self, owner: PieceEncoder):
+        super().__init__()
+        self.owner, self.old = owner, {}
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+    def made(self, piece: str) -> bytes:
+        return np.array(self.owner.encode(piece), "<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = self.old.get(piece)
+        if raw is None:
+            raw = self.made(piece)
+        if len(piece) <= self.owner.longest:
+            self[piece] = raw
+            self.owner.held += len(piece) + 1
+        return raw
+
+
+class _AfterSpace(_Pieces):
+    """Raw ids of a space and what follows it up to the next space, by the latter."""
+
+    def __missing__(self, rest: str) -> bytes:
+        if len(found := _PIECE.findall(" " + rest)) > 1:
+            return b"".join(map(self.owner.pieces.__getitem__, found))
+        return super().__missing__(rest)
+
+    def made(self, rest: str) -> bytes:
+        return super().made(" " + rest)

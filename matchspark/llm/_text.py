@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one block holds, unless a single text is longer; so that its powers fit in 2**20 numbers.
-BLOCK_BYTES = (1 << 20) - 4096
+#: Bytes of text that one block holds, unless a single text is longer.
+BLOCK_BYTES = 1 << 20
+#: Bytes that one pass of the span hash takes, and the length from which a span is hashed by itself.
+PASS_BYTES = 1 << 20
 
-#: Fixed odd multiplier of the rolling byte hash, and of the rolling word hash.
-BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASE = 0xD1342543DE82EF95
+#: A Mersenne prime, and two fixed bases of the rolling hashes modulo it. Powers of two as moduli would let
+#: texts that repeat themselves in opposition (Thue and Morse's) collide whatever the base.
+PRIME = np.uint64((1 << 31) - 1)
+BASES = (1_337_006_139, 774_615_667)
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -30,22 +34,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers_of(base: int) -> np.ndarray:
-    return _computed(base, 1 << 20)
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**62."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - PRIME, x)
 
 
 def _computed(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    out = np.ones(max(n, 1), np.uint64)
+    size = 1
+    while size < n:
+        out[size : 2 * size] = _mod(out[: min(size, n - size)] * np.uint64(pow(base, size, int(PRIME))))
+        size *= 2
+    return out
+
+
+@lru_cache(maxsize=4)
+def _powers_of(base: int) -> np.ndarray:
+    return _computed(base, PASS_BYTES + 1)
 
 
 def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 … base**(n-1) modulo 2**64, or those of its inverse. Only those of one block are kept."""
+    """base**0 … base**(n-1) modulo PRIME, or those of its inverse. Only those of one pass are kept."""
     if inverse:
-        base = pow(base, -1, 1 << 64)
-    return _powers_of(base)[:n] if n <= 1 << 20 else _computed(base, n)
+        base = pow(base, -1, int(PRIME))
+    return _powers_of(base)[:n] if n <= PASS_BYTES + 1 else _computed(base, n)
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -69,14 +83,26 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes."""
-    n = len(buf)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(BYTE_BASE, n + 1, inverse=True)[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+    """Hash (two rolling hashes modulo a prime, 62 bits, and the length) of each span of bytes; spans are in order and do not overlap."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = int(np.searchsorted(ends, low + PASS_BYTES, side="right"))
+        if to <= at:  # one span longer than a pass
+            out[at] = int.from_bytes(hashlib.blake2b(buf[low : int(ends[at])].tobytes(), digest_size=8).digest(), "little")
+            at += 1
+            continue
+        s, e = starts[at:to] - low, ends[at:to] - low
+        part = buf[low : int(ends[to - 1])].astype(np.uint64) + np.uint64(1)
+        halves = []
+        for base in BASES:
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * powers(base, len(part)), out=sums[1:])  # below 2**31 * 2**9 * 2**20
+            halves.append(_mod(_mod(sums[e] - sums[s]) * powers(base, len(part) + 1, inverse=True)[s]))
+        out[at:to] = mix((halves[0] | (halves[1] << np.uint64(31))) + (e - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        at = to
+    return out
 
 
 def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,15 +124,11 @@ def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np
 
 
 def sequence_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run of word hashes h[start:end]."""
+    """Hash of each run of word hashes h[start:end], made as that of a span."""
     n = len(h)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * powers(WORD_BASE, max(n, 1))[:n], out=sums[1:])
-    out = (sums[ends] - sums[starts]) * powers(WORD_BASE, n + 1, inverse=True)[starts]
-    return mix(out ^ ((ends - starts).astype(np.uint64) << np.uint64(44)))
-
-
-def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of values[bounds[i]:bounds[i+1]]; rows may be empty."""
-    sums = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
-    return sums[bounds[1:]] - sums[bounds[:-1]]
+    halves = []
+    for k, base in enumerate(BASES):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_mod(_mod(h >> np.uint64(2 * k)) * powers(base, n)), out=sums[1:])
+        halves.append(_mod(_mod(sums[ends] - sums[starts]) * powers(base, n + 1, inverse=True)[starts]))
+    return mix((halves[0] | (halves[1] << np.uint64(31))) + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))

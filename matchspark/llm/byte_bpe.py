@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
-Texts are cut by a pattern at safe boundaries before they reach tiktoken (see
-``_encode``), so that a text of any length costs no more per byte than a short
-one; runs of white space beyond ``LONG_PIECE`` characters, on which tiktoken's
-pattern engine overflows, are matched here and encoded piece by piece.
+Texts are cut at safe boundaries before they reach tiktoken (see ``_encode``),
+so that a text of any length costs no more per byte than a short one. A run of
+white space is one match of the pattern by itself; it is encoded with a pattern
+that takes the whole run, as the other one's look-ahead costs a stack that grows
+with the run.
 
 Null text counts as empty: no ids, the digest of nothing. ``doc_id`` may be
 null or repeat; each row is encoded by itself and keeps its place. Further
@@ -19,18 +20,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm._encode import PieceEncoder
+from matchspark.llm._encode import PieceEncoder, is_white
 from matchspark.llm._tables import table
-from matchspark.llm._text import blocks
 
-#: Pieces longer than this many characters are split into the pattern's matches here.
-LONG_PIECE = 20_000
-#: White space as the pattern engine of the rank files knows it.
-_WHITE = r"\t-\r \x85\xa0  -     　"
+#: A pattern that matches a text as one.
+WHOLE = r"(?s:.+)"
+#: Rows that one output batch holds at most, and ids after which it ends.
+ROWS, IDS = 1000, 1 << 20
 
 
 def _ranks(path: str) -> dict[bytes, int]:
@@ -38,25 +37,17 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def encoding(rank_file: str, pattern: str):
     import tiktoken
 
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=_ranks(rank_file), special_tokens={})
 
 
-def encode_text(text: str, rank_file: str, pattern: str) -> list[int]:
-    """Ids of one piece or text; long ones match by match."""
-    enc = encoding(rank_file, pattern)
-    if len(text) <= LONG_PIECE:
-        return enc.encode_ordinary(text)
-    own = regex.compile(pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]"))
-    return [i for m in own.finditer(text) for i in enc._encode_single_piece(m[0])]
-
-
 @lru_cache(maxsize=2)
 def _encoder(rank_file: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(lambda pieces: [encode_text(x, rank_file, pattern) for x in pieces])
+    own, whole = encoding(rank_file, pattern), encoding(rank_file, WHOLE)
+    return PieceEncoder(lambda piece: (whole if is_white(piece) else own).encode_ordinary(piece))
 
 
 @lru_cache(maxsize=2)
@@ -73,11 +64,16 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(rank_file, pattern)
         for batch in batches:
-            for at, buf, offsets in blocks(batch.column(1)):
-                ids, bounds = _encoder(rank_file, pattern).rows(buf, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(offsets) - 1), lists], ["id", "ids"])
+            first, flat, ends = 0, [], [0]
+            for i, text in enumerate(batch.column(1), 1):
+                flat.append(encoder.ids(text.as_py()).astype(np.int32))
+                ends.append(ends[-1] + len(flat[-1]))
+                if i == batch.num_rows or i - first == ROWS or ends[-1] >= IDS:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i - first), lists], ["id", "ids"])
+                    first, flat, ends = i, [], [0]
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -97,17 +93,18 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, digests only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _token_bytes(rank_file)
+        encoder, token = _encoder(rank_file, pattern), _token_bytes(rank_file)
         digits = [str(i) for i in range(len(token))]
         for batch in batches:
-            for at, buf, offsets in blocks(batch.column(1)):
-                ids, bounds = _encoder(rank_file, pattern).rows(buf, offsets)
-                shas, raws, b = [], [], bounds.tolist()
-                for s, e in zip(b, b[1:]):
-                    own = ids[s:e].tolist()
-                    shas.append(hashlib.sha256(",".join([digits[i] for i in own]).encode()).hexdigest())
-                    raws.append(hashlib.sha256(b"".join([token[i] for i in own])).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(b) - 1), pa.array(np.diff(bounds)), pa.array(shas), pa.array(raws)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                sizes, shas, raws = [], [], []
+                for text in part.column(1):
+                    ids = encoder.ids(text.as_py()).tolist()
+                    sizes.append(len(ids))
+                    shas.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                    raws.append(hashlib.sha256(b"".join(map(token.__getitem__, ids))).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(raws, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

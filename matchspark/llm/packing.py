@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Each document becomes a hashed bag of words, projected to ``DIMS`` dimensions
+Each document becomes a hashed bag of its tokens, projected to ``DIMS`` dimensions
 with fixed Gaussian directions; the coordinates are put to normal quantiles of
 the corpus and interleaved to a Hilbert key. Documents are range-sorted by that
 key, their token counts summed along the curve, and the curve cut every
@@ -12,6 +12,9 @@ Steps: (1) ids, counts and coordinates are made once and written as a table;
 partitions and then over the totals of the partitions (one row each); (3) ids
 join their places and are cut into pieces.
 
+Ids are those of the tokenizer with its defaults, so a special token's string
+inside a text is that token.
+
 Defined results. Null or empty text: just the end id. A text of any length is
 cut where the sequences end. Equal keys go by doc_id (null first), then by row.
 Repeated rows are packed as often as they stand there. Further columns are not
@@ -33,12 +36,14 @@ from pyspark.sql import functions as F
 
 from matchspark.llm._encode import PieceEncoder
 from matchspark.llm._tables import keep, table
-from matchspark.llm._text import blocks, words
+from matchspark.llm._text import mix
 
 DIMS, BITS = 4, 8
 HASHED = 256
 SEQUENCE = 1024
 END_ID = 0
+#: Rows of one output batch at most.
+ROWS = 500
 
 
 @lru_cache(maxsize=2)
@@ -46,33 +51,44 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings inside a text are ordinary text
-    return found
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _special(path: str) -> tuple[str, ...]:
+    """Strings that the tokenizer takes out of a text before its pattern sees it."""
+    return tuple(x.content for x in _tokenizer(path).get_added_tokens_decoder().values())
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> PieceEncoder:
-    def run(pieces: list[str]) -> list[list[int]]:
-        return [x.ids for at in range(0, len(pieces), 5000) for x in _tokenizer(path).encode_batch(pieces[at : at + 5000], add_special_tokens=False)]
+    tokenizer = _tokenizer(path)
+    return PieceEncoder(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids)
+
 
-    return PieceEncoder(run)
+def text_ids(text: str | None, path: str) -> np.ndarray:
+    """The tokenizer's ids of a whole text; one that holds an added token goes to it uncut."""
+    if text and any(x in text for x in _special(path)):
+        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4")
+    return _encoder(path).ids(text)
 
 
-@lru_cache(maxsize=1)
-def _directions() -> np.ndarray:
-    return np.random.default_rng(7).standard_normal((HASHED, DIMS))
+@lru_cache(maxsize=2)
+def _directions(vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place and sign of each token in the bag, and the directions of its places."""
+    rng = np.random.default_rng(7)
+    rows = rng.standard_normal((HASHED, DIMS))
+    h = mix(np.arange(vocabulary, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    place, sign = (h >> np.uint64(56)).astype(np.int64) % HASHED, 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
+    return place, sign, rows
 
 
-def coordinates(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Hashed word counts of each row, at unit length, along the fixed directions."""
-    _, _, h, first = words(buf, offsets, lower=True)
-    rows = len(offsets) - 1
-    who = np.repeat(np.arange(rows), np.diff(first))
-    sign = 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
-    bag = np.bincount(who * HASHED + (h >> np.uint64(56)).astype(np.int64), weights=sign, minlength=rows * HASHED).reshape(rows, HASHED)
-    size = np.sqrt((bag * bag).sum(axis=1, keepdims=True))
-    return (bag / np.where(size == 0, 1, size)) @ _directions()
+def coordinates(ids: np.ndarray, vocabulary: int) -> np.ndarray:
+    """The hashed token counts of a text, at unit length, along the fixed directions."""
+    place, sign, rows = _directions(vocabulary)
+    bag = np.bincount(place[ids], weights=sign[ids], minlength=HASHED)
+    size = float(np.sqrt((bag * bag).sum()))
+    return (bag / (size or 1.0)) @ rows
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -109,19 +125,21 @@ def tokenized(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     names = ["doc_id", "row", "n", "ids", *(f"c{i}" for i in range(DIMS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_file)
-        width = np.dtype("<u2") if _tokenizer(tokenizer_file).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = max(_tokenizer(tokenizer_file).get_vocab().values()) + 1
+        width = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at, buf, offsets in blocks(batch.column(1)):
-                ids, bounds = encoder.rows(buf, offsets)
-                rows = len(offsets) - 1
-                full = np.insert(ids.astype(width), bounds[1:], END_ID)
-                ends = bounds + np.arange(rows + 1)
-                binary = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((ends * width.itemsize).astype(np.int32)), pa.py_buffer(full)])
-                where = coordinates(buf, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(np.arange(row, row + rows)), pa.array(np.diff(ends)), binary, *(pa.array(where[:, i]) for i in range(DIMS))], names)
-                row += rows
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                sizes, raw, where = [], [], []
+                for text in part.column(1):
+                    ids = text_ids(text.as_py(), tokenizer_file)
+                    sizes.append(len(ids) + 1)
+                    raw.append(np.append(ids, END_ID).astype(width).tobytes())
+                    where.append(coordinates(ids, vocabulary))
+                n, points = len(sizes), np.array(where)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(row, row + n)), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), *(pa.array(points[:, i]) for i in range(DIMS))], names)
+                row += n
 
     schema = f"doc_id {kind}, row long, n long, ids binary, " + ", ".join(f"c{i} double" for i in range(DIMS))
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -11,8 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from matchspark.llm import byte_bpe, chat_format, language_id, license_scan, packing, quality, toxicity
-from matchspark.llm._text import blocks, words
+from matchspark.llm import _encode, byte_bpe, chat_format, language_id, license_scan, packing, quality, toxicity
+from matchspark.llm._text import blocks, sequence_hashes, words
 from tests.llm.common import empty_docs, odd_docs
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -31,15 +31,65 @@ def test_words_are_bytes_split(texts):
             assert [raw[a:b] for a, b in zip(s[first[i] : first[i + 1]], e[first[i] : first[i + 1]])] == texts[at + i].encode().split()
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(MIXED, min_size=1, max_size=6))
-def test_pieces_give_the_ids_of_whole_texts(texts):
-    enc = byte_bpe.encoding(RANKS, P.PATTERN)
-    tok = packing._tokenizer(VOCAB)
-    for at, buf, offsets in blocks(pa.array(texts)):
-        for encoder, whole in ((byte_bpe._encoder(RANKS, P.PATTERN), enc.encode_ordinary), (packing._encoder(VOCAB), lambda t: tok.encode(t, add_special_tokens=False).ids)):
-            ids, b = encoder.rows(buf, offsets)
-            assert [ids[x:y].tolist() for x, y in zip(b, b[1:])] == [whole(t) for t in texts[at : at + len(b) - 1]]
+def own_tokenizer():
+    """The contract's own call, made here."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(VOCAB)
+    return lambda t: tok.encode(t or "", add_special_tokens=False).ids
+
+
+def own_encoding():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+@pytest.mark.parametrize("stretch", [3, 1 << 18])
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch, stretch):
+    monkeypatch.setattr(_encode, "STRETCH", stretch)
+    bpe, tok = own_encoding(), own_tokenizer()
+
+    @settings(max_examples=150, deadline=None)
+    @given(MIXED)
+    def check(text):
+        assert byte_bpe._encoder(RANKS, P.PATTERN).ids(text).tolist() == bpe(text)
+        assert packing.text_ids(text, VOCAB).tolist() == tok(text)
+
+    check()
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_texts_that_modular_hashes_confuse(spark):
+    """Thue and Morse's strings: power-of-two rolling hashes of both are equal."""
+    pair = thue_morse(2048)
+    docs = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
+    bpe = own_encoding()
+    digest = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert {r.doc_id: r.ids_sha256 for r in byte_bpe.round_trip(docs, RANKS, P.PATTERN).collect()} == {i: digest(bpe(t)) for i, t in enumerate(pair)}
+    check_packing(packing.pack(docs, VOCAB).collect(), list(enumerate(pair)))
+    for at, buf, offsets in blocks(pa.array([*pair, " ".join(pair[0]), " ".join(pair[1])])):
+        s, e, h, first = words(buf, offsets)
+        assert h[0] != h[1]
+        assert len(set(sequence_hashes(h, first[2:-1], first[3:]).tolist())) == 2
+
+
+def test_remembered_pieces_age(monkeypatch):
+    bpe = own_encoding()
+    small = _encode.PieceEncoder(bpe, most=40)
+    rnd = random.Random(1)
+    for _ in range(300):
+        text = " ".join(rnd.choice(["alpha", "beta\nx", "gamma", "  ", "delta" * 20]) for _ in range(12))
+        assert small.ids(text).tolist() == bpe(text)
 
 
 def test_bpe_of_odd_rows(spark):
@@ -49,15 +99,20 @@ def test_bpe_of_odd_rows(spark):
     assert sorted((r.doc_id or -1, r.decoded_sha256) for r in out) == sorted((r.doc_id or -1, digest(r.text)) for r in docs.collect())
     assert byte_bpe.round_trip(empty_docs(spark), RANKS, P.PATTERN).count() == 0
     huge = spark.createDataFrame([(1, " " * 300_000 + "x"), (2, "a" * 100_000), (3, "é 　" * 20_000)], "doc_id long, text string")
-    raw = {r.doc_id: bytes(r.raw).decode() for r in byte_bpe.decode(byte_bpe.encode(huge, RANKS, P.PATTERN), RANKS).collect()}
+    encoded = byte_bpe.encode(huge, RANKS, P.PATTERN)
+    raw = {r.doc_id: bytes(r.raw).decode() for r in byte_bpe.decode(encoded, RANKS).collect()}
     assert raw == {r.doc_id: r.text for r in huge.collect()}
+    bpe = own_encoding()
+    assert {r.doc_id: r.ids for r in encoded.where("doc_id > 1").collect()} == {2: bpe("a" * 100_000), 3: bpe("é 　" * 20_000)}
+    blank = spark.createDataFrame([(1, " " * 30_000 + "x")], "doc_id long, text string")  # as long as tiktoken's own pattern goes
+    assert byte_bpe.encode(blank, RANKS, P.PATTERN).first().ids == bpe(" " * 30_000 + "x")
 
 
 def test_bpe_query(spark, sf_dir):
-    enc = byte_bpe.encoding(RANKS, P.PATTERN)
+    bpe = own_encoding()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in byte_bpe.op6_byte_bpe(spark, sf_dir).collect():
-        ids = enc.encode_ordinary(texts[r.doc_id])
+        ids = bpe(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
 
@@ -311,15 +366,15 @@ def check_packing(rows, texts):
     """rows against whole encodings: every id in one piece, sequences gapless and full but the last."""
     import zlib
 
-    tok = packing._tokenizer(VOCAB)
+    tok = own_tokenizer()
     by = {}
     for r in rows:
         by.setdefault((r.doc_id, r.doc_tokens), []).append(r)
     want = Counter()
     for i, t in texts:
-        want[i, len(tok.encode(t or "", add_special_tokens=False).ids) + 1] += 1
+        want[i, len(tok(t)) + 1] += 1
     assert {k: len({(r.sequence_id, r.offset) for r in v if r.start == 0}) for k, v in by.items()} == dict(want)
-    ids_of = {i: np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for i, t in texts}
+    ids_of = {i: np.array(tok(t) + [0], "<u4") for i, t in texts}
     for r in rows:
         assert r.ids_crc32 == zlib.crc32(ids_of[r.doc_id][r.start : r.start + r.length])
     sequences = {}
@@ -341,6 +396,8 @@ def test_packing(spark, sf_dir):
     check_packing(packing.op10_packing(spark, sf_dir).collect(), [(r.doc_id, r.text) for r in docs.collect()])
     odd = odd_docs(spark)
     check_packing(packing.pack(odd, VOCAB).collect(), [(r.doc_id, r.text) for r in odd.collect()])
+    marked = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 900), (3, "plain")], "doc_id long, text string").withColumns({"row": F.lit(1), "n": F.lit(2), "ids": F.lit("x"), "key": F.lit(0), "first": F.lit(9), "c0": F.lit("y")})
+    check_packing(packing.pack(marked, VOCAB).collect(), [(r.doc_id, r.text) for r in marked.collect()])
     assert packing.pack(empty_docs(spark), VOCAB).count() == 0
 
 
