@@ -29,9 +29,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_kept(spark: SparkSession, df: DataFrame) -> None:
+def drop_kept(*kept: DataFrame) -> None:
     """Delete what keep() wrote, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    for df in kept:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -175,7 +175,7 @@ def build(rows: DataFrame) -> DataFrame:
         both = tagged.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new"))
         next_ = keep(_best(both, DEGREE), "graph")
         counts = next_.agg(F.sum("new").alias("new"), F.count(F.lit(1)).alias("all")).first()
-        drop_kept(rows.sparkSession, graph)
+        drop_kept(graph)
         graph = next_.drop("new")
         if (counts["new"] or 0) <= LEAST_CHANGE * counts["all"]:
             return graph
@@ -215,14 +215,14 @@ def walk(rows: DataFrame, graph: DataFrame, queries: DataFrame, length: int) ->
         listed = seen.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= length)
         worst = F.when(F.count(F.lit(1)).over(Window.partitionBy("q")) >= length, F.min("s").over(Window.partitionBy("q"))).otherwise(F.lit(float("-inf")))
         listed = keep(listed.withColumn("worst", worst).withColumn("now", (F.row_number().over(turn) <= OPENED) & ~F.col("opened")).select("q", "id", "s", "opened", "now", "worst"), "list")
-        drop_kept(spark, seen)
+        drop_kept(seen)
         front = listed.where("now").select("q", "worst", F.col("id").alias("at"))
         if front.isEmpty():
             return listed.select("q", "id", "s")
         old = listed.select("q", "id", "s", (F.col("opened") | F.col("now")).alias("opened"))
         fresh = _open(front.hint("merge").join(queries, "q"), nodes).withColumn("opened", F.lit(False))
         seen = keep(old.unionByName(fresh).groupBy("q", "id").agg(F.max("s").alias("s"), F.max("opened").alias("opened")), "list")
-        drop_kept(spark, listed)
+        drop_kept(listed)
 
 
 def search(rows: DataFrame, graph: DataFrame, is_query: Column, nearest: int) -> DataFrame:

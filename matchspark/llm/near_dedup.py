@@ -12,10 +12,12 @@
    roots suffice, and of about 1e-8, 2e-6, 3.4e-5 where 2, 3, 4 levels are needed
    (``chance_lost``: averaged over how many min-wise values agree, as all trees
    draw on the same ones). The sketches lose 3e-5 more of small nodes' pairs.
-3. Candidate components are verified on full sets: the members' texts come
-   together in blocks of bounded weight (a component beyond one block is dealt
-   to all pairs of its blocks), and a search from text to text finds all links
-   of Jaccard similarity at least ``threshold`` that join different groups.
+3. Candidate components are verified on full sets. The members' texts come
+   together once, in blocks of bounded weight, and a search from text to text
+   finds groups joined by links of Jaccard similarity at least ``threshold``. Of
+   a component beyond one block, one text stands for each group; those are
+   searched in the same way until a component's fit one block or no longer
+   shrink. Only texts outside the largest group found then visit all blocks.
 4. Components over the confirmed links give each document's component_id.
 
 Defined results. Null text or no words: an empty set, linked with nothing.
@@ -28,6 +30,7 @@ Further columns are not read. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import comb
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchspark.llm._components import components
-from matchspark.llm._tables import keep, table
+from matchspark.llm._tables import drop_kept, keep, table
 from matchspark.llm._text import blocks, mix, sequence_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -45,7 +48,7 @@ FUNCTIONS, CHOOSE_FROM = 64, 64
 TREES, BRANCHES, SMALL, DEPTH = 20, (2.0, 1.25), 64, 4
 #: Equal two-bit values of 64 below which a pair of similarity 0.8 falls with a chance of about 1e-5.
 LEAST_EQUAL = 42
-#: Shingles (and ROW_WEIGHT for each text) that a block of the verification holds.
+#: Shingles (and ROW_WEIGHT for each text) that a block of the verification holds, on average.
 BLOCK_WEIGHT, ROW_WEIGHT = 400_000, 200
 
 _RNG = np.random.default_rng(11)
@@ -127,18 +130,20 @@ def _children(node: Column, values: Column, branches: float) -> Column:
 def candidates(classes: DataFrame) -> DataFrame:
     """Edges (a, b) of classes (doc_id, a, b, values) that may be similar: their components hold every similar pair."""
     roots = F.array(*(F.lit(t).cast("long") for t in range(TREES)))
-    at = classes.select("doc_id", F.explode(roots).alias("node"))
     own = classes.select(F.col("doc_id").alias("_doc"), "a", "b", "values")
-    found = None
+    at = found = None
     for depth in range(1, DEPTH + 1):
-        if depth == 1:
-            stepped = classes.select("doc_id", "a", "b", F.explode(roots).alias("node"), "values")
-        else:
-            stepped = at.hint("merge").join(own, F.col("doc_id") == F.col("_doc")).select("doc_id", "a", "b", "node", "values")
-        stepped = stepped.select("doc_id", "a", "b", F.explode(_children(F.col("node"), F.col("values"), BRANCHES[depth > 1])).alias("node"))
+        if at is None:
+            stepped = classes.select("doc_id", "a", "b", "values", roots.alias("nodes"))
+        else:  # one row a class with its nodes, of which trees and branches bound the number
+            held = at.groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
+            stepped = held.hint("merge").join(own, F.col("doc_id") == F.col("_doc"))
+        children = F.flatten(F.transform("nodes", lambda node: _children(node, F.col("values"), BRANCHES[depth > 1])))
+        stepped = stepped.select("doc_id", "a", "b", F.explode(children).alias("node"))
         stepped = keep(stepped, "nodes")
         sizes = keep(stepped.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         sized = keep(stepped.hint("merge").join(sizes, "node"), "sized")
+        drop_kept(stepped)
         small = sized.where(F.col("n") <= SMALL)
         edges = small.select("node", "doc_id", "a", "b").repartition("node").sortWithinPartitions("node").mapInArrow(_compare, "a long, b long")
         at = sized.where(F.col("n") > SMALL).select("doc_id", "node")
@@ -154,7 +159,7 @@ def candidates(classes: DataFrame) -> DataFrame:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges that join the classes of each (small) node whose sketches agree; rows come sorted by node."""
     rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
-    for batch in [*batches, None]:
+    for batch in chain(batches, [None]):
         more = [c.to_numpy() for c in batch.columns] if batch is not None else [np.zeros(0, np.int64)] * 4
         node, doc, a, b = (np.concatenate(x) for x in zip(rest, more))
         if not len(node):
@@ -239,56 +244,122 @@ def linked_groups(h: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray
     return group
 
 
-def confirmed(docs: DataFrame, members: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Edges (a, b) whose components are those of all links within each candidate component.
-
-    members: doc_id, root, n_shingles of the classes of candidate components.
-    """
-    percent = round(100 * threshold)
-    weight = keep(members.groupBy("root").agg(F.sum(F.col("n_shingles") + ROW_WEIGHT).alias("w")), "weights")
-    blocks_ = F.ceil(F.col("w") / BLOCK_WEIGHT).cast("int")
-    spread = members.hint("merge").join(weight, "root").select(F.col("doc_id").alias("_doc"), "root", blocks_.alias("k"), F.pmod(F.xxhash64("doc_id"), blocks_).cast("int").alias("own"))
-    texts = spread.hint("merge").join(docs.select("doc_id", "text"), F.col("_doc") == F.col("doc_id")).select("doc_id", "root", "k", "own", "text")
-    # all pairs of blocks; a component of one block is dealt once
-    other = F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda y: y != F.col("own"))))
-    dealt = texts.withColumn("other", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "text")
+def cross_links(h: np.ndarray, bounds: np.ndarray, label: np.ndarray, visitors: int, percent: int) -> list[tuple[int, int]]:
+    """Links of the first ``visitors`` sets to later ones of another label; labels that a link joins count as one from then on."""
+    label = label.copy()
+    keys, flat = np.unique(h, return_inverse=True)
+    size = np.diff(bounds)
+    flags = np.zeros(len(keys), bool)
+    here = np.arange(visitors, len(size))
+    start = bounds[:-1][visitors:] - bounds[visitors]
+    flat_here = flat[bounds[visitors] :]
+    found = []
+    for i in range(visitors if len(here) else 0):
+        own = flat[bounds[i] : bounds[i + 1]]
+        flags[own] = True
+        shared = np.add.reduceat(flags[flat_here].view(np.int8), start, dtype=np.int64)
+        flags[own] = False
+        hit = here[(label[here] != label[i]) & (100 * shared >= percent * (size[i] + size[here] - shared))]
+        for other in hit.tolist():
+            if label[other] != label[i]:
+                found.append((i, other))
+                label[label == label[other]] = label[i]
+    return found
+
+
+def _in_blocks(rows: DataFrame, keys: list[str], shingle: int, links) -> DataFrame:
+    """Edges (a, b) that ``links(h, bounds, label, visits)`` finds in each block of rows (keys, visits, label, doc_id, text), visitors first."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
-        left, right = [], []
+        now, held = None, []
+        found: list[tuple[int, int]] = []
 
         def close() -> None:
-            if len(ids) > 1:
-                size = np.fromiter(map(len, sets), np.int64, len(sets))
-                group = linked_groups(np.concatenate(sets), np.concatenate([np.zeros(1, np.int64), np.cumsum(size)]), percent)
-                for k, g in enumerate(group.tolist()):
-                    if g != k:
-                        left.append(ids[g])
-                        right.append(ids[k])
+            if len(held) > 1:
+                ids, sets, label, visits = zip(*held)
+                bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, sets), np.int64, len(sets)))])
+                found.extend((ids[i], ids[j]) for i, j in links(np.concatenate(sets), bounds, np.array(label), sum(visits)))
 
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
-            who = batch.column(3).to_pylist()
-            for at, buf, offsets in blocks(batch.column(4)):
+            block = list(zip(*(batch.column(c).to_pylist() for c in range(len(keys)))))
+            visits, label, who = (batch.column(len(keys) + c).to_pylist() for c in range(3))
+            for at, buf, offsets in blocks(batch.column(len(keys) + 3)):
                 h, bounds = shingle_hashes(buf, offsets, shingle)
                 b = bounds.tolist()
                 for r in range(len(offsets) - 1):
-                    if keys[at + r] != now:
+                    if block[at + r] != now:
                         close()
-                        now, ids, sets = keys[at + r], [], []
-                    ids.append(who[at + r])
-                    sets.append(np.unique(h[b[r] : b[r + 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-            left, right = [], []
+                        now, held = block[at + r], []
+                    held.append((who[at + r], np.unique(h[b[r] : b[r + 1]]), label[at + r], visits[at + r]))
+            yield _edges(found)
+            found.clear()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        yield _edges(found)
+
+    def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("visits"))
+    return dealt.select(*keys, "visits", "label", "doc_id", "text").mapInArrow(search, "a long, b long")
 
-    keys = ["root", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a long, b long")
+
+def _block_of(seed: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("k")).cast("int")
+
+
+def confirmed(docs: DataFrame, members: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Edges (a, b) whose components are those of all links within each candidate component.
+
+    members: doc_id, root, n_shingles of the classes of candidate components.
+    """
+    percent = round(100 * threshold)
+
+    def stars(h: np.ndarray, bounds: np.ndarray, label: np.ndarray, visits: int) -> list[tuple[int, int]]:
+        return [(g, k) for k, g in enumerate(linked_groups(h, bounds, percent).tolist()) if g != k]
+
+    weigh = lambda df: df.groupBy("root").agg(F.sum(F.col("n_shingles") + ROW_WEIGHT).alias("w"), F.count(F.lit(1)).alias("n"))
+    blocks_ = F.ceil(F.col("w") / BLOCK_WEIGHT).cast("int")
+    weight = keep(weigh(members), "weights")
+    spread = members.hint("merge").join(weight.select("root", blocks_.alias("k"), "n"), "root").select(F.col("doc_id").alias("_doc"), "root", "k", "n", "n_shingles")
+    texts = spread.hint("merge").join(docs.select("doc_id", "text"), F.col("_doc") == F.col("doc_id")).drop("_doc")
+    texts = texts.withColumns({"label": F.col("doc_id"), "visits": F.lit(False)})
+    links = keep(_in_blocks(texts.withColumn("own", _block_of(0)), ["root", "own"], shingle, stars), "links")
+    if weight.where(blocks_ > 1).isEmpty():
+        return links
+
+    crowd = live = keep(texts.where("k > 1"), "crowd")
+    found, seed = links, 0
+    while True:  # one text of each group of a block; each doc_id is the b of one star at most
+        standing = keep(live.hint("merge").join(links.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), "standing")
+        sizes = weigh(standing).select("root", blocks_.alias("_k"), F.col("n").alias("_n"))
+        again = standing.hint("merge").join(sizes, "root").where("k > 1 and 2 * _n <= n")
+        live = keep(again.withColumns({"k": F.col("_k"), "n": F.col("_n")}).drop("_k", "_n"), "standing")
+        if live.isEmpty():
+            break
+        seed += 1
+        links = keep(_in_blocks(live.withColumn("own", _block_of(seed)), ["root", "own"], shingle, stars), "links")
+        found = found.unionByName(links)
+
+    named = components(found.hint("merge").join(crowd.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b"))
+    labelled = crowd.drop("label").hint("merge").join(named.select(F.col("id").alias("_id"), F.col("root").alias("_group")), F.col("doc_id") == F.col("_id"), "left")
+    labelled = keep(labelled.withColumn("label", F.coalesce("_group", "doc_id")).drop("_id", "_group"), "labelled")
+    groups = labelled.groupBy("root", "label").agg(F.sum(F.col("n_shingles") + ROW_WEIGHT).alias("w"))
+    largest = groups.groupBy("root").agg(F.max(F.struct("w", "label"))["label"].alias("_main"), F.sum("w").alias("_all"), F.max("w").alias("_most"))
+    largest = largest.where("_all > _most").select("root", "_main", F.ceil((F.col("_all") - F.col("_most")) / BLOCK_WEIGHT).cast("int").alias("turns"))
+    split = keep(labelled.hint("merge").join(largest, "root"), "split")
+    turn = F.explode(F.sequence(F.lit(0), F.col("turns") - 1))
+    residents = split.withColumns({"own": _block_of(0), "turn": turn})
+    visitors = split.where("label <> _main").withColumns({"turn": F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.col("turns")).cast("int"), "own": F.explode(F.sequence(F.lit(0), F.col("k") - 1)), "visits": F.lit(True)})
+    columns = ["root", "own", "turn", "visits", "label", "doc_id", "text"]
+    across = lambda h, bounds, label, visits: cross_links(h, bounds, label, visits, percent)
+    met = _in_blocks(residents.select(*columns).unionByName(visitors.select(*columns)), ["root", "own", "turn"], shingle, across)
+    return found.unionByName(met)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id is the smallest of its component)."""
+    if threshold < THRESHOLD:
+        raise ValueError(f"branches and sketches are made for similarities of {THRESHOLD} or more")
     signed = keep(signatures(docs, shingle), "signatures")
     same = ["s1", "s2", "n_shingles"]
     usable = signed.where("n_shingles > 0 and doc_id is not null")

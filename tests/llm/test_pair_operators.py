@@ -174,6 +174,53 @@ def test_links_just_above_the_threshold_in_a_crowd(spark, monkeypatch):
     assert found_components(near_dedup.near_duplicates(docs, 1)) == brute_components(rows, 1)
 
 
+def test_cross_links_join_what_all_pairs_join():
+    rnd = np.random.default_rng(8)
+    for _ in range(40):
+        base = rnd.integers(0, 1000, 30)
+        sets = []
+        for _ in range(int(rnd.integers(2, 14))):
+            own = base.copy()
+            own[rnd.integers(0, 30, int(rnd.integers(0, 9)))] = rnd.integers(1000, 9000)
+            sets.append(np.unique(own).astype(np.uint64))
+        label = rnd.integers(0, 4, len(sets))
+        visitors = int(rnd.integers(0, len(sets) + 1))
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        near = lambda i, j: 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - both)
+        got = near_dedup.cross_links(np.concatenate(sets), bounds, label, visitors, 80)
+        assert all(i < visitors <= j and near(i, j) for i, j in got)
+
+        def joined(edges):
+            root = {x: x for x in range(4)}
+            for i, j in edges:
+                a, b = root[label[i]], root[label[j]]
+                root = {x: a if r == b else r for x, r in root.items()}
+            return [root[a] == root[b] for a in range(4) for b in range(4)]
+
+        assert joined(got) == joined((i, j) for i in range(visitors) for j in range(visitors, len(sets)) if near(i, j))
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_texts_that_modular_hashes_confuse(spark):
+    """Thue and Morse's strings, as single words and as words: power-of-two rolling hashes of both are equal."""
+    a, b = thue_morse(2048)
+    rows = list(enumerate([a, b, " ".join(a), " ".join(b), " ".join(f"{a}{i} {a}" for i in range(12)), " ".join(f"{a}{i} {b}" for i in range(12))]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_components(near_dedup.near_duplicates(docs, 2)) == brute_components(rows, 2)
+    assert kept_of(substring_dedup.remove_repeats(docs)) == brute_kept(rows)
+
+
+def test_only_high_thresholds(spark):
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(empty_docs(spark), threshold=0.7)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = defaultdict(list)
     for r in near_dedup.near_duplicates(odd_docs(spark), 2).collect():
