@@ -12,6 +12,7 @@ encoded once while it is remembered; pieces are compared as strings.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,7 +53,7 @@ class PieceEncoder:
         self.pieces, self.after_space = _Pieces(self), _AfterSpace(self)
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._raw, stretches(text or ""))), "<u4")
+        return np.frombuffer(b"".join(map(self._raw, stretches(text or ""))), np.uint32)
 
     def _raw(self, part: str) -> bytes:
         if 2 * self.held > self.most:
@@ -77,7 +78,7 @@ class _Pieces(dict):
         self.clear()
 
     def made(self, piece: str) -> bytes:
-        return np.array(self.owner.encode(piece), "<u4").tobytes()
+        return array("I", self.owner.encode(piece)).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         raw = self.old.get(piece)
@@ -93,7 +94,7 @@ class _AfterSpace(_Pieces):
     """Raw ids of a space and what follows it up to the next space, by the latter."""
 
     def __missing__(self, rest: str) -> bytes:
-        if len(found := _PIECE.findall(" " + rest)) > 1:
+        if not rest.isalpha() and len(found := _PIECE.findall(" " + rest)) > 1:
             return b"".join(map(self.owner.pieces.__getitem__, found))
         return super().__missing__(rest)
 

@@ -24,6 +24,7 @@ read. An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,6 +45,8 @@ SEQUENCE = 1024
 END_ID = 0
 #: Rows of one output batch at most.
 ROWS = 500
+#: A word of Latin letters, and marks after it.
+_WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 
 
 @lru_cache(maxsize=2)
@@ -60,10 +63,30 @@ def _special(path: str) -> tuple[str, ...]:
     return tuple(x.content for x in _tokenizer(path).get_added_tokens_decoder().values())
 
 
+@lru_cache(maxsize=2)
+def _byte_letters(path: str) -> dict[int, str]:
+    """The letter that the tokenizer's model has for each byte of a word."""
+    split = _tokenizer(path).pre_tokenizer.pre_tokenize_str
+    found = {}
+    for c in map(chr, range(0x21, 0x250)):
+        found |= dict(zip(c.encode(), "".join(x for x, _ in split(c))))
+    found[0x20] = split(" a")[0][0][0]
+    return found
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> PieceEncoder:
-    tokenizer = _tokenizer(path)
-    return PieceEncoder(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids)
+    tokenizer, letters = _tokenizer(path), _byte_letters(path)
+    model = tokenizer.model
+
+    def encode(piece: str) -> list[int]:
+        word = _WORD.fullmatch(piece)
+        if word is None:
+            return tokenizer.encode(piece, add_special_tokens=False).ids
+        # one match of the pattern, or two: straight to the model
+        return [t.id for part in word.groups() if part for t in model.tokenize(part.encode().decode("latin-1").translate(letters))]
+
+    return PieceEncoder(encode)
 
 
 def text_ids(text: str | None, path: str) -> np.ndarray:
