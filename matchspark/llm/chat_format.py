@@ -8,7 +8,13 @@ text can imitate the template and every segment can be read back exactly.
 ``examples`` explodes each conversation into one example for every assistant
 turn: all preceding segments are its context and only that reply is trainable.
 An example is the prefix of its conversation that ends with the reply, so it is
-stored as offsets; ``with_text`` writes the prefixes out where they are wanted.
+a row of references into the segments: how many it takes, how many characters
+they have, and which of these train. ``with_text`` writes the prefixes out where
+they are wanted; ``read_back`` resolves the references and undoes the template.
+
+A conversation is one group: its offsets are running sums, and a digest of its
+turns can only be taken in order. Both are streams over sorted rows that keep
+one row in memory, so a conversation of any length takes time, not memory.
 
 Defined results. Null text: empty. Null role: empty, not trainable. Turns are
 ordered by turn (null first), then role, then text, so ties and repeated rows
@@ -26,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchspark.llm._tables import table
+from matchspark.llm._tables import keep, table
 
 ESC = "\x1b"
 #: Control strings of the template; ESC after the first character breaks one.
@@ -72,22 +78,19 @@ def _order(prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}turn").asc_nulls_first(), F.col(f"{prefix}role"), F.col(f"{prefix}segment")]
 
 
-def expand(segments: DataFrame) -> DataFrame:
-    """Every segment with its place (n_context, context_chars: what stands before it) and, for an assistant turn, the
-    example that ends with it: its first example_chars characters, of which [loss_start, loss_start + loss_chars) train."""
+def placed(segments: DataFrame) -> DataFrame:
+    """Every segment with its place: n_context, how many stand before it, and context_chars, how long those are."""
     before = Window.partitionBy("conv_id").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("segment")
-    placed = segments.withColumn("n_context", F.count(F.lit(1)).over(before)).withColumn("context_chars", F.coalesce(F.sum(size).over(before), F.lit(0)))
-    only = lambda c: F.when(F.col("trainable"), c)
-    return placed.select(
-        "conv_id", "turn", "role", "segment", "n_context", "context_chars",
-        only(F.col("context_chars") + F.col("head")).alias("loss_start"), only(F.col("body").cast("long")).alias("loss_chars"), only(F.col("context_chars") + size).alias("example_chars"),
-    )
+    counted = segments.withColumn("n_context", F.count(F.lit(1)).over(before)).withColumn("context_chars", F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0)))
+    return counted.select("conv_id", "turn", "role", "segment", "head", "body", "trainable", "n_context", "context_chars")
 
 
-def examples(segments: DataFrame) -> DataFrame:
-    """One row for each assistant turn: all turns before it as context, only its reply under the loss mask."""
-    return expand(segments).where("example_chars is not null").drop("role", "segment")
+def examples(placed_: DataFrame) -> DataFrame:
+    """One row for each assistant turn: the n_context segments before it and its own are the example's first example_chars
+    characters, of which [loss_start, loss_start + loss_chars) train."""
+    return placed_.where("trainable").select(
+        "conv_id", "turn", "n_context", (F.col("context_chars") + F.col("head")).alias("loss_start"), F.col("body").cast("long").alias("loss_chars"), (F.col("context_chars") + F.length("segment")).alias("example_chars"),
+    )
 
 
 def with_text(segments: DataFrame, found: DataFrame) -> DataFrame:
@@ -108,56 +111,67 @@ def read_segment(segment: str) -> tuple[str, str]:
     return kind, unescape(m[kind])
 
 
-def read_back(expanded: DataFrame) -> DataFrame:
-    """One row for each conversation, read from its expanded segments in order: n_turns, turns_sha256, n_examples, loss_chars, loss_sha256, formatted_chars.
+def read_back(placed_: DataFrame, found: DataFrame) -> DataFrame:
+    """One row for each conversation: n_turns, turns_sha256 and formatted_chars, read from its segments in order, and n_examples, loss_chars and loss_sha256, read from its examples.
 
-    Rows are dealt by conversation and sorted; one pass keeps a running digest,
-    so a conversation of any length takes constant memory.
+    An example follows the last segment that it takes, and what it trains on is
+    cut out of that one; an example that reaches elsewhere is an error.
     """
-    kind = expanded.schema["conv_id"].dataType.simpleString()
+    kind = placed_.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "n_turns", "turns_sha256", "n_examples", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, state = None, None
+        now, state, last = None, None, ""
 
         def close() -> None:
             if state is not None:
                 out.append((now, state[0], state[1].hexdigest(), state[2], state[3], state[4].hexdigest(), state[5]))
 
+        def flushed(id_type: pa.DataType) -> pa.RecordBatch:
+            kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names)
+            out.clear()
+            return batch
+
+        id_type = None
         for batch in batches:
-            for conv, segment, at, start, chars in zip(*(c.to_pylist() for c in batch.columns)):
+            id_type = batch.schema.field(0).type
+            for conv, segment, at, start, chars, end in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or conv != now:
                     close()
                     now, state = conv, [0, hashlib.sha256(), 0, 0, hashlib.sha256(), 0]
-                role, text = read_segment(segment)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[5] += len(segment)
-                if start is not None:
-                    masked = unescape(segment[start - at : start - at + chars])
-                    state[2] += 1
-                    state[3] += len(masked)
-                    state[4].update(masked.encode())
+                if start is None:
+                    role, text = read_segment(segment)
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
+                    state[5] += len(segment)
+                    last, begin = segment, at
+                    continue
+                if end != state[5] or start < begin:
+                    raise ValueError("an example that does not end with the segment before it")
+                masked = unescape(last[start - begin : start - begin + chars])
+                state[2] += 1
+                state[3] += len(masked)
+                state[4].update(masked.encode())
             if len(out) > 5000:
-                yield batch_of(out)
-                out.clear()
+                yield flushed(id_type)
         close()
-        yield batch_of(out)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        names = ["conv_id", "n_turns", "turns_sha256", "n_examples", "loss_chars", "loss_sha256", "formatted_chars"]
-        kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+        if id_type is not None:
+            yield flushed(id_type)
 
-    id_type = {"string": pa.string(), "int": pa.int32()}.get(kind, pa.int64())
-    dealt = expanded.repartition("conv_id").sortWithinPartitions("conv_id", "n_context")
-    return dealt.select("conv_id", "segment", "context_chars", "loss_start", "loss_chars").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, n_examples long, loss_chars long, loss_sha256 string, formatted_chars long")
+    none = lambda t: F.lit(None).cast(t)
+    rows = placed_.select("conv_id", "n_context", "segment", "context_chars", none("long").alias("loss_start"), none("long").alias("loss_chars"), none("long").alias("example_chars"))
+    rows = rows.unionByName(found.select("conv_id", "n_context", none("string").alias("segment"), none("long").alias("context_chars"), "loss_start", "loss_chars", "example_chars"))
+    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "n_context", F.col("loss_start").asc_nulls_first())
+    return dealt.select("conv_id", "segment", "context_chars", "loss_start", "loss_chars", "example_chars").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, n_examples long, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return read_back(expand(format_turns(turns.unionByName(own))))
+    segments = keep(placed(format_turns(turns.unionByName(own))), "segments")
+    return read_back(segments, keep(examples(segments), "examples"))
 
 
 QUERIES = {"op3_chat_format": op3_chat_format}

@@ -4,16 +4,21 @@
    informative Dirichlet prior (the pooled token frequencies), are computed
    with DataFrame aggregations over a bounded sample of labelled rows (at most
    about ``per_class`` of either label, by a hash of the id; exact copies count
-   once, and a token once a text). Tokens whose log-odds
-   exceed ``z`` standard deviations score positive; every other token costs a
-   constant, so that a random text drifts downwards.
+   once, and a token once a text). A token scores its log-odds, above or below
+   zero, where they exceed ``Z`` standard deviations, else nothing; every token
+   pays a drift beside, the least that makes random clean text sink.
 2. A linear scan (all maximal scoring segments, Ruzzo and Tompa) finds every
    passage of a whole text. Runs of tokens without evidence fold into one
    negative step, so the scan touches evidence only.
 3. A segment score S becomes ``lambda * S - ln(n)``, its surprise under the
-   extreme-value law of a random text of n tokens; lambda solves
+   extreme-value law of a random text of n tokens (minus the logarithm of how
+   many such segments chance would make); lambda solves
    sum(p * exp(lambda * s)) = 1 over clean tokens. Surprises of the significant
-   segments are added, and a logistic fit on the sample maps the sum to (0, 1).
+   segments (less than ``CHANCE`` expected) are added, and a logistic fit maps
+   the sum to (0, 1). It is fitted on a fifth of the sample that the log-odds
+   have not seen.
+
+The sample is written once, so documents are read twice: to draw it and to score.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased and ASCII punctuation at
 both ends left out.
@@ -36,25 +41,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchspark.llm._tables import keep as keep_table
 from matchspark.llm._tables import table
 from matchspark.llm._text import blocks, span_hashes, _LOWER, words
 
 PER_CLASS = 3000
 #: Weight of the prior, as a multiple of the smaller class's tokens.
 PRIOR = 1.0
-Z = 4.0
-MOST_TOKENS = 50_000
-#: Surprise from which a segment counts.
-SIGNIFICANT = 0.0
+Z = 3.0
+#: What one random token adds on average in clean text, at most; the drift sees to it.
+SINK = -0.05
+#: Segments as high as a significant one that chance makes in a text.
+CHANCE = 0.05
+SIGNIFICANT = -math.log(CHANCE)
+#: One part in so many of the sample is left for the fit.
+HELD_BACK = 5
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 @dataclass
 class Model:
-    tokens: np.ndarray  # sorted hashes of tokens that score positive
-    scores: np.ndarray
-    drift: float  # cost of any other token
+    tokens: np.ndarray  # sorted hashes of the tokens with evidence
+    scores: np.ndarray  # their log-odds less the drift
+    drift: float  # cost of any token
     rate: float  # lambda
     slope: float = 0.0
     offset: float = 0.0
@@ -151,9 +161,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     chosen = own.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) < part)
     # at most about 2 * per_class ids, so sending them to every task is bounded by that parameter
     # copies would count a token's chance company as often as they were copied
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").where("text is not null").dropDuplicates(["text", "toxic"])
+    sample = keep_table(rows, "labelled")
+    part = F.pmod(F.xxhash64("text"), F.lit(HELD_BACK))
 
-    by = _tokens(rows).groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    by = _tokens(sample.where(part > 0)).groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    by = keep_table(by, "tokens")
     totals = by.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     if not totals["t"] or not totals["c"]:
         return nothing
@@ -162,25 +175,28 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     prior = F.lit(weight / (nt + nc)) * (F.col("t") + F.col("c"))
     odds = F.log((F.col("t") + prior) / (nt + weight - F.col("t") - prior)) - F.log((F.col("c") + prior) / (nc + weight - F.col("c") - prior))
     spread = F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-    strong = by.withColumn("s", odds).withColumn("z", odds / spread).where((F.col("z") > Z) & (F.col("s") > 0.5)).orderBy(F.desc("z"), "token").limit(MOST_TOKENS).select("token", "s", "c").collect()
-    if not strong:
+    # tokens of the bounded sample that hold enough evidence; a handful of texts each, so far fewer than its tokens
+    strong = by.select("token", "c", odds.alias("s"), (odds / spread).alias("z")).where(F.abs("z") > Z).select("token", "s", "c").collect()
+    if not any(r["s"] > 0 for r in strong):
         return nothing
     strong.sort(key=lambda r: r["token"])
     s = np.array([r["s"] for r in strong])
     p = np.array([r["c"] + 0.5 for r in strong]) / nc
-    drift = max(0.05, 2 * float((s * p).sum()) / max(1e-9, 1 - float(p.sum())))
+    p *= min(1.0, 0.999 / float(p.sum()))
+    drift = max(-SINK, float((s * p).sum()) - SINK)
+    s, rest = s - drift, 1 - float(p.sum())
     low, high = 1e-6, 50.0
     for _ in range(80):  # the positive root of sum(p * exp(x * s)) = 1
         mid = (low + high) / 2
-        total = float((p * np.exp(np.minimum(mid * s, 500))).sum()) + (1 - float(p.sum())) * math.exp(-mid * drift)
+        total = float((p * np.exp(np.minimum(mid * s, 500))).sum()) + rest * math.exp(-mid * drift)
         low, high = (mid, high) if total < 1 else (low, mid)
     model = Model(np.array([r["token"] for r in strong], np.int64), s, drift, low)
-    model.slope, model.offset = _calibrate(rows, model)
+    model.slope, model.offset = _calibrate(sample.where(part == 0), model)
     return model
 
 
 def _calibrate(rows: DataFrame, model: Model) -> tuple[float, float]:
-    """Logistic fit of the labels on the evidence of the (bounded) sample, both classes weighing alike."""
+    """Logistic fit of the labels on the evidence of (bounded) labelled rows, both classes weighing alike."""
     found = _evidence(rows.select("toxic", "text"), model).select("toxic", "evidence").collect()
     x = np.array([r["evidence"] for r in found])
     y = np.array([float(r["toxic"]) for r in found])

@@ -128,7 +128,20 @@ def summary(convs):
 
 
 def read(df):
-    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.n_examples) for r in chat_format.read_back(chat_format.expand(chat_format.format_turns(df))).collect()}
+    segments = chat_format.placed(chat_format.format_turns(df))
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.n_examples) for r in chat_format.read_back(segments, chat_format.examples(segments)).collect()}
+
+
+def rendered(role, text):
+    """A segment by the template, written out by hand."""
+    def broken(x):
+        x = (x or "").replace("\x1b", "\x1be")
+        for c in ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[REPLY]", "[ROLE]", "[/ROLE]"):
+            x = x.replace(c, c[0] + "\x1bb" + c[1:])
+        return x
+
+    inner = {"user": f"[INST] {broken(text)} [/INST]", "system": f"[SYS] {broken(text)} [/SYS]", "assistant": f"[REPLY] {broken(text)}"}
+    return "<s>" + inner.get(role, f"[ROLE] {broken(role)} [/ROLE]{broken(text)}") + "</s>"
 
 
 def test_chat_round_trip(spark):
@@ -149,7 +162,7 @@ def test_chat_of_odd_rows(spark):
 def test_examples_hold_all_that_came_before(spark):
     df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate([("user", "a"), ("assistant", "b</s>"), ("user", "c"), ("assistant", "d")])], TURNS)
     segments = chat_format.format_turns(df)
-    found = chat_format.with_text(segments, chat_format.examples(segments)).orderBy("turn").collect()
+    found = chat_format.with_text(segments, chat_format.examples(chat_format.placed(segments))).orderBy("turn").collect()
     whole = "".join(r.segment for r in segments.orderBy("turn").collect())
     assert [r.n_context for r in found] == [1, 3] and found[1].text == whole and whole.startswith(found[0].text)
     assert [chat_format.unescape(r.text[r.loss_start : r.loss_start + r.loss_chars]) for r in found] == ["b</s>", "d"]
@@ -160,8 +173,17 @@ def test_chat_query(spark, sf_dir):
     convs = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
     for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").collect():
         convs.setdefault(r.conv_id, []).append((r.role, r.text))
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.n_examples) for r in chat_format.op3_chat_format(spark, sf_dir).collect()}
-    assert got == summary(convs)
+    out = chat_format.op3_chat_format(spark, sf_dir).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.n_examples) for r in out} == summary(convs)
+    assert {r.conv_id: r.formatted_chars for r in out} == {c: sum(len(rendered(*turn)) for turn in turns) for c, turns in convs.items()}
+
+
+def test_examples_that_reach_elsewhere_are_an_error(spark):
+    df = spark.createDataFrame([(1, k, "assistant", "abc") for k in range(3)], TURNS)
+    segments = chat_format.placed(chat_format.format_turns(df))
+    wrong = chat_format.examples(segments).withColumn("loss_start", F.col("loss_start") - 30)
+    with pytest.raises(Exception, match="does not end with"):
+        chat_format.read_back(segments, wrong).collect()
 
 
 def test_language_query(spark, sf_dir):
@@ -254,16 +276,20 @@ def test_llr_by_hand(spark):
     assert out[1] > 0 > out[2]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(-5, 5), max_size=25))
-def test_all_maximal_segments(scores):
-    """Against the recursive definition: the best contiguous stretch (shortest, leftmost), then both sides."""
+def best_segments(scores):
+    """The recursive definition: the best contiguous stretch (shortest, leftmost), then both sides."""
     def split(lo, hi):
         best = max(((sum(scores[a:b]), a - b, -a, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0,))
         return split(lo, best[3]) + [best[3:]] + split(best[4], hi) if best[0] > 0 else []
 
+    return split(0, len(scores))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-5, 5), max_size=25))
+def test_all_maximal_segments(scores):
     found = toxicity.segments([float(x) for x in scores])
-    assert sum(s for *_, s in found) == sum(sum(scores[a:b]) for a, b in split(0, len(scores)))
+    assert sum(s for *_, s in found) == sum(sum(scores[a:b]) for a, b in best_segments(scores))
     assert all(s == sum(scores[a:b]) > 0 for a, b, s in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
 
 
@@ -295,7 +321,7 @@ def test_toxicity_learns_and_finds_passages(spark):
     corpus = toxic_corpus(spark)
     train, held = corpus.where("doc_id < 180"), corpus.where("doc_id >= 180")
     model = toxicity.train(train.select("doc_id", "text"), train.select("doc_id", "toxic"))
-    assert len(model.tokens) == 3
+    assert len(model.tokens) == 3 and (model.scores > 0).all()
     got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(held, model).collect()}
     assert got == {r.doc_id: bool(r.toxic) for r in held.collect()}
     found = toxicity.find_passages(held, model).collect()
@@ -307,6 +333,28 @@ def test_toxicity_learns_and_finds_passages(spark):
     assert {r.score for r in toxicity.score(odd_docs(spark), empty).collect()} == {0.0}
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Scores against token scores looked up one by one and segments by their definition; ties and repeats score alike."""
+    import math
+
+    corpus = toxic_corpus(spark)
+    model = toxicity.train(corpus.select("doc_id", "text"), corpus.select("doc_id", "toxic"))
+    value = dict(zip(model.tokens.tolist(), model.scores.tolist()))
+
+    def token(word):
+        found, _ = toxicity.token_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))
+        return int(found[0])
+
+    texts = {r.doc_id: r.text for r in corpus.where("doc_id % 4 = 0").collect()} | {1000: "vileword", 1001: "vileword", 1002: "a b"}
+    want = {}
+    for i, text in texts.items():
+        scores = [value.get(token(w), -model.drift) for w in text.split()]
+        high = [x for a, b in best_segments(scores) if (x := model.rate * sum(scores[a:b]) - math.log(len(scores))) > toxicity.SIGNIFICANT]
+        want[i] = 1 / (1 + math.exp(-(model.slope * math.log1p(sum(high)) + model.offset)))
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    assert got == pytest.approx(want, rel=1e-9) and got[1000] == got[1001] and len(set(want.values())) > 3
+
+
 @pytest.mark.parametrize("text,ids,licenses,left,verdict", [
     ("Released under the MIT License.", "MITref", "MIT", 0, "one"),
     ("x\nLicensed under the Apache Licence, Version 2.0\nReleased under the MIT License", "Apache2ref,MITref", "Apache-2.0,MIT", 0, "several"),
