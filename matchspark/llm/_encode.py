@@ -1,4 +1,4 @@
-"""Byte-level BPE of whole texts, piece by piece.
+"""Byte-level BPE of whole texts in Arrow batches, piece by piece.
 
 The pre-tokeniser's pattern looks ahead by one character and never back. A run
 of white space before anything else gives up its last character to what follows,
@@ -6,7 +6,8 @@ so these are boundaries of its matches whatever stands around them: before a
 white-space character that follows none, and before the last white-space
 character of a run. A text whose spaces all stand at such places is cut at its
 spaces, any other one by a pattern that finds the places. Each distinct piece is
-encoded once while it is remembered; pieces are compared as strings.
+encoded once while it is remembered; pieces are compared as strings. Arrow splits
+a block of texts and numbers its distinct pieces, so only those meet Python.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space as the pattern engines of both libraries know it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECE = re.compile(f"[{WHITE}]?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
 _CUT = re.compile(f"(?<=[^{WHITE}])[{WHITE}]")
 _BLANK = re.compile(f"[{WHITE}]+")
-#: A space inside a run of white space, but for the last place of one that something follows.
-_INSIDE = re.compile(rf"[{WHITE}] (?:[{WHITE}]|\Z)")
-#: Characters after which a long text is cut at the next boundary.
-STRETCH = 1 << 18
+#: A space inside a run of white space, but for the last place of one that something follows (for Arrow's engine).
+_WHITE_RE2 = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_INSIDE = f"[{_WHITE_RE2}] (?:[{_WHITE_RE2}]|$)"
+#: Characters after which a long text is cut at the next boundary, and bytes of texts that go through together.
+STRETCH, BLOCK = 1 << 18, 1 << 23
 
 
 def is_white(piece: str) -> bool:
@@ -46,57 +50,83 @@ def stretches(text: str) -> Iterator[str]:
 
 
 class PieceEncoder:
-    """Ids of texts by ``encode``, which takes one piece. Pieces of up to ``longest`` characters are remembered, of ``most`` in all."""
-
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 8_000_000, longest: int = 64):
-        self.encode, self.most, self.longest, self.held = encode, most, longest, 0
-        self.pieces, self.after_space = _Pieces(self), _AfterSpace(self)
-
-    def ids(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._raw, stretches(text or ""))), np.uint32)
-
-    def _raw(self, part: str) -> bytes:
+    """Ids of texts by ``encode``, which takes one piece. Pieces of up to ``longest`` characters are remembered, of ``most`` in all.
+
+    Texts that hold one of ``apart`` go to ``encode_whole`` as they are.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]], apart: tuple[str, ...] = (), encode_whole: Callable[[str], list[int]] | None = None, most: int = 8_000_000, longest: int = 64):
+        self.encode, self.apart, self.encode_whole = encode, apart, encode_whole
+        self.most, self.longest, self.held = most, longest, 0
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known before the last ageing
+
+    def rows(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For runs of rows: the first row, all ids, and where those of each row begin (with an end). Null: empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK, side="right")))
+            yield at, *self._block(texts.slice(at, to - at))
+            at = to
+
+    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if 2 * self.held > self.most:
-            self.pieces.age()
-            self.after_space.age()
-            self.held = 0
-        if _INSIDE.search(part):
-            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(part)))
-        first, *rest = part.split(" ")
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(first))) + b"".join(map(self.after_space.__getitem__, rest))
-
-
-class _Pieces(dict):
-    """Raw ids by piece: those met since the last ageing, and behind them those of the time before."""
-
-    def __init__(self, owner: PieceEncoder):
-        super().__init__()
-        self.owner, self.old = owner, {}
-
-    def age(self) -> None:
-        self.old = dict(self)
-        self.clear()
-
-    def made(self, piece: str) -> bytes:
-        return array("I", self.owner.encode(piece)).tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = self.old.get(piece)
+            self.known, self.before, self.held = {}, self.known, 0
+        odd = pc.match_substring_regex(texts, _INSIDE)
+        for mark in self.apart:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
+        alone = {i: self._alone(texts[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        parts = split.flatten()
+        numbered = parts.dictionary_encode()
+        first = _strings(parts.take(pa.array(bounds[:-1])))
+        raw = self._after_space(_strings(numbered.dictionary))
+        raw += [alone[i] if i in alone else self._cut(x) for i, x in enumerate(first)]
+        which = numbered.indices.to_numpy().astype(np.int64)
+        which[bounds[:-1]] = len(numbered.dictionary) + np.arange(len(first))  # what begins a text has no space before it
+        count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat, begin = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(count) - count
+        n = count[which]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begin[which] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.append(0, ends)[bounds]
+
+    def _alone(self, text: str) -> bytes:
+        if any(mark in text for mark in self.apart):
+            return array("I", self.encode_whole(text)).tobytes()
+        return b"".join(map(self._cut, stretches(text)))
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join(self._raws(_PIECE.findall(text)))
+
+    def _raws(self, pieces: list[str]) -> list[bytes]:
+        out = list(map(self.known.get, pieces))
+        for i, raw in enumerate(out):
+            if raw is None:
+                out[i] = self._learned(pieces[i])
+        return out
+
+    def _after_space(self, parts: list[str]) -> list[bytes]:
+        """Raw ids of a space and each part; parts may hold other white space, and so more than one piece."""
+        pieces = [" " + x for x in parts]
+        out = list(map(self.known.get, pieces))
+        for i, raw in enumerate(out):
+            if raw is None:
+                out[i] = self._learned(pieces[i]) if parts[i].isalpha() or len(_PIECE.findall(pieces[i])) == 1 else self._cut(pieces[i])
+        return out
+
+    def _learned(self, piece: str) -> bytes:
+        raw = self.before.get(piece)
         if raw is None:
-            raw = self.made(piece)
-        if len(piece) <= self.owner.longest:
-            self[piece] = raw
-            self.owner.held += len(piece) + 1
+            raw = array("I", self.encode(piece)).tobytes()
+        if len(piece) <= self.longest:
+            self.known[piece] = raw
+            self.held += len(piece)
         return raw
 
 
-class _AfterSpace(_Pieces):
-    """Raw ids of a space and what follows it up to the next space, by the latter."""
-
-    def __missing__(self, rest: str) -> bytes:
-        if not rest.isalpha() and len(found := _PIECE.findall(" " + rest)) > 1:
-            return b"".join(map(self.owner.pieces.__getitem__, found))
-        return super().__missing__(rest)
-
-    def made(self, rest: str) -> bytes:
-        return super().made(" " + rest)
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()

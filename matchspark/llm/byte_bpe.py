@@ -28,8 +28,6 @@ from matchspark.llm._tables import table
 
 #: A pattern that matches a text as one.
 WHOLE = r"(?s:.+)"
-#: Rows that one output batch holds at most, and ids after which it ends.
-ROWS, IDS = 1000, 1 << 20
 
 
 def _ranks(path: str) -> dict[bytes, int]:
@@ -64,16 +62,10 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(rank_file, pattern)
         for batch in batches:
-            first, flat, ends = 0, [], [0]
-            for i, text in enumerate(batch.column(1), 1):
-                flat.append(encoder.ids(text.as_py()).astype(np.int32))
-                ends.append(ends[-1] + len(flat[-1]))
-                if i == batch.num_rows or i - first == ROWS or ends[-1] >= IDS:
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i - first), lists], ["id", "ids"])
-                    first, flat, ends = i, [], [0]
+            for at, ids, bounds in _encoder(rank_file, pattern).rows(batch.column(1)):
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bounds) - 1), lists], ["id", "ids"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -93,18 +85,16 @@ def round_trip(df: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, digests only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, token = _encoder(rank_file, pattern), _token_bytes(rank_file)
+        token = _token_bytes(rank_file)
         digits = [str(i) for i in range(len(token))]
         for batch in batches:
-            for first in range(0, batch.num_rows, ROWS):
-                part = batch.slice(first, ROWS)
-                sizes, shas, raws = [], [], []
-                for text in part.column(1):
-                    ids = encoder.ids(text.as_py()).tolist()
-                    sizes.append(len(ids))
-                    shas.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                    raws.append(hashlib.sha256(b"".join(map(token.__getitem__, ids))).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(raws, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at, ids, bounds in _encoder(rank_file, pattern).rows(batch.column(1)):
+                shas, raws, b = [], [], bounds.tolist()
+                for s, e in zip(b, b[1:]):
+                    own = ids[s:e].tolist()
+                    shas.append(hashlib.sha256(",".join(map(digits.__getitem__, own)).encode()).hexdigest())
+                    raws.append(hashlib.sha256(b"".join(map(token.__getitem__, own))).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(b) - 1), pa.array(np.diff(bounds), pa.int64()), pa.array(shas, pa.string()), pa.array(raws, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -43,8 +43,6 @@ DIMS, BITS = 4, 8
 HASHED = 256
 SEQUENCE = 1024
 END_ID = 0
-#: Rows of one output batch at most.
-ROWS = 500
 #: A word of Latin letters, and marks after it.
 _WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 
@@ -86,14 +84,7 @@ def _encoder(path: str) -> PieceEncoder:
         # one match of the pattern, or two: straight to the model
         return [t.id for part in word.groups() if part for t in model.tokenize(part.encode().decode("latin-1").translate(letters))]
 
-    return PieceEncoder(encode)
-
-
-def text_ids(text: str | None, path: str) -> np.ndarray:
-    """The tokenizer's ids of a whole text; one that holds an added token goes to it uncut."""
-    if text and any(x in text for x in _special(path)):
-        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4")
-    return _encoder(path).ids(text)
+    return PieceEncoder(encode, _special(path), lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)
@@ -106,12 +97,14 @@ def _directions(vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, sign, rows
 
 
-def coordinates(ids: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The hashed token counts of a text, at unit length, along the fixed directions."""
+def coordinates(ids: np.ndarray, bounds: np.ndarray, vocabulary: int) -> np.ndarray:
+    """The hashed token counts of each text, at unit length, along the fixed directions."""
     place, sign, rows = _directions(vocabulary)
-    bag = np.bincount(place[ids], weights=sign[ids], minlength=HASHED)
-    size = float(np.sqrt((bag * bag).sum()))
-    return (bag / (size or 1.0)) @ rows
+    n = len(bounds) - 1
+    who = np.repeat(np.arange(n) * HASHED, np.diff(bounds))
+    bag = np.bincount(who + place[ids], weights=sign[ids], minlength=n * HASHED).reshape(n, HASHED)
+    size = np.sqrt((bag * bag).sum(axis=1, keepdims=True))
+    return (bag / np.where(size == 0, 1, size)) @ rows
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -152,16 +145,13 @@ def tokenized(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         width = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for first in range(0, batch.num_rows, ROWS):
-                part = batch.slice(first, ROWS)
-                sizes, raw, where = [], [], []
-                for text in part.column(1):
-                    ids = text_ids(text.as_py(), tokenizer_file)
-                    sizes.append(len(ids) + 1)
-                    raw.append(np.append(ids, END_ID).astype(width).tobytes())
-                    where.append(coordinates(ids, vocabulary))
-                n, points = len(sizes), np.array(where)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(row, row + n)), pa.array(sizes, pa.int64()), pa.array(raw, pa.binary()), *(pa.array(points[:, i]) for i in range(DIMS))], names)
+            for at, ids, bounds in _encoder(tokenizer_file).rows(batch.column(1)):
+                n = len(bounds) - 1
+                full = np.insert(ids.astype(width), bounds[1:], END_ID)
+                ends = bounds + np.arange(n + 1)
+                raw = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((ends * width.itemsize).astype(np.int64)), pa.py_buffer(full)]).cast(pa.binary())
+                where = coordinates(ids, bounds, vocabulary)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.arange(row, row + n)), pa.array(np.diff(ends)), raw, *(pa.array(where[:, i]) for i in range(DIMS))], names)
                 row += n
 
     schema = f"doc_id {kind}, row long, n long, ids binary, " + ", ".join(f"c{i} double" for i in range(DIMS))

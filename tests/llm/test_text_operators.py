@@ -48,20 +48,29 @@ def own_encoding():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-@pytest.mark.parametrize("stretch", [3, 1 << 18])
-def test_pieces_give_the_ids_of_whole_texts(monkeypatch, stretch):
+@pytest.mark.parametrize("stretch,block", [(3, 10), (1 << 18, 1 << 23)])
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch, stretch, block):
     monkeypatch.setattr(_encode, "STRETCH", stretch)
+    monkeypatch.setattr(_encode, "BLOCK", block)
     bpe, tok = own_encoding(), own_tokenizer()
 
     @settings(max_examples=150, deadline=None)
-    @given(MIXED)
-    def check(text):
-        assert byte_bpe._encoder(RANKS, P.PATTERN).ids(text).tolist() == bpe(text)
-        assert packing.text_ids(text, VOCAB).tolist() == tok(text)
+    @given(st.lists(MIXED, min_size=1, max_size=6))
+    def check(texts):
+        for encoder, whole in ((byte_bpe._encoder(RANKS, P.PATTERN), bpe), (packing._encoder(VOCAB), tok)):
+            assert ids_of_rows(encoder, texts) == [whole(t) for t in texts]
 
     check()
 
 
+def ids_of_rows(encoder, texts):
+    out = []
+    for at, ids, b in encoder.rows(pa.array(texts, pa.string())):
+        assert at == len(out)
+        out += [ids[x:y].tolist() for x, y in zip(b, b[1:])]
+    return out
+
+
 def thue_morse(n):
     a, b = "a", "b"
     while len(a) < n:
@@ -89,7 +98,7 @@ def test_remembered_pieces_age(monkeypatch):
     rnd = random.Random(1)
     for _ in range(300):
         text = " ".join(rnd.choice(["alpha", "beta\nx", "gamma", "  ", "delta" * 20]) for _ in range(12))
-        assert small.ids(text).tolist() == bpe(text)
+        assert ids_of_rows(small, [text, "alpha"]) == [bpe(text), bpe("alpha")]
 
 
 def test_bpe_of_odd_rows(spark):
