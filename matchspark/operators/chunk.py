@@ -12,10 +12,12 @@ SECTION_WORDS = (
     "about (you|us|the role|the team|the company)", "must have", "nice to have", "preferred", "skills", "experience", "benefit", "perks",
     "compensation", "salary", "how to apply", "equal opportunit", "diversity",
 )
+# Bullets, openings of sections, ends of sentences.
 BULLET = r"^\s*(?:[-*•‣◦⁃∙]|\d+[.)])\s+"
 SECTION = r"(?i)^\s*(?:[#*\-•]\s*)?(?:" + "|".join(SECTION_WORDS) + ")"
 SENTENCE = r"(?<=[.!?])\s+(?=[A-Z0-9])"
-_BLOCK = "array<struct<body:string,opens:boolean>>"
+#: Marks of blocks and of those that open a section; removed from the input first.
+_CUT, _OPENS = "\u0001", "\u0002"
 
 
 def _strip(x: Column) -> Column:
@@ -44,38 +46,28 @@ def is_heading(line: Column) -> Column:
 
 def split_blocks(text: Column) -> Column:
     """Array of (body, opens): paragraphs, cut again before heading lines; opens marks a block that begins a section."""
-    paragraphs = F.filter(F.split(text, r"\n\s*\n"), lambda p: _strip(p) != "")
-    lines = F.flatten(F.transform(paragraphs, lambda p: F.transform(F.split(p, "\n"), lambda x, i: F.struct(x.alias("line"), (i == 0).alias("first"), is_heading(x).alias("head")))))
-    start = F.struct(F.array().cast(_BLOCK).alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(False).alias("opens"))
-
-    def step(a: Column, x: Column) -> Column:
-        cut = a["cur"].isNotNull() & (x["first"] | x["head"])
-        fresh = cut | a["cur"].isNull()
-        return F.struct(
-            F.when(cut, F.array_append(a["out"], F.struct(a["cur"].alias("body"), a["opens"].alias("opens")))).otherwise(a["out"]).alias("out"),
-            F.when(fresh, x["line"]).otherwise(F.concat(a["cur"], F.lit("\n"), x["line"])).alias("cur"),
-            F.when(fresh, x["head"]).otherwise(a["opens"]).alias("opens"),
-        )
-
-    end = lambda a: F.when(a["cur"].isNull(), a["out"]).otherwise(F.array_append(a["out"], F.struct(a["cur"].alias("body"), a["opens"].alias("opens"))))
-    blocks = F.aggregate(lines, start, step, end)
-    return F.filter(F.transform(blocks, lambda b: F.struct(_strip(b["body"]).alias("body"), b["opens"].alias("opens"))), lambda b: b["body"] != "")
+    paragraphs = F.filter(F.split(F.translate(text, _CUT + _OPENS, ""), r"\n\s*\n"), lambda p: _strip(p) != "")
+    # a mark before each line that begins a block, then one split at the marks
+    marked = F.transform(paragraphs, lambda p: F.array_join(F.transform(F.split(p, "\n"), lambda x, i: F.concat(F.when(is_heading(x), _CUT + _OPENS).when(i == 0, _CUT).otherwise("\n"), x)), ""))
+    blocks = F.transform(F.split(F.array_join(marked, ""), _CUT), lambda b: F.struct(_strip(F.translate(b, _OPENS, "")).alias("body"), b.startswith(_OPENS).alias("opens")))
+    return F.filter(blocks, lambda b: b["body"] != "")
 
 
 def _fold(items: Column, full, sep: str) -> Column:
-    """Greedy concatenation: ``full(state, item)`` tells when to begin anew; items are structs with body and n."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
+    """Greedy concatenation: ``full(state, item)`` tells when to begin anew; items are structs with body and n.
+
+    The fold keeps the places of the cuts; bodies are joined once, between cuts.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"), F.lit(0).alias("n"))
 
     def step(a: Column, x: Column) -> Column:
-        cut = a["cur"].isNotNull() & full(a, x)
-        fresh = cut | a["cur"].isNull()
-        return F.struct(
-            F.when(cut, F.array_append(a["out"], a["cur"])).otherwise(a["out"]).alias("out"),
-            F.when(fresh, x["body"]).otherwise(F.concat(a["cur"], F.lit(sep), x["body"])).alias("cur"),
-            F.when(fresh, x["n"]).otherwise(a["n"] + x["n"]).alias("n"),
-        )
-
-    return F.aggregate(items, start, step, lambda a: F.when(a["cur"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["cur"])))
+        cut = (a["at"] > 0) & full(a, x)
+        return F.struct(F.when(cut, F.array_append(a["cuts"], a["at"])).otherwise(a["cuts"]).alias("cuts"), (a["at"] + 1).alias("at"), (F.when(cut, 0).otherwise(a["n"]) + x["n"]).alias("n"))
+
+    cuts = F.aggregate(items, start, step, lambda a: F.concat(F.array(F.lit(0)), a["cuts"], F.array(a["at"])))
+    bodies = F.transform(items, lambda x: x["body"])
+    pieces = lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda low, i: F.array_join(F.slice(bodies, low + 1, F.get(c, i + 1) - low), sep))
+    return F.when(F.size(items) > 0, F.transform(F.array(cuts), pieces)[0]).otherwise(F.array().cast("array<string>"))
 
 
 def _counted(body: Column, opens: Column) -> Column:

@@ -75,9 +75,10 @@ def upsert_matches(current: DataFrame, scored: DataFrame, kept: tuple = ("explan
     return joined.select(*key, *(pick(c) for c in current.columns if c not in key))
 
 
-def insert_if_absent(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """The incoming rows to append: the first of each key that current does not hold."""
-    return incoming.dropDuplicates(key).join(current.select(*key), key, "left_anti")
+def insert_if_absent(current: DataFrame, incoming: DataFrame, key: list[str], order: list | None = None) -> DataFrame:
+    """The incoming rows to append: the first of each key (in an order, else that of all other columns) that current does not hold."""
+    order = order or [c for c in incoming.columns if c not in key] or [F.lit(0)]
+    return first_per_key(incoming, key, order).join(current.select(*key), key, "left_anti")
 
 
 def invalidate_matches(matches: DataFrame, changed: DataFrame) -> DataFrame:

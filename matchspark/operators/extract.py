@@ -47,6 +47,7 @@ def extraction_text(title: Column, description: Column) -> Column:
 def split_sections(text: Column) -> Column:
     """Array of (level, span): spans between section openings at line starts; before the first: required."""
     names = sorted(PREFERRED_MARKERS + REQUIRED_MARKERS, key=len, reverse=True)
+    # Fixed value: how a section opens.
     opening = r"(?i)(?:^|\n)[ \t]*(?:[-*•\d.)\s]{0,4})?(" + "|".join(re.escape(m).replace("\\ ", " ") for m in names) + r")(?![\p{L}\p{N}_])[ \t]*:?"
     clean = F.translate(F.coalesce(text, F.lit("")), S1 + S2 + H1 + H2, "")
     pieces = F.split(F.regexp_replace(clean, opening, f"{S1}$1{S2}"), S1)
@@ -101,22 +102,25 @@ def evidence_guard(surface: Column, left: Column, right: Column) -> Column:
 def extract_skills(jobs: DataFrame, index: DataFrame, text: str = "text") -> DataFrame:
     """job_id, skill_id, name, requirement, pos from jobs (job_id, text) and a vocabulary index (surface, skill_id, name).
 
-    Only the surfaces (at most MOST_FORMS) come to the driver, to be compiled
-    into the plan; the index itself is joined by a broadcast of that bound.
+    The index (at most MOST_FORMS rows) comes to the driver once: its surfaces
+    are compiled into the plan, and its rows are broadcast.
     """
-    forms = [r["surface"] for r in index.select("surface").limit(MOST_FORMS + 1).collect()]
+    known = index.select("surface", "skill_id", "name").limit(MOST_FORMS + 1).collect()
+    forms = [r["surface"] for r in known]
     if not forms:
-        return jobs.select("job_id", F.lit("").alias("skill_id"), F.lit("").alias("name"), F.lit("").alias("requirement"), F.lit(0).alias("pos")).where("false")
+        return jobs.select("job_id", F.lit("").alias("skill_id"), F.lit("").alias("name"), F.lit("").alias("requirement"), F.lit(0).cast("long").alias("pos")).where("false")
     spans = jobs.select("job_id", F.posexplode(split_sections(F.col(text))).alias("section", "s")).select("job_id", "section", "s.level", "s.span")
     hits = match_surfaces(spans, forms).where(evidence_guard(F.col("surface"), F.col("left"), F.col("right")))
-    found = hits.select("job_id", "level", "section", "pos", F.lower("surface").alias("surface")).join(F.broadcast(index), "surface")
+    found = hits.select("job_id", "level", "section", "pos", F.lower("surface").alias("surface"))
+    rows = jobs.sparkSession.createDataFrame([tuple(r) for r in known], index.select("surface", "skill_id", "name").schema)
+    found = found.join(F.broadcast(rows), "surface")
     return job_skill_rows(found)
 
 
 def job_skill_rows(found: DataFrame) -> DataFrame:
     """One row a job and skill: required beats preferred; pos is the place in document order."""
     best = found.groupBy("job_id", "skill_id", "name").agg(F.min(F.when(F.col("level") == "required", 0).otherwise(1)).alias("l"), F.min(F.struct("section", "pos")).alias("at"))
-    return best.select("job_id", "skill_id", "name", F.when(F.col("l") == 0, "required").otherwise("preferred").alias("requirement"), (F.col("at.section") * 100_000 + F.col("at.pos")).alias("pos"))
+    return best.select("job_id", "skill_id", "name", F.when(F.col("l") == 0, "required").otherwise("preferred").alias("requirement"), (F.shiftleft(F.col("at.section").cast("long"), 32) + F.col("at.pos")).alias("pos"))
 
 
 def unmatched_jobs(jobs: DataFrame, found: DataFrame) -> DataFrame:

@@ -18,12 +18,17 @@ def top_ranked(matches: DataFrame, most: int) -> DataFrame:
     return matches.withColumn("rank", F.row_number().over(bucket)).where(F.col("rank") <= most)
 
 
-def page(ranked: DataFrame, limit: int, offset: int = 0, unparsed_limit: int | None = None, unparsed_offset: int = 0) -> DataFrame:
-    """One page of either bucket, each with its own limit and offset."""
-    own = (F.col("rank") > offset) & (F.col("rank") <= offset + limit)
+def page(matches: DataFrame, limit: int, offset: int = 0, unparsed_limit: int | None = None, unparsed_offset: int = 0) -> DataFrame:
+    """One page of either bucket, each with its own limit and offset, with rank and the bucket's total.
+
+    Only the first rows of a bucket are ranked, and totals are counted apart, so no bucket is gathered.
+    """
     rest = unparsed_limit if unparsed_limit is not None else limit
+    own = (F.col("rank") > offset) & (F.col("rank") <= offset + limit)
     other = (F.col("rank") > unparsed_offset) & (F.col("rank") <= unparsed_offset + rest)
-    return ranked.where(F.when(F.col("skills_unparsed"), other).otherwise(own))
+    shown = top_ranked(matches, max(offset + limit, unparsed_offset + rest)).where(F.when(F.col("skills_unparsed"), other).otherwise(own))
+    totals = matches.groupBy("resume_id", "skills_unparsed").agg(F.count(F.lit(1)).alias("total"))
+    return shown.join(totals.hint("shuffle_hash"), ["resume_id", "skills_unparsed"])
 
 
 def min_score(matches: DataFrame, least: float) -> DataFrame:
@@ -32,7 +37,7 @@ def min_score(matches: DataFrame, least: float) -> DataFrame:
 
 
 def match_cards(matches: DataFrame, jobs: DataFrame, columns: tuple = ("title", "company", "location", "is_remote", "apply_url", "posted_date")) -> DataFrame:
-    return matches.join(jobs.select("job_id", *(c for c in columns if c in jobs.columns)), "job_id")
+    return matches.hint("merge").join(jobs.select("job_id", *(c for c in columns if c in jobs.columns)), "job_id")
 
 
 def job_detail(jobs: DataFrame, asked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -55,7 +60,7 @@ def skill_suggestions(matches: DataFrame, held: DataFrame) -> DataFrame:
     """resume_id, name, demand: skills that a résumé's ranked matches ask for and it does not hold (held: resume_id, name)."""
     asked = matches.where("not skills_unparsed").select("resume_id", F.explode(F.array_distinct(F.concat("matching_skills", "missing_skills"))).alias("name"))
     wanted = asked.groupBy("resume_id", "name").agg(F.count(F.lit(1)).alias("demand"))
-    return wanted.join(held.select("resume_id", "name").distinct(), ["resume_id", "name"], "left_anti")
+    return wanted.hint("merge").join(held.select("resume_id", "name").distinct(), ["resume_id", "name"], "left_anti")
 
 
 def requirements_split(asked: DataFrame) -> DataFrame:

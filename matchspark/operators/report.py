@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
-def cosine_distribution(values: DataFrame, col: str, label: str, exact: bool = True) -> DataFrame:
-    """One row: label, n, min, mean, max and five percentiles. Percentiles interpolate; ``exact=False`` takes sketches, for counts beyond memory."""
+#: Values up to which percentiles are exact: one task holds the distinct ones.
+MOST_EXACT = 1_000_000
+
+
+def cosine_distribution(values: DataFrame, col: str, label: str, exact: bool | None = None) -> DataFrame:
+    """One row: label, n, min, mean, max and five percentiles. Percentiles interpolate up to MOST_EXACT values and come from a sketch beyond, unless ``exact`` says which."""
+    if exact is None:
+        exact = values.count() <= MOST_EXACT
     points = F.percentile(col, F.array(*(F.lit(p) for p in POINTS))) if exact else F.percentile_approx(F.col(col).cast("double"), list(POINTS), 10_000)
     agg = values.agg(F.count(col).alias("n"), F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max"), points.alias("p"))
     return agg.select(F.lit(label).alias("label"), "n", "min", "mean", "max", *(F.get("p", F.lit(i)).alias(f"p{round(100 * p):02d}") for i, p in enumerate(POINTS)))
@@ -35,7 +41,10 @@ def chunk_counts(chunks: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def corpus_report(jobs: DataFrame, job_skills: DataFrame) -> DataFrame:
-    """By source and (null source) in all: posting lengths, required and preferred rows, skills a job and the share of jobs with none."""
+    """By source and (null source) in all: posting lengths, required and preferred rows, skills a job and the share of jobs with none.
+
+    Medians hold the distinct lengths and counts of a source, which are few.
+    """
     per_job = job_skills.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_skills"), F.count_if(F.col("requirement") == "required").alias("req"), F.count_if(F.col("requirement") == "preferred").alias("pref"))
     rows = jobs.select("job_id", "source", F.length("description").alias("chars")).join(per_job, "job_id", "left").fillna(0, ["n_skills", "req", "pref"])
     return rows.rollup("source").agg(
@@ -73,16 +82,17 @@ def evidence_distribution(matches: DataFrame) -> DataFrame:
     return counts.withColumn("cumulative_share", F.sum("n").over(up_to) / F.sum("n").over(Window.partitionBy()))
 
 
-def compare_extractions(a: DataFrame, b: DataFrame, expected: DataFrame | None = None) -> DataFrame:
-    """id, only_a, only_b (sorted) of two tables (id, skills), and missing, what is expected and in neither."""
+def compare_extractions(a: DataFrame, b: DataFrame, expected: DataFrame | None = None, removed: tuple[str, ...] = ()) -> DataFrame:
+    """id, only_a, only_b (sorted) of two tables (id, skills), missing, what is expected and in neither, and removed_fields, columns of b that should be gone but hold something."""
     none = F.array().cast("array<string>")
-    both = a.select("id", F.col("skills").alias("sa")).join(b.select("id", F.col("skills").alias("sb")), "id", "full_outer")
-    both = both.select("id", F.coalesce("sa", none).alias("sa"), F.coalesce("sb", none).alias("sb"))
+    given = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in removed if c in b.columns))).cast("array<string>")
+    both = a.select("id", F.col("skills").alias("sa")).join(b.select("id", F.col("skills").alias("sb"), given.alias("rf")), "id", "full_outer")
+    both = both.select("id", F.coalesce("sa", none).alias("sa"), F.coalesce("sb", none).alias("sb"), F.coalesce("rf", none).alias("removed_fields"))
     if expected is not None:
         both = both.join(expected.select("id", F.col("skills").alias("se")), "id", "left")
     else:
         both = both.withColumn("se", none)
-    return both.select("id", F.array_sort(F.array_except("sa", "sb")).alias("only_a"), F.array_sort(F.array_except("sb", "sa")).alias("only_b"), F.array_sort(F.array_except(F.coalesce("se", none), F.array_union("sa", "sb"))).alias("missing"))
+    return both.select("id", F.array_sort(F.array_except("sa", "sb")).alias("only_a"), F.array_sort(F.array_except("sb", "sa")).alias("only_b"), F.array_sort(F.array_except(F.coalesce("se", none), F.array_union("sa", "sb"))).alias("missing"), "removed_fields")
 
 
 def suspicious_years(resumes: DataFrame, low: float = 3, high: float = 12) -> DataFrame:

@@ -3,15 +3,15 @@
 Recall is computed by joins on the skill, not per pair: what a posting asks for
 is summed once, what a profile holds of it comes from one equi-join, and both
 meet in the pair table. Cosines need every pair of a profile vector and a
-passage; profiles are broadcast after a check of their number and go through
-in batches beyond it.
+passage; a posting's passages stand in one row, profiles are broadcast after a
+count, and only the mean of each pair's best goes on.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCORER_VERSION = "matchspark-1"
@@ -127,36 +127,44 @@ def with_skill_names(matches: DataFrame, asked: DataFrame, resume_skills: DataFr
     return matches.join(lists, ["resume_id", "job_id"], "left").withColumns({c: F.coalesce(c, none) for c in ("matching_skills", "missing_skills")})
 
 
-def passage_similarity(resume_vectors: DataFrame, chunks: DataFrame, c: Config = Config(), known_profiles: int | None = None) -> DataFrame:
+def _passes(df: DataFrame, key: str) -> list[DataFrame]:
+    """df in broadcasts of about MOST_BROADCAST rows by a hash of the key, after a count."""
+    parts = max(1, -(-df.count() // MOST_BROADCAST))
+    return [F.broadcast(df if parts == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)) for k in range(parts)]
+
+
+def passage_similarity(resume_vectors: DataFrame, chunks: DataFrame, c: Config = Config()) -> DataFrame:
     """resume_id, job_id, mean of the top_k cosines of a posting's passages.
 
-    Norms are computed once a row. Up to MOST_BROADCAST profiles go to every
-    task; more are dealt into parts of that size, joined one part at a time.
+    Norms are computed once a row. A posting's passages stand in one row, so that
+    a pair's cosines are made, sorted and averaged within it and none is
+    shuffled. Profile vectors are counted: up to MOST_BROADCAST go to every task,
+    more in as many passes over the postings.
     """
-    r = resume_vectors.select("resume_id", F.col("vec").alias("rv"), norm(F.col("vec")).alias("rn")).where("rn > 0")
-    j = chunks.select("job_id", F.col("vec").alias("jv"), norm(F.col("vec")).alias("jn")).where("jn > 0")
-    n = resume_vectors.count() if known_profiles is None else known_profiles
-    if n <= MOST_BROADCAST:
-        both = j.join(F.broadcast(r))
-    else:
-        parts = -(-n // MOST_BROADCAST)
-        both = j.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(r.withColumn("part", F.pmod(F.xxhash64("resume_id"), F.lit(parts)).cast("int")).hint("shuffle_hash"), "part")
-    cosines = both.select("resume_id", "job_id", (dot(F.col("rv"), F.col("jv")) / (F.col("rn") * F.col("jn"))).alias("cos"))
-    best = Window.partitionBy("resume_id", "job_id").orderBy(F.desc("cos"))
-    return cosines.withColumn("k", F.row_number().over(best)).where(F.col("k") <= c.top_k).groupBy("resume_id", "job_id").agg(F.avg("cos").alias("mean_cos"))
+    given = lambda df, key, name: df.select(key, F.struct(F.col("vec").alias("v"), norm(F.col("vec")).alias("n")).alias("x")).where("x.n > 0").groupBy(key).agg(F.collect_list("x").alias(name))
+    j = given(chunks, "job_id", "passages")
+    out = None
+    for part in _passes(resume_vectors.select("resume_id", "vec"), "resume_id"):
+        both = j.crossJoin(F.broadcast(given(part, "resume_id", "own")))
+        cosines = F.flatten(F.transform("passages", lambda p: F.transform("own", lambda r: dot(r["v"], p["v"]) / (r["n"] * p["n"]))))
+        best = both.select("resume_id", "job_id", F.slice(F.sort_array(cosines, asc=False), 1, c.top_k).alias("best"))
+        mean = best.select("resume_id", "job_id", (F.aggregate("best", F.lit(0.0), lambda acc, x: acc + x) / F.size("best")).alias("mean_cos"))
+        out = mean if out is None else out.unionByName(mean)
+    return out
 
 
 def score_all(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, resume_skills: DataFrame, chunks: DataFrame, resume_vectors: DataFrame, c: Config = Config(), names: bool = True) -> DataFrame:
     """Every pair of resumes (resume_id, candidate_years) and jobs (job_id, required_years), scored.
 
-    The pair table is the result's size by definition; the smaller side of it
-    (profiles) is broadcast if its checked number allows.
+    The pair table is the result's size by definition; profiles are counted and
+    broadcast, in several passes over the jobs where they are many.
     """
-    n = resumes.count()
-    left = F.broadcast(resumes.select("resume_id", "candidate_years")) if n <= MOST_BROADCAST else resumes.select("resume_id", "candidate_years")
-    pairs = jobs.select("job_id", "required_years").crossJoin(left)
+    own, pairs = jobs.select("job_id", "required_years"), None
+    for part in _passes(resumes.select("resume_id", "candidate_years"), "resume_id"):
+        both = own.crossJoin(part)
+        pairs = both if pairs is None else pairs.unionByName(both)
     asked = active_job_skills(job_skills, skills)
-    scored = skill_recall(asked, resume_skills, pairs, c).join(passage_similarity(resume_vectors, chunks, c, n), ["resume_id", "job_id"], "left")
+    scored = skill_recall(asked, resume_skills, pairs, c).join(passage_similarity(resume_vectors, chunks, c).hint("merge"), ["resume_id", "job_id"], "left")
     scored = scored.withColumn("semantic_score", rescale_clamp(F.col("mean_cos"), c.cos_lo, c.cos_hi)).withColumn("multiplier", experience_multiplier(F.col("required_years"), F.col("candidate_years")))
     scored = scored.withColumn("overall", overall_score(F.col("skill_recall"), F.col("skill_confidence"), F.col("semantic_score"), F.col("multiplier"), c))
     r4 = lambda name: F.round(name, 4)

@@ -63,8 +63,7 @@ def match_cards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def second_page(spark: SparkSession, d: str) -> DataFrame:
-    ranked = rank.rank_matches(rank.min_score(_scored(spark, d), 0.3))
-    return rank.page(ranked, 10, 10, 5, 0).select("resume_id", "job_id", "skills_unparsed", "rank", "total")
+    return rank.page(rank.min_score(_scored(spark, d), 0.3), 10, 10, 5, 0).select("resume_id", "job_id", "skills_unparsed", "rank", "total")
 
 
 def requirements_split(spark: SparkSession, d: str) -> DataFrame:

@@ -26,11 +26,13 @@ def _posting(df: DataFrame, source: str, columns: dict[str, Column]) -> DataFram
 def normalize_search_api(raw: DataFrame, country: str, payload: str = "payload", source: str = "search_api") -> DataFrame:
     """One search result a row, as JSON text in column ``payload``."""
     r = raw.select(F.from_json(payload, SEARCH_RECORD).alias("r")).select("r.*")
-    r = r.select("*", X.strip_html_flat(F.col("title")).alias("t"), X.strip_html_flat(F.col("location.display_name")).alias("l"), X.strip_html_flat(F.col("description")).alias("d"), X.to_decimal(F.col("salary_min")).alias("lo"), X.to_decimal(F.col("salary_max")).alias("hi"))
+    r = r.withColumn("_plain", X.strip_html_flat_all(F.col("title"), F.col("location.display_name"), F.col("description"), F.col("company.display_name")))
+    flat = lambda i: F.get("_plain", F.lit(i))
+    r = r.select("*", flat(0).alias("t"), flat(1).alias("l"), flat(2).alias("d"), flat(3).alias("c"), X.to_decimal(F.col("salary_min")).alias("lo"), X.to_decimal(F.col("salary_max")).alias("hi"))
     r = r.withColumn("x", X.min_experience(F.col("d")))
     currency, paid = X.currency_of(F.lit(country)), X.has_salary(F.col("lo"), F.col("hi"))
     return _posting(r, source, {
-        "source_job_id": F.col("id"), "title": F.col("t"), "company": X.strip_html_flat(F.col("company.display_name")), "location": F.col("l"),
+        "source_job_id": F.col("id"), "title": F.col("t"), "company": F.col("c"), "location": F.col("l"),
         "is_remote": X.is_remote(F.col("t"), F.col("l"), F.col("d")), "description": F.col("d"), "apply_url": F.col("redirect_url"),
         "salary_raw": X.salary_text(F.col("lo"), F.col("hi"), currency, F.coalesce(F.col("salary_is_predicted") == "1", F.lit(False))),
         "salary_min": F.col("lo"), "salary_max": F.col("hi"), "salary_currency": F.when(paid, currency), "salary_period": F.when(paid, "year"),
@@ -67,7 +69,7 @@ def normalize_sectioned_board(raw: DataFrame, payload: str = "payload", company:
     """One board's response a row: ``company`` and a JSON array of postings with headed lists."""
     r = raw.select(F.col(company).alias("c"), F.explode(F.from_json(payload, SECTIONED_PAYLOAD)).alias("r")).select("c", "r.*")
     # the texts of the lists are decoded as one column with a mark between, since the decoder takes columns
-    mark = "\u0001"
+    mark = X.MARK
     joined = F.array_join(F.transform("lists", lambda b: F.translate(F.coalesce(b["content"], F.lit("")), mark, "")), f"\n{mark}\n")
     r = r.withColumn("_joined", joined).withColumns({"_bodies": X.html_to_text(F.col("_joined")), "_open": X.html_to_text(F.col("description")), "_close": X.html_to_text(F.col("additional"))})
     bodies = F.split("_bodies", f"\n*{mark}\n*")
@@ -99,5 +101,12 @@ def union_sources(batches: dict[str, DataFrame | Exception | None]) -> tuple[Dat
     return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), good) if good else None), errors
 
 
+def quarantine(raw: DataFrame, schema: str, source: str = "source", payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """Landed rows whose payload can be read, and a table (source, payload, reason) of those that cannot, so that one bad record stops no source."""
+    state = F.when(F.trim(F.coalesce(payload, F.lit(""))) == "", "empty").when(F.from_json(payload, schema, {"mode": "PERMISSIVE"}).isNull(), "unreadable").when(F.get_json_object(payload, "$").isNull(), "unreadable")
+    tagged = raw.withColumn("reason", state)
+    return tagged.where("reason is null").drop("reason"), tagged.where("reason is not null").select(F.col(source).alias("source"), F.col(payload).alias("payload"), "reason")
+
+
 def with_dedup_hash(jobs: DataFrame, unicode: bool = True) -> DataFrame:
     return jobs.withColumn("dedup_hash", dedup_hash(F.col("company"), F.col("title"), extract_city(F.col("location")), unicode))
