@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchspark.operators import explain, rank, report, score
 from matchspark.plans import mapping as m
+from matchspark.plans.records import EXPLANATION, PHRASE
 
 
 def _scored(spark: SparkSession, d: str, names: bool = False) -> DataFrame:
@@ -113,6 +114,9 @@ ORACLE_SQL = {
         SELECT resume_id, job_id, skills_unparsed, rank, total FROM ranked WHERE CASE WHEN skills_unparsed THEN rank <= 5 ELSE rank > 10 AND rank <= 20 END""",
     "requirements_split": _W + " SELECT job_id, coalesce(string_agg(name, '; ' ORDER BY name) FILTER (requirement = 'required'), '') AS required, coalesce(string_agg(name, '; ' ORDER BY name) FILTER (requirement IS DISTINCT FROM 'required'), '') AS other FROM asked GROUP BY 1",
     "skill_suggestions": _W + _NAMED + " SELECT resume_id, name, count(*) AS demand FROM named WHERE NOT held GROUP BY 1, 2",
+    "explanations": _W + _NAMED + f""", lists AS (SELECT resume_id, job_id, list(name ORDER BY name) FILTER (held) AS have, list(name ORDER BY name) FILTER (NOT held) AS lack FROM named GROUP BY 1, 2),
+        x AS (SELECT t.resume_id, t.job_id, tier, parsed_count AS n, skills_unparsed, coalesce(have, CAST([] AS VARCHAR[])) AS have, coalesce(lack, CAST([] AS VARCHAR[])) AS lack FROM top t LEFT JOIN lists USING (resume_id, job_id)),
+        p AS (SELECT *, {PHRASE('have', 5)} AS h, {PHRASE('lack', 5)} AS l FROM x) SELECT resume_id, job_id, {EXPLANATION} AS explanation FROM p""",
     "score_breakdown": _W + _RANKED + """ SELECT resume_id, job_id, CAST(round(overall_score * 100) AS INTEGER) AS overall_score_pct, CAST(round(round(recall * confidence, 4) * 100) AS INTEGER) AS skill_score_pct,
         CAST(round(round(semantic, 4) * 100) AS INTEGER) AS semantic_score_pct, CAST(round(round(recall, 4) * 100) AS INTEGER) AS skill_recall_pct, CASE WHEN NOT skills_unparsed THEN CAST(round(round(confidence, 4) * 100) AS INTEGER) END AS skill_confidence_pct FROM ranked WHERE rank <= 20""",
     "job_detail": _W + """, s AS (SELECT job_id, count(*) AS n, string_agg(name, '; ' ORDER BY name) AS skills FROM asked GROUP BY 1), c AS (SELECT job_id, string_agg('passage ' || chunk_index, '; ' ORDER BY chunk_index) AS chunks FROM chunks GROUP BY 1)

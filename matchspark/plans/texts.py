@@ -142,7 +142,29 @@ _WORDS = "SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM d
 _VOCAB = f"vocab AS (SELECT w FROM (SELECT w, count(*) AS n FROM ({_WORDS}) WHERE regexp_matches(w, '^[a-z]{{5,}}$') GROUP BY 1 ORDER BY n DESC, w LIMIT {VOCABULARY})), kept AS (SELECT w FROM vocab WHERE NOT regexp_matches(w, '^(strong|solid|basic|knowledge|skills?|expertise|experience)$'))"
 _HITS = f"WITH {_VOCAB}, hits AS (SELECT DISTINCT doc_id, split_part(t, '.', 1) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9+#.]+')) AS t FROM documents)) "
 _PROFILE = "prof AS (SELECT s_suppkey, s_nationkey, s_acctbal, (SELECT list(DISTINCT p_name ORDER BY p_name) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey = s_suppkey) AS skills, (SELECT list(DISTINCT lower(p_type) ORDER BY lower(p_type)) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey = s_suppkey) AS types FROM supplier)"
+#: The rules of passages over ordered rows: lines to blocks, blocks to parts by sentences, parts to passages, short passages to their neighbours.
+_TOKENS = lambda x: f"CAST(floor(len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')) * 1.35::DOUBLE) AS INTEGER)"
+_STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_PASSAGES = f"""WITH RECURSIVE clean AS (SELECT doc_id, {_STRIP("regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM documents),
+paras AS (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS pi FROM (SELECT doc_id, regexp_split_to_array(t, '\\n\\s*\\n') AS p FROM clean)),
+lines AS (SELECT doc_id, pi, unnest(l) AS line, generate_subscripts(l, 1) AS li FROM (SELECT doc_id, pi, string_split(p, chr(10)) AS l FROM paras WHERE {_STRIP("p")} <> '')),
+heads AS (SELECT *, s <> '' AND len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) <= 8 AND NOT regexp_matches(s, '{chunk.BULLET}') AND (ends_with(s, ':') OR (s = upper(s) AND s <> lower(s) AND length(s) > 2) OR regexp_matches(s, '{chunk.SECTION}')) AS head FROM (SELECT *, {_STRIP("line")} AS s FROM lines)),
+numbered AS (SELECT *, sum(CASE WHEN li = 1 OR head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pi, li) AS b FROM heads),
+blocks AS (SELECT doc_id, b, {_STRIP("string_agg(line, chr(10) ORDER BY pi, li)")} AS body, first(head ORDER BY pi, li) AS opens FROM numbered GROUP BY 1, 2),
+sized AS (SELECT *, {_TOKENS("body")} AS n FROM blocks WHERE body <> ''),
+sentences AS (SELECT doc_id, b, opens, x, i, {_TOKENS("x")} AS n FROM (SELECT doc_id, b, opens, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT *, string_split(regexp_replace(body, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS l FROM sized WHERE n > {chunk.HIGH}))),
+cuts AS (SELECT doc_id, b, i, n AS total, 1 AS part FROM sentences WHERE i = 1 UNION ALL SELECT s.doc_id, s.b, s.i, CASE WHEN c.total + s.n > {chunk.HIGH} THEN s.n ELSE c.total + s.n END, c.part + CASE WHEN c.total + s.n > {chunk.HIGH} THEN 1 ELSE 0 END FROM cuts c JOIN sentences s ON s.doc_id = c.doc_id AND s.b = c.b AND s.i = c.i + 1),
+parts AS (SELECT doc_id, b, 1 AS part, body, opens FROM sized WHERE n <= {chunk.HIGH} UNION ALL SELECT doc_id, b, part, string_agg(x, ' ' ORDER BY i), any_value(opens) AND part = 1 FROM sentences JOIN cuts USING (doc_id, b, i) GROUP BY doc_id, b, part),
+ordered AS (SELECT *, {_TOKENS("body")} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY b, part) AS i FROM parts),
+packs AS (SELECT doc_id, i, n AS total, 1 AS k FROM ordered WHERE i = 1 UNION ALL SELECT o.doc_id, o.i, CASE WHEN p.total >= {chunk.LOW} AND (o.opens OR p.total + o.n > {chunk.HIGH}) THEN o.n ELSE p.total + o.n END, p.k + CASE WHEN p.total >= {chunk.LOW} AND (o.opens OR p.total + o.n > {chunk.HIGH}) THEN 1 ELSE 0 END FROM packs p JOIN ordered o ON o.doc_id = p.doc_id AND o.i = p.i + 1),
+packed AS (SELECT doc_id, k, string_agg(body, chr(10) || chr(10) ORDER BY i) AS x FROM packs JOIN ordered USING (doc_id, i) GROUP BY 1, 2),
+grouped AS (SELECT *, sum(CASE WHEN k = 1 OR {_TOKENS("x")} >= {chunk.LEAST} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM packed),
+merged AS (SELECT doc_id, g, string_agg(x, chr(10) || chr(10) ORDER BY k) AS x FROM grouped GROUP BY 1, 2),
+joined AS (SELECT *, CASE WHEN g = 1 AND max(g) OVER (PARTITION BY doc_id) > 1 AND {_TOKENS("x")} < {chunk.LEAST} THEN 2 ELSE g END AS j FROM merged),
+done AS (SELECT doc_id, j, string_agg(x, chr(10) || chr(10) ORDER BY g) AS x FROM joined GROUP BY 1, 2)
+SELECT doc_id AS job_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS INTEGER) AS chunk_index, {_TOKENS("x")} AS tokens, sha256(x) AS text_sha256 FROM done"""
 ORACLE_SQL = {
+    "passages": _PASSAGES,
     "extracted_skills": _HITS + "SELECT doc_id AS job_id, w AS name, 'required' AS requirement FROM hits JOIN kept USING (w)",
     "unmatched_jobs": _HITS + "SELECT doc_id AS job_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits JOIN kept USING (w))",
     "vocabulary_index": "SELECT surface, skill_id, name FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY alias, skill_id) AS n FROM (SELECT lower(p_name) AS surface, p_partkey AS skill_id, p_name AS name, false AS alias FROM part WHERE p_size > 5 UNION ALL SELECT lower(p_brand), p_partkey, p_name, true FROM part WHERE p_size > 5)) WHERE n = 1",
