@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of a bounded sample of labelled rows (at most
-``per_lang`` for each language, chosen by a hash of the id) inside Arrow
+``per_lang`` for each of the ``MOST_LANGS`` most frequent languages, chosen by a hash of the id) inside Arrow
 batches and sums them in Spark; the log-probability matrix (``buckets`` x
 languages) is broadcast and whole texts are scored in numpy, by gathering the
 matrix rows of a text's n-grams and summing them.
@@ -28,6 +28,8 @@ from matchspark.llm._tables import table
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 PER_LANG = 3000
+#: Languages that are learned, the most frequent; bounds the matrix that every task holds.
+MOST_LANGS = 500
 UNKNOWN = "und"
 #: Characters that one numpy pass takes, unless a single text is longer.
 BLOCK_CHARS = 1 << 19
@@ -68,19 +70,18 @@ def _in_blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def train(labelled: DataFrame, buckets: int = BUCKETS, per_lang: int = PER_LANG) -> dict:
     """Languages, log priors and the log-probability matrix, from doc_id, text and non-null lang."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     if not sizes:
         return {"langs": [], "prior": np.zeros(0), "matrix": np.zeros((buckets, 0), np.float32)}
     langs = sorted(sizes)
-    part = F.lit(0)
-    for lang in langs:
-        part = F.when(F.col("lang") == lang, min(1_000_000, per_lang * 1_000_000 // sizes[lang] + 1)).otherwise(part)
-    sample = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000)) < part)
+    parts = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1_000_000, per_lang * 1_000_000 // sizes[lang] + 1))))
+    sample = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000)) < F.coalesce(F.try_element_at(parts, F.col("lang")), F.lit(0)))
+    place = {lang: k for k, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), buckets), np.int64)
         for batch in batches:
-            own = np.array([langs.index(x) for x in batch.column(1).to_pylist()])
+            own = np.array([place[x] for x in batch.column(1).to_pylist()])
             for at, texts in _in_blocks(batch.column(0).to_pylist()):
                 for found, bounds in gram_buckets(texts, buckets):
                     who = np.repeat(own[at : at + len(texts)], np.diff(bounds))

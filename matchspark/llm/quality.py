@@ -16,8 +16,8 @@ equal high bits are compared by their whole 64-bit hashes.
 Defined results. Null or empty text: no words, base_failed, not kept. Without
 any label of good quality the ratio is 0 everywhere and base rules decide.
 doc_id may be null or repeat: each row is judged by itself. Further columns are
-not read. An empty table gives an empty result. A text may have up to 2**24
-words.
+not read. An empty table gives an empty result. A text of more than 2**24 words
+sorts pairs of hash and place instead.
 """
 
 from __future__ import annotations
@@ -51,8 +51,8 @@ def _span(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words that stand in three-word windows found twice or more."""
+def _repeat_words(words: Column) -> tuple[Column, Column]:
+    """Words that stand in three-word windows found twice or more, and the sorted keys that tell."""
     hashes = F.col("_h3")
     high = F.lit(-(1 << _PLACE))
     keys = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(high).bitwiseOR(i.cast("long"))))
@@ -62,12 +62,20 @@ def _repeat_words(words: Column) -> Column:
         x, y = F.get(keys, a), F.get(keys, b)
         return (x.bitwiseXOR(y).bitwiseAND(high) == 0) & (F.get(hashes, place(x)) == F.get(hashes, place(y)))
 
-    def covered(keys: Column) -> Column:
-        twice = F.filter(_span(F.size(keys)), lambda j: F.coalesce(same(keys, j, j - 1), F.lit(False)) | F.coalesce(same(keys, j, j + 1), F.lit(False)))
-        starts = F.sort_array(F.transform(twice, lambda j: place(F.get(keys, j))))
-        return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, s: F.struct((a["n"] + F.least(F.lit(3), s - a["last"])).alias("n"), s.alias("last")), lambda a: a["n"].cast("long"))
+    def covered(starts: Column) -> Column:
+        return F.aggregate(F.sort_array(starts), F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, s: F.struct((a["n"] + F.least(F.lit(3), s - a["last"])).alias("n"), s.alias("last")), lambda a: a["n"].cast("long"))
 
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered(F.col("_keys"))), keys
+    def starts(keys: Column) -> Column:
+        twice = F.filter(_span(F.size(keys)), lambda j: F.coalesce(same(keys, j, j - 1), F.lit(False)) | F.coalesce(same(keys, j, j + 1), F.lit(False)))
+        return F.transform(twice, lambda j: place(F.get(keys, j)))
+
+    # a text of more words than places fit takes pairs of hash and place
+    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    like = lambda p, j: F.coalesce(F.get(p, j)["h"] == F.get(p, j - 1)["h"], F.lit(False)) | F.coalesce(F.get(p, j)["h"] == F.get(p, j + 1)["h"], F.lit(False))
+    long_starts = F.transform(F.array(pairs), lambda p: F.transform(F.filter(_span(F.size(p)), lambda j: like(p, j)), lambda j: F.get(p, j)["i"]))[0]
+    wide = F.size(hashes) > (1 << _PLACE)
+    count = F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).when(wide, covered(long_starts)).otherwise(covered(starts(F.col("_keys"))))
+    return count, F.when(~wide, keys)
 
 
 def with_counts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
