@@ -125,4 +125,4 @@ def job_skill_rows(found: DataFrame) -> DataFrame:
 
 def unmatched_jobs(jobs: DataFrame, found: DataFrame) -> DataFrame:
     """Jobs in which no skill was found."""
-    return jobs.join(found.select("job_id"), "job_id", "left_anti")
+    return jobs.hint("merge").join(found.select("job_id"), "job_id", "left_anti")

@@ -108,6 +108,6 @@ def feed_shape_report(jobs: DataFrame, expected_currency: Column | None = None)
     return one.unpivot([], one.columns, "field", "rate")
 
 
-def boilerplate_postings(jobs: DataFrame, job_skills: DataFrame, cap: int, phrase: str = r"(?i)equal[ -]opportunit") -> DataFrame:
+def boilerplate_postings(jobs: DataFrame, job_skills: DataFrame, cap: int | Column, phrase: str = r"(?i)equal[ -]opportunit") -> DataFrame:
     """Postings cut exactly at the cap, with an equal-opportunity phrase and without any skill."""
     return jobs.where((F.length("description") == cap) & F.col("description").rlike(phrase)).join(job_skills.select("job_id"), "job_id", "left_anti")

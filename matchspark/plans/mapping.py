@@ -56,7 +56,7 @@ def resume_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     mean = part.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     rows = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    return rows.select(F.col("label").alias("resume_id"), F.transform("v", lambda p: p["x"]).alias("vec")).join(resumes(spark, sf_dir).select("resume_id"), "resume_id", "left_semi")
+    return rows.select(F.col("label").alias("resume_id"), F.transform("v", lambda p: p["x"]).alias("vec")).hint("merge").join(resumes(spark, sf_dir).select("resume_id"), "resume_id", "left_semi")
 
 
 #: The same tables as SQL, to stand before a query.

@@ -13,7 +13,7 @@ from matchspark.plans.mapping import table
 def _cosines(spark: SparkSession, d: str) -> DataFrame:
     """The cosine of every vector with the mean of its label."""
     mean = m.resume_vectors(spark, d).select(F.col("resume_id").alias("label"), F.col("vec").alias("mean"))
-    e = table(spark, d, "embeddings").join(mean, "label")
+    e = table(spark, d, "embeddings").hint("merge").join(mean, "label")
     return e.select(F.col("vec_id").alias("key"), score.cosine_similarity(F.col("embedding"), F.col("mean")).alias("cos"))
 
 
@@ -69,8 +69,9 @@ def feed_shape(spark: SparkSession, d: str) -> DataFrame:
 def boilerplate(spark: SparkSession, d: str) -> DataFrame:
     """Documents of exactly the modal length that no label covers."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("job_id"), F.col("text").alias("description"))
-    cap = docs.groupBy(F.length("description").alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "n").limit(1).first()
-    return report.boilerplate_postings(docs, table(spark, d, "labels").select(F.col("doc_id").alias("job_id")), cap["n"] if cap else 0, r"[a-z]").select("job_id")
+    cap = docs.groupBy(F.length("description").alias("n")).agg(F.count(F.lit(1)).alias("k")).agg(F.max(F.struct("k", -F.col("n")))["col2"].alias("n"))
+    at_cap = docs.crossJoin(F.broadcast(cap)).where(F.length("description") == -F.col("n"))  # one row
+    return report.boilerplate_postings(at_cap, table(spark, d, "labels").select(F.col("doc_id").alias("job_id")), -F.col("n"), r"[a-z]").select("job_id")
 
 
 QUERIES = {

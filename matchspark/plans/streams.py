@@ -49,7 +49,7 @@ def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
         # the newest payload of each posting within the batch, then its time beside the posting
         keyed = batch.withColumn("source_job_id", F.concat_ws(":", "company", F.get_json_object("payload", "$.jobs[0].id")))
         newest = first_per_key(keyed, ["source_job_id"], [F.desc("fetched_at"), F.desc("seq")])
-        return boards.normalize_company_board(newest.select("company", "payload")).join(newest.select("source_job_id", "fetched_at", "seq"), "source_job_id")
+        return boards.normalize_company_board(newest.select("company", "payload")).hint("merge").join(newest.select("source_job_id", "fetched_at", "seq"), "source_job_id")
 
     ingest.incremental_ingest(spark, f"{base}/landing", f"{base}/jobs", f"{base}/state", normalise, "36500 days").awaitTermination()
     return ingest.latest(spark, f"{base}/jobs").select("source_job_id", "title", "description")
