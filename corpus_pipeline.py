@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All stages but the last
 return the columns of documents.
+
+Defined results. Null and empty texts have no language and go in the first
+stage; taken alone, the later stages keep them, and packing gives them the end
+id. Long texts are worked on whole. Of equal texts the smallest doc_id stays
+(rows that share it stay together); a null doc_id is never a copy of another
+row, loses no passage and removes none. Ties in a score fall by the rules of
+each operator. Columns beyond those of documents are dropped at once, so names
+cannot clash. An empty table passes every stage as one.
 """
 
 from __future__ import annotations

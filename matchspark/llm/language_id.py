@@ -36,9 +36,16 @@ BLOCK_CHARS = 1 << 19
 _LETTER = regex.compile(r"\p{L}")
 
 
+def folded(text: str) -> str:
+    return " " + text.lower().replace("\0", " ") + " "
+
+
 def gram_buckets(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: the buckets of the n-grams of the lower-cased texts, and the bounds of each text in them."""
-    low = [" " + t.lower().replace("\0", " ") + " " for t in texts]
+    return _buckets_of([folded(t) for t in texts], buckets)
+
+
+def _buckets_of(low: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size = np.fromiter(map(len, low), np.int64, len(low))
     ends = np.cumsum(size)
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -97,6 +104,27 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, per_lang: int = PER_LANG)
     return {"langs": langs, "prior": np.log(n / n.sum()), "matrix": np.log(smooth / smooth.sum(axis=0)).astype(np.float32)}
 
 
+def _sums(low: list[str], columns: list[np.ndarray], buckets: int) -> np.ndarray:
+    """Log-probabilities of the n-grams of each folded text, by language."""
+    total = np.zeros((len(low), len(columns)))
+    for found, bounds in _buckets_of(low, buckets):
+        for k, column in enumerate(columns):
+            sums = np.concatenate([np.zeros(1), np.cumsum(column[found], dtype=np.float64)])
+            total[:, k] += sums[bounds[1:]] - sums[bounds[:-1]]
+    return total
+
+
+def _long_sums(text: str, columns: list[np.ndarray], buckets: int) -> np.ndarray:
+    """The same of one long text, slice by slice: slices overlap by what the longest n-gram needs, and the overlaps' own n-grams are taken off."""
+    low, more = folded(text), max(ORDERS) - 1
+    total = np.zeros((1, len(columns)))
+    for at in range(0, len(low), BLOCK_CHARS):
+        total += _sums([low[at : at + BLOCK_CHARS + more]], columns, buckets)
+        if at + BLOCK_CHARS < len(low):
+            total -= _sums([low[at + BLOCK_CHARS : at + BLOCK_CHARS + more]], columns, buckets)
+    return total
+
+
 def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with lang_pred and score, the posterior probability of lang_pred."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -114,11 +142,7 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
                 at = to
                 own = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 if langs:
-                    total = np.tile(prior, (len(own), 1))
-                    for found, bounds in gram_buckets(own, buckets):
-                        for k, column in enumerate(columns):
-                            sums = np.concatenate([np.zeros(1), np.cumsum(column[found], dtype=np.float64)])
-                            total[:, k] += sums[bounds[1:]] - sums[bounds[:-1]]
+                    total = prior + (_sums([folded(t) for t in own], columns, buckets) if len(own) > 1 or len(own[0]) <= BLOCK_CHARS else _long_sums(own[0], columns, buckets))
                     odds = np.exp(total - total.max(axis=1, keepdims=True))
                     best = total.argmax(axis=1)
                     p = odds[np.arange(len(own)), best] / odds.sum(axis=1)

@@ -48,8 +48,8 @@ FUNCTIONS, CHOOSE_FROM = 64, 64
 TREES, BRANCHES, SMALL, DEPTH = 20, (2.0, 1.25), 64, 4
 #: Equal two-bit values of 64 below which a pair of similarity 0.8 falls with a chance of about 1e-5.
 LEAST_EQUAL = 42
-#: Shingles (and ROW_WEIGHT for each text) that a block of the verification holds, on average.
-BLOCK_WEIGHT, ROW_WEIGHT = 2_000_000, 200
+#: Shingles (and ROW_WEIGHT, what a row takes beside them, for each text) that a block of the verification holds, on average.
+BLOCK_WEIGHT, ROW_WEIGHT = 2_000_000, 50
 
 _RNG = np.random.default_rng(11)
 _XOR = _RNG.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32)

@@ -216,6 +216,15 @@ def test_texts_that_modular_hashes_confuse(spark):
     assert kept_of(substring_dedup.remove_repeats(docs)) == brute_kept(rows)
 
 
+def test_near_copies_beside_a_null_id(spark):
+    text = [f"w{i}" for i in range(60)]
+    near = " ".join(text[:-1] + ["other"])
+    docs = spark.createDataFrame([(None, " ".join(text)), (5, near), (3, " ".join(text)), (None, near)], "doc_id long, text string")
+    out = near_dedup.near_duplicates(docs, 2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out if r.doc_id is not None) == [(3, 3, True), (5, 3, False)]
+    assert [(r.component_id, r.kept) for r in out if r.doc_id is None] == [(None, True)] * 2
+
+
 def test_only_high_thresholds(spark):
     with pytest.raises(ValueError):
         near_dedup.near_duplicates(empty_docs(spark), threshold=0.7)

@@ -263,6 +263,16 @@ def test_language_by_hand(spark):
     assert [r.lang_pred for r in out] == [x for x, _ in want] and [r.score for r in out] == pytest.approx([x for _, x in want], rel=1e-4)
 
 
+def test_language_of_one_long_text_in_slices(spark, monkeypatch):
+    model = language_id.train(spark.createDataFrame([(1, "the cat and the hat", "en"), (2, "der Hund und die Katze", "de")], "doc_id long, text string, lang string"), 1 << 8)
+    columns = [model["matrix"][:, k] for k in range(2)]
+    text = "The cat und der hat, die É\0 katze and " * 9
+    whole = language_id._sums([language_id.folded(text)], columns, 1 << 8)
+    for size in (2, 5, 64, 1000):
+        monkeypatch.setattr(language_id, "BLOCK_CHARS", size)
+        assert np.allclose(language_id._long_sums(text, columns, 1 << 8), whole)
+
+
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
 
