@@ -77,13 +77,14 @@ def match_surfaces(spans: DataFrame, forms: list[str]) -> DataFrame:
     """spans (with level, span) with one row a hit: pos, surface, left and right context. Hits do not overlap, longest first."""
     marked = F.split(F.regexp_replace("span", surface_pattern(forms), f"{H1}$1{H2}"), H1)
     rows = spans.withColumn("_p", marked).where(F.size("_p") > 1)
-    raw = lambda i: F.translate(F.coalesce(F.get("_p", i), F.lit("")), H2, "")
+    # runs of blanks count as one, so that they do not fill a hit's context
+    raw = lambda i: F.regexp_replace(F.translate(F.coalesce(F.get("_p", i), F.lit("")), H2, ""), "[ \\t]+", " ")
     hits = F.transform(
         F.sequence(F.lit(1), F.size("_p") - 1),
         lambda i: F.struct(
             i.alias("pos"), F.substring_index(F.get("_p", i), H2, 1).alias("surface"),
             F.right(F.concat(F.when(i > 1, raw(i - 2)).otherwise(""), raw(i - 1)), F.lit(_CONTEXT)).alias("left"),
-            F.concat(F.substring_index(F.get("_p", i), H2, -1), F.left(raw(i + 1), F.lit(_CONTEXT))).alias("right"),
+            F.concat(F.regexp_replace(F.substring_index(F.get("_p", i), H2, -1), "[ \\t]+", " "), F.left(raw(i + 1), F.lit(_CONTEXT))).alias("right"),
         ),
     )
     return rows.withColumn("_h", F.explode(hits)).select(*spans.columns, "_h.*")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchspark.operators import chunk, extract
 from matchspark.operators.dedupe import first_per_key
 from matchspark.plans.mapping import table
 from matchspark.sources import boards
@@ -37,8 +38,8 @@ def streamed_activity(spark: SparkSession, d: str) -> DataFrame:
     return ingest.latest(spark, out).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Orders landed as board payloads, read as a stream and upserted by key."""
+def _ingested(spark: SparkSession, d: str, then: dict | None = None) -> str:
+    """Orders landed as board payloads, read as a stream and upserted by key; the table's folder."""
     base = _folder(spark)
     o = table(spark, d, "orders")
     posting = F.to_json(F.struct(F.array(F.struct(F.col("o_custkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("&lt;p&gt;"), F.col("o_orderstatus"), F.lit("&lt;/p&gt;")).alias("content"))).alias("jobs")))
@@ -51,14 +52,31 @@ def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
         newest = first_per_key(keyed, ["source_job_id"], [F.desc("fetched_at"), F.desc("seq")])
         return boards.normalize_company_board(newest.select("company", "payload")).hint("merge").join(newest.select("source_job_id", "fetched_at", "seq"), "source_job_id")
 
-    ingest.incremental_ingest(spark, f"{base}/landing", f"{base}/jobs", f"{base}/state", normalise, "36500 days").awaitTermination()
-    return ingest.latest(spark, f"{base}/jobs").select("source_job_id", "title", "description")
+    ingest.incremental_ingest(spark, f"{base}/landing", f"{base}/jobs", f"{base}/state", normalise, "36500 days", then).awaitTermination()
+    return f"{base}/jobs"
+
+
+def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.latest(spark, _ingested(spark, d)).select("source_job_id", "title", "description")
+
+
+def streamed_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages and skills of the postings that a stream wrote, made in its batches."""
+    index = spark.createDataFrame([(x.lower(), x, x) for x in ("F", "O", "P")], "surface string, skill_id string, name string")
+    cut = lambda rows: chunk.chunk_jobs(rows.select(F.col("source_job_id").alias("job_id"), "description"))
+    found = lambda rows: extract.extract_skills(rows.select(F.col("source_job_id").alias("job_id"), F.col("description").alias("text")), index)
+    jobs = _ingested(spark, d, {"passages": cut, "skills": found})
+    passages, skills = ingest.follow_up(spark, jobs, "passages", "job_id"), ingest.follow_up(spark, jobs, "skills", "job_id")
+    return passages.hint("merge").join(skills.select("job_id", F.col("name").alias("skill"), "requirement"), "job_id").select("job_id", "chunk_index", "text", "skill", "requirement")
+
+
 
 
-QUERIES = {f.__name__: f for f in (activity_by_hour, streamed_activity, streamed_ingest)}
+QUERIES = {f.__name__: f for f in (activity_by_hour, streamed_activity, streamed_ingest, streamed_passages)}
 _BY_HOUR = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"
 ORACLE_SQL = {
     "activity_by_hour": _BY_HOUR,
     "streamed_activity": _BY_HOUR,
     "streamed_ingest": "SELECT 'acme:' || o_custkey AS source_job_id, o_orderpriority AS title, o_orderstatus AS description FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
+    "streamed_passages": "SELECT 'acme:' || o_custkey AS job_id, 0 AS chunk_index, o_orderstatus AS text, o_orderstatus AS skill, 'required' AS requirement FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
 }

@@ -31,14 +31,27 @@ def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFra
     return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
 
 
-def incremental_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, normalise: Callable[[DataFrame], DataFrame], watermark: str = "7 days") -> StreamingQuery:
+def follow_up(spark: SparkSession, table: str, name: str, key: str) -> DataFrame | None:
+    """What followed the upserts of a table under a name: of each key the rows of its last batch."""
+    found = _versions(spark, f"{table}-{name}")
+    if not found:
+        return None
+    rows = spark.read.option("basePath", f"{table}-{name}").parquet(*(f"{table}-{name}/v={v}" for v in found))
+    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max("v").alias("_v"))
+    return rows.hint("merge").join(last, (F.col(key) == F.col("_key")) & (F.col("v") == F.col("_v"))).drop("_key", "_v", "v")
+
+
+def incremental_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, normalise: Callable[[DataFrame], DataFrame], watermark: str = "7 days", then: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> StreamingQuery:
     """Read what is new in ``landing`` (JSON of LANDED rows) and upsert it to ``table``.
 
     ``normalise`` turns landed rows to postings with source, source_job_id,
     fetched_at and seq. A version folder is written for each micro-batch and
     named by it, so that a batch which is tried again writes the same version;
     readers take the newest complete one. A record that is delivered twice is
-    dropped; the state for that holds only keys within the watermark.
+    dropped; the state for that holds only keys within the watermark. ``then``
+    names what follows an upsert (passages, skills, scores): each function takes
+    the stored rows that the batch wrote, and what it gives is written beside
+    the table, under the batch's number too (``follow_up`` reads it).
     """
     rows = spark.readStream.schema(LANDED).json(landing)
     payload = F.xxhash64("payload").alias("payload_hash")
@@ -50,6 +63,11 @@ def incremental_ingest(spark: SparkSession, landing: str, table: str, checkpoint
         if current is None:
             current = incoming.limit(0).withColumn("job_id", F.lit("")).drop("seq")
         upsert_jobs(current, incoming).drop("is_new").write.mode("overwrite").parquet(f"{table}/v={number}")
+        if then:
+            stored = batch.sparkSession.read.parquet(f"{table}/v={number}")
+            written = stored.hint("merge").join(incoming.select("source", "source_job_id").distinct(), ["source", "source_job_id"], "left_semi")
+            for name, make in then.items():
+                make(written).write.mode("overwrite").parquet(f"{table}-{name}/v={number}")
 
     return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
