@@ -29,7 +29,7 @@ _BLANK = re.compile(f"[{WHITE}]+")
 _WHITE_RE2 = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _INSIDE = f"[{_WHITE_RE2}] (?:[{_WHITE_RE2}]|$)"
 #: Characters after which a long text is cut at the next boundary, and bytes of texts that go through together.
-STRETCH, BLOCK = 1 << 18, 1 << 23
+STRETCH, BLOCK = 1 << 18, 1 << 21
 
 
 def is_white(piece: str) -> bool:
@@ -55,7 +55,7 @@ class PieceEncoder:
     Texts that hold one of ``apart`` go to ``encode_whole`` as they are.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], apart: tuple[str, ...] = (), encode_whole: Callable[[str], list[int]] | None = None, most: int = 8_000_000, longest: int = 64):
+    def __init__(self, encode: Callable[[str], list[int]], apart: tuple[str, ...] = (), encode_whole: Callable[[str], list[int]] | None = None, most: int = 4_000_000, longest: int = 64):
         self.encode, self.apart, self.encode_whole = encode, apart, encode_whole
         self.most, self.longest, self.held = most, longest, 0
         self.known: dict[str, bytes] = {}
