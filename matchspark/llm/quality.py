@@ -2,9 +2,11 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word windows
 inside each row. The method's verdict is a hashed n-gram log-likelihood ratio:
-word unigrams and bigrams are hashed to ``BUCKETS`` buckets; a trusted-target
-multinomial (texts labelled as good, a sample bounded by ``MOST_TRUSTED``) and a
-raw-corpus multinomial (all texts) give each bucket log(p_trusted / p_raw); a
+word unigrams and bigrams are hashed to buckets, of which there are the more the
+longer the corpus is (``bucket_count``); a trusted-target multinomial (texts
+labelled as good, a sample bounded by ``MOST_TRUSTED``) and a raw-corpus
+multinomial (all texts) give each bucket the logarithm of how much more often
+trusted texts hold it than raw ones would, one count added to either; a
 document's score is the mean over its n-grams, and it is kept where the score
 is at least ``THRESHOLD - SLACK / sqrt(n-grams)``: one fixed rule for every
 document, with room for the spread of short texts.
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 
 from matchspark.llm._tables import table
 
-BUCKETS = 1 << 13
+#: Least and most buckets (as powers of two; the ratios stand in the plan), and characters of the corpus for one.
+BUCKETS, CHARS_A_BUCKET = (13, 18), 1 << 14
 MOST_TRUSTED = 10_000
 SMOOTH = 1.0
 THRESHOLD = -0.04
@@ -105,8 +108,15 @@ def gram_buckets(words: Column, buckets: int) -> Column:
     return F.flatten(F.transform(words, lambda w, i: F.array(F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64(w, F.coalesce(F.get(words, i + 1), F.lit(""))), F.lit(buckets)).cast("int"))))
 
 
-def train(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """log(p_trusted / p_raw) of each bucket."""
+def bucket_count(docs: DataFrame) -> int:
+    """A power of two that grows with the characters of all texts."""
+    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 1
+    return 1 << min(max(math.ceil(math.log2(chars / CHARS_A_BUCKET)), BUCKETS[0]), BUCKETS[1])
+
+
+def train(docs: DataFrame, trusted_ids: DataFrame, buckets: int | None = None) -> list[float]:
+    """The log-likelihood ratio of each bucket: log((trusted + 1) / (expected + 1))."""
+    buckets = buckets or bucket_count(docs)
     n = trusted_ids.count()
     part = 1_000_000 if n <= MOST_TRUSTED else MOST_TRUSTED * 1_000_000 // n
     # about MOST_TRUSTED ids at most, so sending them to every task is bounded by that parameter
@@ -115,14 +125,11 @@ def train(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> li
     rows = rows.select(F.coalesce("_good", F.lit(0)).alias("good"), word_array(F.col("text")).alias("_words"))  # once a row, not once a lambda call
     grams = rows.select("good", F.explode(gram_buckets(F.col("_words"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect()  # one row for each bucket
-    raw, good = [SMOOTH] * buckets, [SMOOTH] * buckets
-    for r in counts:
-        raw[r["bucket"]] += r["raw"]
-        good[r["bucket"]] += r["good"]
-    a, b = sum(raw), sum(good)
-    if not any(r["good"] for r in counts):
-        return [0.0] * buckets
-    return [math.log(g / b) - math.log(x / a) for g, x in zip(good, raw)]
+    all_raw, all_good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
+    ratio = [0.0] * buckets
+    for r in counts if all_good else ():
+        ratio[r["bucket"]] = math.log(r["good"] + SMOOTH) - math.log(all_good * r["raw"] / all_raw + SMOOTH)
+    return ratio
 
 
 def verdicts(counted: DataFrame, ratio: list[float]) -> DataFrame:

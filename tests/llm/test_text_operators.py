@@ -327,12 +327,12 @@ def test_quality_verdicts_by_hand(spark):
     table = spark.createDataFrame([(k, g[0], g[1] if len(g) > 1 else None) for k, g in enumerate(distinct)], "k int, a string, b string")
     hashed = table.select("k", F.when(F.col("b").isNull(), F.pmod(F.xxhash64("a"), F.lit(64))).otherwise(F.pmod(F.xxhash64("a", "b"), F.lit(64))).alias("bucket"))
     bucket = {distinct[r.k]: int(r.bucket) for r in hashed.collect()}
-    raw, trusted = [1.0] * 64, [1.0] * 64
+    raw, trusted = [0] * 64, [0] * 64
     for i, own in grams.items():
         for g in own:
             raw[bucket[g]] += 1
             trusted[bucket[g]] += i in good
-    weight = [round(math.log(t / sum(trusted)) - math.log(r / sum(raw)), 5) for t, r in zip(trusted, raw)]
+    weight = [round(math.log((t + 1) / (sum(trusted) * r / sum(raw) + 1)), 5) for t, r in zip(trusted, raw)]
     assert [round(x, 5) for x in ratio] == weight
     out = {r.doc_id: r for r in quality.verdicts(quality.with_counts(docs), ratio).collect()}
     for i, text in rows:
@@ -342,7 +342,9 @@ def test_quality_verdicts_by_hand(spark):
 
 
 def test_quality_separates_at_two_sizes(spark):
-    """Good and bad texts apart by llr, with a bucket count that stays: the README's figures."""
+    """Good and bad texts apart by llr, at either size; buckets grow with the corpus."""
+    counts = [quality.bucket_count(spark.createDataFrame([("x" * 1000,)], "text string").crossJoin(spark.range(n))) for n in (1, 10_000, 200_000, 3_000_000)]
+    assert counts == [1 << 13, 1 << 13, 1 << 14, 1 << 18]
     for sf in ("sf0.001", "sf0.01"):
         labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
         mean = {r.quality: r.m for r in quality.op4_quality(spark, f"/root/testdata/{sf}").join(labels, "doc_id").groupBy("quality").agg(F.avg("llr").alias("m")).collect()}
