@@ -181,7 +181,7 @@ def _lists(edges: DataFrame) -> DataFrame:
     return edges.repartition("u").sortWithinPartitions("u").mapInArrow(run, "u long, ids array<long>, s array<double>, new array<boolean>")
 
 
-def _descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
+def _descend(graph: DataFrame, codes: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """New edges (u, v, s) between vectors that share a neighbour, one of them new, better than the worst that either side holds."""
     edges = graph.select("u", F.explode(F.arrays_zip("ids", "new")).alias("e")).select("u", F.col("e.ids").alias("v"), F.col("e.new").alias("new"))
     some = Window.partitionBy("v", "new").orderBy(F.xxhash64("u", "v"), "u")
@@ -189,6 +189,7 @@ def _descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
     lists = edges.select(F.col("u").alias("at"), F.col("v").alias("x"), "new").unionByName(reverse.select(F.col("v").alias("at"), F.col("u").alias("x"), "new"))
     worst = F.when(F.size("s") >= DEGREE, F.element_at("s", -1)).otherwise(F.lit(float("-inf")))
     known = keep(graph.select("u", worst.alias("worst")).hint("merge").join(codes, F.col("u") == F.col("id")).select("id", "code", "scale", "worst"), "known")
+    spent.append(known)
     met = lists.hint("merge").join(known, F.col("x") == F.col("id")).select("at", "x", "new", "code", "scale", "worst")
 
     def introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,10 +229,11 @@ def build(rows: DataFrame) -> DataFrame:
         start = found if start is None else start.unionByName(found)
     graph = keep(_lists(start.withColumn("fresh", F.lit(True))), "graph")
     while True:
+        spent = [graph]
         held = graph.select("u", F.explode(F.arrays_zip("ids", "s")).alias("e")).select("u", F.col("e.ids").alias("v"), F.col("e.s").alias("s"), F.lit(False).alias("fresh"))
-        next_ = keep(_lists(held.unionByName(_descend(graph, codes).withColumn("fresh", F.lit(True)))), "graph")
+        next_ = keep(_lists(held.unionByName(_descend(graph, codes, spent).withColumn("fresh", F.lit(True)))), "graph")
         counts = next_.agg(F.sum(F.size(F.filter("new", lambda x: x))).alias("new"), F.sum(F.size("ids")).alias("all")).first()
-        drop_kept(graph)
+        drop_kept(*spent)
         graph = next_
         if (counts["new"] or 0) <= LEAST_CHANGE * (counts["all"] or 0):
             return graph

@@ -127,8 +127,11 @@ def _children(node: Column, values: Column, branches: float) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(0), F.lit(CHOOSE_FROM - 1)), goes), lambda i: F.xxhash64(node, i, F.get(values, i)))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) of classes (doc_id, a, b, values) that may be similar: their components hold every similar pair."""
+def candidates(classes: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """Edges (a, b) of classes (doc_id, a, b, values) that may be similar: their components hold every similar pair.
+
+    Tables that the edges are made of join ``spent``, to be dropped when the edges are written.
+    """
     roots = F.array(*(F.lit(t).cast("long") for t in range(TREES)))
     own = classes.select(F.col("doc_id").alias("_doc"), "a", "b", "values")
     at = found = None
@@ -144,11 +147,13 @@ def candidates(classes: DataFrame) -> DataFrame:
         sizes = keep(stepped.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         sized = keep(stepped.hint("merge").join(sizes, "node"), "sized")
         drop_kept(stepped)
+        spent += [sizes, sized]
         small = sized.where(F.col("n") <= SMALL)
         edges = small.select("node", "doc_id", "a", "b").repartition("node").sortWithinPartitions("node").mapInArrow(_compare, "a long, b long")
         at = sized.where(F.col("n") > SMALL).select("doc_id", "node")
         if depth == DEPTH:
             least = keep(at.groupBy("node").agg(F.min("doc_id").alias("b")), "heads")
+            spent.append(least)
             edges = edges.unionByName(at.hint("merge").join(least, "node").select(F.col("doc_id").alias("a"), "b"))
         found = edges if found is None else found.unionByName(edges)
         if at.isEmpty():
@@ -364,7 +369,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     same = ["s1", "s2", "n_shingles"]
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = keep(usable.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("a", "b", "values"))), "classes")
-    hopeful = components(candidates(classes))
+    spent: list[DataFrame] = []
+    hopeful = components(candidates(classes, spent))
+    drop_kept(*spent)
     members = classes.select("doc_id", "n_shingles").hint("merge").join(hopeful.withColumnRenamed("id", "doc_id"), "doc_id")
     linked = components(confirmed(docs.where("doc_id is not null"), keep(members, "members"), shingle, threshold))
     least = keep(linked.groupBy("root").agg(F.min("id").alias("component")), "least")
