@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from matchspark.llm import ann, byte_bpe, chat_format, language_id, license_scan, near_dedup, packing, periodic_runs, quality, simhash, substring_dedup, toxicity
+from matchspark.llm import ann, byte_bpe, chat_format, language_id, license_scan, near_dedup, packing, periodic_runs, quality, simhash, substring_dedup, toxicity, whitening
 
-MODULES = [ann, byte_bpe, chat_format, language_id, license_scan, near_dedup, packing, periodic_runs, quality, simhash, substring_dedup, toxicity]
+MODULES = [ann, byte_bpe, chat_format, language_id, license_scan, near_dedup, packing, periodic_runs, quality, simhash, substring_dedup, toxicity, whitening]
 
 
 def queries() -> dict:
