@@ -37,11 +37,19 @@ def clean_text(text: Column) -> Column:
     return _strip(F.regexp_replace(out, "\n{3,}", "\n\n"))
 
 
+def _let(value: Column, make) -> Column:
+    """make(value) with the value computed once, wherever and however often it stands in what is made, lambdas included."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def is_heading(line: Column) -> Column:
     """A short line that ends with a colon, is in capitals, or begins like a section."""
-    s = _strip(line)
-    capitals = (s == F.upper(s)) & (s != F.lower(s)) & (F.length(s) > 2)
-    return (s != "") & (_n_words(s) <= 8) & ~s.rlike(BULLET) & (s.endswith(":") | capitals | s.rlike(SECTION))
+
+    def of(s: Column) -> Column:
+        capitals = (s == F.upper(s)) & (s != F.lower(s)) & (F.length(s) > 2)
+        return (s != "") & (_n_words(s) <= 8) & ~s.rlike(BULLET) & (s.endswith(":") | capitals | s.rlike(SECTION))
+
+    return _let(_strip(line), of)
 
 
 def split_blocks(text: Column) -> Column:
@@ -56,18 +64,24 @@ def split_blocks(text: Column) -> Column:
 def _fold(items: Column, full, sep: str) -> Column:
     """Greedy concatenation: ``full(state, item)`` tells when to begin anew; items are structs with body and n.
 
-    The fold keeps the places of the cuts; bodies are joined once, between cuts.
+    The fold keeps the places of the cuts; bodies are joined once, between cuts,
+    so that the work follows the length of the text.
     """
     start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"), F.lit(0).alias("n"))
 
     def step(a: Column, x: Column) -> Column:
-        cut = (a["at"] > 0) & full(a, x)
-        return F.struct(F.when(cut, F.array_append(a["cuts"], a["at"])).otherwise(a["cuts"]).alias("cuts"), (a["at"] + 1).alias("at"), (F.when(cut, 0).otherwise(a["n"]) + x["n"]).alias("n"))
+        def moved(cut: Column) -> Column:
+            return F.struct(F.when(cut, F.array_append(a["cuts"], a["at"])).otherwise(a["cuts"]).alias("cuts"), (a["at"] + 1).alias("at"), (F.when(cut, 0).otherwise(a["n"]) + x["n"]).alias("n"))
 
-    cuts = F.aggregate(items, start, step, lambda a: F.concat(F.array(F.lit(0)), a["cuts"], F.array(a["at"])))
-    bodies = F.transform(items, lambda x: x["body"])
-    pieces = lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda low, i: F.array_join(F.slice(bodies, low + 1, F.get(c, i + 1) - low), sep))
-    return F.when(F.size(items) > 0, F.transform(F.array(cuts), pieces)[0]).otherwise(F.array().cast("array<string>"))
+        return _let((a["at"] > 0) & full(a, x), moved)
+
+    def joined(all_items: Column) -> Column:
+        cuts = F.aggregate(all_items, start, step, lambda a: F.concat(F.array(F.lit(0)), a["cuts"], F.array(a["at"])))
+        held = F.struct(F.transform(all_items, lambda x: x["body"]).alias("bodies"), cuts.alias("cuts"))
+        between = lambda h: F.transform(F.sequence(F.lit(1), F.size(h["cuts"]) - 1), lambda i: F.array_join(F.slice(h["bodies"], F.get(h["cuts"], i - 1) + 1, F.get(h["cuts"], i) - F.get(h["cuts"], i - 1)), sep))
+        return F.when(F.size(all_items) > 0, _let(held, between)).otherwise(F.array().cast("array<string>"))
+
+    return _let(items, joined)
 
 
 def _counted(body: Column, opens: Column) -> Column:
@@ -94,15 +108,19 @@ def merge_short(chunks: Column) -> Column:
         joined = F.array_append(F.slice(a, F.lit(1), F.size(a) - 1), F.concat(last, F.lit("\n\n"), x))
         return F.when((F.size(a) > 0) & (estimate_tokens(x) < LEAST), joined).otherwise(F.array_append(a, x))
 
-    merged = F.aggregate(chunks, start, step)
-    return F.transform(F.array(merged), lambda m: F.when((F.size(m) > 1) & (estimate_tokens(F.get(m, F.lit(0))) < LEAST), F.concat(F.array(F.concat(F.get(m, F.lit(0)), F.lit("\n\n"), F.get(m, F.lit(1)))), F.slice(m, F.lit(3), F.greatest(F.size(m) - 2, F.lit(0))))).otherwise(m))[0]
+    def finish(m: Column) -> Column:
+        first, second = F.get(m, F.lit(0)), F.get(m, F.lit(1))
+        rest = F.slice(m, F.lit(3), F.greatest(F.size(m) - 2, F.lit(0)))
+        return F.when((F.size(m) > 1) & (estimate_tokens(first) < LEAST), F.concat(F.array(F.concat(first, F.lit("\n\n"), second)), rest)).otherwise(m)
+
+    return F.aggregate(chunks, start, step, finish)
 
 
 def chunk_jobs(jobs: DataFrame, chunks: DataFrame | None = None, text: str = "description") -> DataFrame:
     """job_id, chunk_index, text of jobs without passages yet; blank texts give no row, others at least one."""
-    todo = jobs if chunks is None else jobs.join(chunks.select("job_id"), "job_id", "left_anti")
-    rows = todo.select("job_id", clean_text(F.coalesce(text, F.lit(""))).alias("t")).where("t <> ''")
-    rows = rows.select("job_id", split_blocks(F.col("t")).alias("b"))
+    todo = jobs if chunks is None else jobs.join(chunks.select("job_id").hint("merge"), "job_id", "left_anti")
+    # blank texts are found as they came, so that nothing is cleaned twice
+    rows = todo.where(F.col(text).rlike(r"\S")).select("job_id", split_blocks(clean_text(F.col(text))).alias("b"))
     parts = F.flatten(F.transform("b", lambda b: F.transform(split_oversized(b["body"]), lambda p, i: _counted(p, b["opens"] & (i == 0)))))
-    rows = rows.select("job_id", parts.alias("p")).select("job_id", pack_chunks(F.col("p")).alias("c")).select("job_id", merge_short(F.col("c")).alias("c"))
+    rows = rows.select("job_id", merge_short(pack_chunks(parts)).alias("c"))
     return rows.select("job_id", F.posexplode("c").alias("chunk_index", "text"))

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -208,3 +209,20 @@ def test_reports(spark):
     b = spark.createDataFrame([(1, ["y", "z"]), (2, ["q"])], "id int, skills array<string>")
     out = {r.id: (r.only_a, r.only_b, r.missing) for r in report.compare_extractions(a, b, spark.createDataFrame([(1, ["w", "x"])], "id int, skills array<string>")).collect()}
     assert out == {1: (["x"], ["z"], ["w"]), 2: ([], ["q"], [])}
+
+
+def test_chunking_follows_the_length_of_a_block(spark):
+    """Sixteen times the sentences of one block cost far less than the square of it."""
+    sentence = "This is a sentence of about fourteen words that stands in a long block alone."
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join([sentence] * n))], "job_id int, description string")
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            assert len(chunk.chunk_jobs(df).collect()) == n // 20
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    seconds(100)
+    assert seconds(6400) < 8 * seconds(400)
