@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchspark.functions.arrays import let
+
 LOW, HIGH, LEAST, PER_WORD = 200, 400, 50, 1.35
 # How section headings begin.
 SECTION_WORDS = (
@@ -37,11 +39,6 @@ def clean_text(text: Column) -> Column:
     return _strip(F.regexp_replace(out, "\n{3,}", "\n\n"))
 
 
-def _let(value: Column, make) -> Column:
-    """make(value) with the value computed once, wherever and however often it stands in what is made, lambdas included."""
-    return F.get(F.transform(F.array(value), make), F.lit(0))
-
-
 def is_heading(line: Column) -> Column:
     """A short line that ends with a colon, is in capitals, or begins like a section."""
 
@@ -49,7 +46,7 @@ def is_heading(line: Column) -> Column:
         capitals = (s == F.upper(s)) & (s != F.lower(s)) & (F.length(s) > 2)
         return (s != "") & (_n_words(s) <= 8) & ~s.rlike(BULLET) & (s.endswith(":") | capitals | s.rlike(SECTION))
 
-    return _let(_strip(line), of)
+    return let(_strip(line), of)
 
 
 def split_blocks(text: Column) -> Column:
@@ -73,15 +70,15 @@ def _fold(items: Column, full, sep: str) -> Column:
         def moved(cut: Column) -> Column:
             return F.struct(F.when(cut, F.array_append(a["cuts"], a["at"])).otherwise(a["cuts"]).alias("cuts"), (a["at"] + 1).alias("at"), (F.when(cut, 0).otherwise(a["n"]) + x["n"]).alias("n"))
 
-        return _let((a["at"] > 0) & full(a, x), moved)
+        return let((a["at"] > 0) & full(a, x), moved)
 
     def joined(all_items: Column) -> Column:
         cuts = F.aggregate(all_items, start, step, lambda a: F.concat(F.array(F.lit(0)), a["cuts"], F.array(a["at"])))
         held = F.struct(F.transform(all_items, lambda x: x["body"]).alias("bodies"), cuts.alias("cuts"))
         between = lambda h: F.transform(F.sequence(F.lit(1), F.size(h["cuts"]) - 1), lambda i: F.array_join(F.slice(h["bodies"], F.get(h["cuts"], i - 1) + 1, F.get(h["cuts"], i) - F.get(h["cuts"], i - 1)), sep))
-        return F.when(F.size(all_items) > 0, _let(held, between)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(all_items) > 0, let(held, between)).otherwise(F.array().cast("array<string>"))
 
-    return _let(items, joined)
+    return let(items, joined)
 
 
 def _counted(body: Column, opens: Column) -> Column:

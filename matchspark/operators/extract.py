@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchspark.functions.arrays import let
+from matchspark.tables import keep
+
 # Openings of preferred and of required sections.
 PREFERRED_MARKERS = (
     "preferred qualifications", "desired qualifications", "nice to have", "nice-to-have", "good to have", "would be a plus", "is a plus",
@@ -28,16 +31,18 @@ QUALIFIERS = (
     "programming", "program", "language", "languages", "lang", "developer", "developers", "dev", "engineer", "engineers", "golang", "coding",
     "scripting", "sharp", "dotnet", "stack",
 )
-#: Marks of section starts and of hits; removed from the input first.
+#: Marks of section starts and of guarded names; removed from the input first.
 S1, S2, H1, H2 = "\u0001", "\u0002", "\u0003", "\u0004"
-#: Surface forms that one pattern takes.
-MOST_FORMS = 20_000
-_CONTEXT = 64
+#: Surface forms up to which their tables are broadcast; beyond, joins shuffle.
+MOST_BROADCAST = 500_000
+#: A piece of a text: a run of what names are made of, or any other character.
+PIECE = r"(?s)\x03?[A-Za-z0-9+#]+|[^\x03]"
+_NAMING = r"[A-Za-z0-9+#]"
 
 
 def pending_jobs(jobs: DataFrame, job_skills: DataFrame) -> DataFrame:
     """Jobs without any job_skills row yet."""
-    return jobs.join(job_skills.select("job_id"), "job_id", "left_anti")
+    return jobs.join(job_skills.select("job_id").hint("merge"), "job_id", "left_anti")
 
 
 def extraction_text(title: Column, description: Column) -> Column:
@@ -62,32 +67,91 @@ def split_sections(text: Column) -> Column:
     return F.filter(F.when(F.size(pieces) == 1, whole).otherwise(spans), lambda s: s["span"] != "")
 
 
-def surface_pattern(forms: list[str]) -> str:
-    """One pattern of all surfaces, longest first within each first character."""
-    if len(forms) > MOST_FORMS:
-        raise ValueError(f"{len(forms)} surfaces; split the vocabulary into parts of at most {MOST_FORMS}")
-    by: dict[str, list[str]] = {}
-    for form in sorted(forms, key=lambda x: (-len(x), x)):
-        by.setdefault(form[0].lower(), []).append(form)
-    groups = [re.escape(first) + "(?:" + "|".join(re.escape(f[1:]) for f in own) + ")(?![A-Za-z0-9+#])" for first, own in sorted(by.items())]
-    return r"(?i)(?<![A-Za-z0-9+#.])(" + "|".join(groups) + ")"
-
-
-def match_surfaces(spans: DataFrame, forms: list[str]) -> DataFrame:
-    """spans (with level, span) with one row a hit: pos, surface, left and right context. Hits do not overlap, longest first."""
-    marked = F.split(F.regexp_replace("span", surface_pattern(forms), f"{H1}$1{H2}"), H1)
-    rows = spans.withColumn("_p", marked).where(F.size("_p") > 1)
-    # runs of blanks count as one, so that they do not fill a hit's context
-    raw = lambda i: F.regexp_replace(F.translate(F.coalesce(F.get("_p", i), F.lit("")), H2, ""), "[ \\t]+", " ")
-    hits = F.transform(
-        F.sequence(F.lit(1), F.size("_p") - 1),
-        lambda i: F.struct(
-            i.alias("pos"), F.substring_index(F.get("_p", i), H2, 1).alias("surface"),
-            F.right(F.concat(F.when(i > 1, raw(i - 2)).otherwise(""), raw(i - 1)), F.lit(_CONTEXT)).alias("left"),
-            F.concat(F.regexp_replace(F.substring_index(F.get("_p", i), H2, -1), "[ \\t]+", " "), F.left(raw(i + 1), F.lit(_CONTEXT))).alias("right"),
-        ),
-    )
-    return rows.withColumn("_h", F.explode(hits)).select(*spans.columns, "_h.*")
+def guard_marks(span: Column) -> Column:
+    """The span with a mark before each guarded name that has no evidence beside it.
+
+    The text is cut at guarded names; a name sees what stands back to the one
+    before it and on to the end of the part after it. Evidence never lies
+    further, however long those parts are, and all of them together are as long
+    as the text.
+    """
+    names = "|".join(re.escape(x) for x in sorted(SHORT + AMBIGUOUS, key=len, reverse=True))
+    parts = F.split(F.regexp_replace(span, rf"(?i)(?<![A-Za-z0-9+#.])({names})(?![A-Za-z0-9+#])", f"{H1}$1{H2}"), H1)
+
+    def marked(p: Column) -> Column:
+        plain = lambda i: F.translate(F.coalesce(F.get(p, i), F.lit("")), H2, "")
+
+        def one(part: Column, i: Column) -> Column:
+            name, rest = F.substring_index(part, H2, 1), F.substring_index(part, H2, -1)
+            counts = evidence_guard(name, plain(i - 1), F.concat(rest, plain(i + 1)))
+            return F.when(i == 0, part).otherwise(F.concat(F.when(counts, "").otherwise(H1), name, rest))
+
+        return F.when(F.size(p) == 1, span).otherwise(F.array_join(F.transform(p, one), ""))
+
+    return let(parts, marked)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+
+def _first_key(p: Column, i: Column) -> Column:
+    """What a form that begins with piece i is looked up by: the piece, and the run after it if it is none itself."""
+    here, after = F.translate(F.get(p, i), H1, ""), F.coalesce(F.get(p, i + 1), F.lit(""))
+    return F.when(here.rlike(_NAMING), here).otherwise(F.concat(here, F.when(after.rlike(_NAMING), F.translate(after, H1, "")).otherwise("")))
+
+
+def match_surfaces(spans: DataFrame, index: DataFrame) -> DataFrame:
+    """spans (job_id, section, level, span) with one row a hit: pos, surface, skill_id, name.
+
+    Surfaces of the index (surface, skill_id, name; folded, without blanks at
+    either end) are found whatever their case between borders. Hits do not
+    overlap: leftmost first, then longest. Guarded surfaces without evidence are
+    no hits. A vocabulary of any size is joined: texts and forms fall into the
+    same pieces (runs of naming characters, single others), so that a place is
+    looked up by its first piece, which gives the numbers of pieces of the forms
+    that begin so, and then by the joined pieces of each such number. Only places
+    whose first piece some form begins with leave their text.
+    """
+    known = keep(index.select(F.lower("surface").alias("surface"), "skill_id", "name").withColumn("_p", _pieces(F.col("surface"))).withColumn("k", F.size("_p")), "forms")
+    facts = known.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("most")).first()
+    most = facts["most"] or 1
+    sent = (lambda df: F.broadcast(df)) if facts["n"] <= MOST_BROADCAST else (lambda df: df.hint("merge"))
+    first = known.select(_first_key(F.col("_p"), F.lit(0)).alias("key"), "k").groupBy("key").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+
+    def starts(p: Column) -> Column:
+        places = F.transform(p, lambda x, i: F.when(let(F.coalesce(F.get(p, i - 1), F.lit(" ")), lambda before: (before != ".") & ~(before.rlike(_NAMING) & ~x.rlike(_NAMING))) & ~x.rlike(r"^\s$"), F.struct(i.alias("pos"), _first_key(p, i).alias("key"), F.slice(p, i + 1, F.lit(most + 1)).alias("here"))))
+        return F.filter(places, lambda x: x.isNotNull())
+
+    pieces = _pieces(F.lower(guard_marks(F.col("span"))))
+    places = spans.select("job_id", "section", "level", F.explode(let(pieces, starts)).alias("s")).select("job_id", "section", "level", "s.*")
+    met = places.join(sent(first), "key")
+    here = lambda k: F.translate(F.array_join(F.slice("here", F.lit(1), k), ""), H1, "")
+    # a form that ends in another character than those of names ends before such a one
+    ends = lambda k: (F.size("here") >= k) & (F.get("here", k - 1).rlike(_NAMING) | ~F.coalesce(F.get("here", k), F.lit(" ")).rlike(_NAMING))
+    tried = F.transform(F.filter("ks", ends), lambda k: F.struct(k.alias("k"), here(k).alias("surface")))
+    tried = met.select("job_id", "section", "level", "pos", F.get("here", F.lit(0)).startswith(H1).alias("unproven"), F.explode(tried).alias("t")).select("job_id", "section", "level", "pos", "unproven", "t.*")
+    hits = tried.join(sent(known.select("surface", "skill_id", "name")), "surface")
+    hits = _without_overlaps(hits)
+    return hits.where(~((F.col("k") == 1) & F.col("unproven") & F.col("surface").isin(*SHORT, *AMBIGUOUS))).drop("k", "unproven")
+
+
+def _without_overlaps(hits: DataFrame) -> DataFrame:
+    """Of hits (pos, k) of a span those that a reader from left to right takes, the longest at each place.
+
+    Hits that no earlier one reaches into begin an island; islands are settled one by one.
+    """
+    span = Window.partitionBy("job_id", "section")
+    longest = hits.withColumn("_n", F.row_number().over(Window.partitionBy("job_id", "section", "pos").orderBy(F.desc("k")))).where("_n = 1").drop("_n")
+    reach = F.max(F.col("pos") + F.col("k")).over(span.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("pos") < F.coalesce(reach, F.lit(0)), 0).otherwise(1)
+    island = F.sum("_b").over(span.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rest = [c for c in longest.columns if c not in ("job_id", "section")]
+    found = longest.withColumn("_b", begins).withColumn("_i", island).groupBy("job_id", "section", "_i").agg(F.array_sort(F.collect_list(F.struct("pos", *(c for c in rest if c != "pos")))).alias("h"))
+    start = F.struct(F.lit(0).alias("end"), F.slice("h", 1, 0).alias("taken"))
+    step = lambda a, x: F.when(x["pos"] < a["end"], a).otherwise(F.struct((x["pos"] + x["k"]).alias("end"), F.array_append(a["taken"], x).alias("taken")))
+    taken = F.when(F.size("h") == 1, F.col("h")).otherwise(F.aggregate("h", start, step, lambda a: a["taken"]))
+    return found.select("job_id", "section", F.explode(taken).alias("x")).select("job_id", "section", "x.*")
 
 
 def evidence_guard(surface: Column, left: Column, right: Column) -> Column:
@@ -101,21 +165,9 @@ def evidence_guard(surface: Column, left: Column, right: Column) -> Column:
 
 
 def extract_skills(jobs: DataFrame, index: DataFrame, text: str = "text") -> DataFrame:
-    """job_id, skill_id, name, requirement, pos from jobs (job_id, text) and a vocabulary index (surface, skill_id, name).
-
-    The index (at most MOST_FORMS rows) comes to the driver once: its surfaces
-    are compiled into the plan, and its rows are broadcast.
-    """
-    known = index.select("surface", "skill_id", "name").limit(MOST_FORMS + 1).collect()
-    forms = [r["surface"] for r in known]
-    if not forms:
-        return jobs.select("job_id", F.lit("").alias("skill_id"), F.lit("").alias("name"), F.lit("").alias("requirement"), F.lit(0).cast("long").alias("pos")).where("false")
+    """job_id, skill_id, name, requirement, pos from jobs (job_id, text) and a vocabulary index (surface, skill_id, name) of any size."""
     spans = jobs.select("job_id", F.posexplode(split_sections(F.col(text))).alias("section", "s")).select("job_id", "section", "s.level", "s.span")
-    hits = match_surfaces(spans, forms).where(evidence_guard(F.col("surface"), F.col("left"), F.col("right")))
-    found = hits.select("job_id", "level", "section", "pos", F.lower("surface").alias("surface"))
-    rows = jobs.sparkSession.createDataFrame([tuple(r) for r in known], index.select("surface", "skill_id", "name").schema)
-    found = found.join(F.broadcast(rows), "surface")
-    return job_skill_rows(found)
+    return job_skill_rows(match_surfaces(spans, index))
 
 
 def job_skill_rows(found: DataFrame) -> DataFrame:

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from matchspark.operators import chunk, embed, extract, resumes, vocabulary
 from matchspark.plans.mapping import table
 
-#: Words of the vocabulary that is drawn from the documents.
-VOCABULARY = 150
+#: Names of the vocabulary that is drawn from the documents.
+VOCABULARY = 3000
 
 
 def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    """The most frequent words of at least five letters a-z, as active skills: a top-k report over all texts."""
-    words = table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("w")).where(F.col("w").rlike("^[a-z]{5,}$"))
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY)
-    return top.select(F.col("w").alias("skill_id"), F.col("w").alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(True).alias("active"))
+    """The most frequent pairs of words of at least five letters a-z, one blank between, as active skills with the first word as alias: a top-k report over all texts."""
+    pairs = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?:^|(?<=\\s))(?=([a-z]{5,} [a-z]{5,})(?:\\s|$))"), F.lit(1))).alias("w"))
+    top = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY)
+    return top.select(F.col("w").alias("skill_id"), F.col("w").alias("name"), F.array(F.substring_index("w", " ", 1)).alias("aliases"), F.lit(True).alias("active"))
 
 
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
@@ -139,8 +139,18 @@ QUERIES = {
 }
 
 _WORDS = "SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents"
-_VOCAB = f"vocab AS (SELECT w FROM (SELECT w, count(*) AS n FROM ({_WORDS}) WHERE regexp_matches(w, '^[a-z]{{5,}}$') GROUP BY 1 ORDER BY n DESC, w LIMIT {VOCABULARY})), kept AS (SELECT w FROM vocab WHERE NOT regexp_matches(w, '^(strong|solid|basic|knowledge|skills?|expertise|experience)$'))"
-_HITS = f"WITH {_VOCAB}, hits AS (SELECT DISTINCT doc_id, split_part(t, '.', 1) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9+#.]+')) AS t FROM documents)) "
+#: Pairs by frequency; names that cleaning leaves alone; then, piece by piece, pairs from left to right (of pairs that overlap in a row every other one) and single words outside them.
+_HITS = f"""WITH spaced AS (SELECT doc_id, regexp_split_to_array(text, '\\s') AS w FROM documents),
+seen AS (SELECT w[i] || ' ' || w[i + 1] AS w FROM (SELECT w, unnest(range(1, len(w))) AS i FROM spaced) WHERE regexp_matches(w[i], '^[a-z]{{5,}}$') AND regexp_matches(w[i + 1], '^[a-z]{{5,}}$')),
+vocab AS (SELECT w FROM (SELECT w, count(*) AS n FROM seen s GROUP BY 1 ORDER BY n DESC, w LIMIT {VOCABULARY})),
+kept AS (SELECT w FROM vocab WHERE NOT regexp_matches(w, '\\b(strong|solid|basic|knowledge|skills?|expertise|experience|your|which|including|should|preferably|ideally|especially|particularly|demonstrated|proven|significant|substantial|excellent|great|advanced|profound|experienced|familiar|comfortable|proficient|expert|understanding|background|exposure|required|preferred|production|proficiency|fundamentals)\\b') AND NOT regexp_matches(w, '^[a-z]+ing ') AND length(w) <= 32),
+alias AS (SELECT split_part(w, ' ', 1) AS a, min(w) AS w FROM kept GROUP BY 1),
+pieces AS (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9+#]+|[^a-z0-9+#]', 0, 's') AS p FROM documents)),
+near AS (SELECT *, lag(p) OVER d AS before, lead(p) OVER d AS blank, lead(p, 2) OVER d AS after FROM pieces WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+found AS (SELECT n.*, k.w IS NOT NULL AS pair FROM near n LEFT JOIN kept k ON n.blank = ' ' AND k.w = n.p || ' ' || n.after WHERE coalesce(before, ' ') <> '.'),
+chains AS (SELECT *, i - 2 * row_number() OVER (PARTITION BY doc_id, i % 2 ORDER BY i) AS chain FROM found WHERE pair),
+taken AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i % 2, chain ORDER BY i) % 2 = 1 AS own FROM chains),
+hits AS (SELECT doc_id, p || ' ' || after AS name FROM taken WHERE own UNION SELECT f.doc_id, a.w FROM found f JOIN alias a ON a.a = f.p LEFT JOIN taken t ON t.doc_id = f.doc_id AND t.i = f.i - 2 WHERE NOT f.pair AND NOT coalesce(t.own, false)) """
 _PROFILE = "prof AS (SELECT s_suppkey, s_nationkey, s_acctbal, (SELECT list(DISTINCT p_name ORDER BY p_name) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey = s_suppkey) AS skills, (SELECT list(DISTINCT lower(p_type) ORDER BY lower(p_type)) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey = s_suppkey) AS types FROM supplier)"
 #: The rules of passages over ordered rows: lines to blocks, blocks to parts by sentences, parts to passages, short passages to their neighbours.
 _TOKENS = lambda x: f"CAST(floor(len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')) * 1.35::DOUBLE) AS INTEGER)"
@@ -165,8 +175,8 @@ done AS (SELECT doc_id, j, string_agg(x, chr(10) || chr(10) ORDER BY g) AS x FRO
 SELECT doc_id AS job_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS INTEGER) AS chunk_index, {_TOKENS("x")} AS tokens, sha256(x) AS text_sha256 FROM done"""
 ORACLE_SQL = {
     "passages": _PASSAGES,
-    "extracted_skills": _HITS + "SELECT doc_id AS job_id, w AS name, 'required' AS requirement FROM hits JOIN kept USING (w)",
-    "unmatched_jobs": _HITS + "SELECT doc_id AS job_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits JOIN kept USING (w))",
+    "extracted_skills": _HITS + "SELECT doc_id AS job_id, name, 'required' AS requirement FROM hits",
+    "unmatched_jobs": _HITS + "SELECT doc_id AS job_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits)",
     "vocabulary_index": "SELECT surface, skill_id, name FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY alias, skill_id) AS n FROM (SELECT lower(p_name) AS surface, p_partkey AS skill_id, p_name AS name, false AS alias FROM part WHERE p_size > 5 UNION ALL SELECT lower(p_brand), p_partkey, p_name, true FROM part WHERE p_size > 5)) WHERE n = 1",
     "canonical_skills": "SELECT p_partkey, CAST(id AS VARCHAR) AS skill_id, 0 AS pos FROM part JOIN (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1) USING (p_name)",
     "seeded_vocabulary": "SELECT p_name AS name, CAST(count(DISTINCT p_brand) AS INTEGER) AS n_aliases, CASE WHEN min(p_size) > 2 THEN 'added' WHEN count(DISTINCT p_brand) > 1 THEN 'updated' ELSE 'kept' END AS change FROM part GROUP BY 1",
