@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +10,7 @@ from matchspark.operators import embed, explain, extract, rank, report, resumes,
 from matchspark.plans import mapping as m
 from matchspark.plans.mapping import table
 from matchspark.sources import boards, files
-
-
-def _folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/files-{uuid.uuid4().hex}"
+from matchspark.tables import new_folder
 
 
 def sectioned_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -82,14 +76,14 @@ def landed_sources(spark: SparkSession, d: str) -> DataFrame:
 
 def vocabulary_file(spark: SparkSession, d: str) -> DataFrame:
     """Parts written as a vocabulary file and read back; blank names go."""
-    p, out = table(spark, d, "part"), _folder(spark)
+    p, out = table(spark, d, "part"), new_folder(spark, "files")
     key = F.col("p_partkey")
     p.select(key.cast("string").alias("skill_id"), F.when(key % 9 == 0, " ").otherwise(F.concat(F.lit(" "), "p_name")).alias("name"), F.concat_ws("|", "p_brand", F.lit(" "), "p_type").alias("aliases"), F.when(key % 4 != 0, F.lit("false")).alias("active")).write.csv(out, header=True)
     return files.read_vocabulary(spark, out).select("skill_id", "name", F.array_join("aliases", ";").alias("aliases"), "active")
 
 
 def blocklist_file(spark: SparkSession, d: str) -> DataFrame:
-    p, out = table(spark, d, "part"), _folder(spark)
+    p, out = table(spark, d, "part"), new_folder(spark, "files")
     key = F.col("p_partkey")
     p.select(F.when(key % 9 == 0, " ").otherwise(F.concat(F.lit('a "'), "p_name", F.lit('",\n'), key.cast("string"))).alias("term"), F.col("p_type").alias("category"), F.concat(F.lit(" why "), "p_brand").alias("reason")).write.csv(out, header=True, escape='"')
     return files.read_blocklist(spark, out)
