@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.operators import explain, rank, report, score
+from matchspark.operators import explain, rank, report, rescore, score
 from matchspark.plans import mapping as m
 from matchspark.plans.records import EXPLANATION, PHRASE
 
@@ -90,9 +90,24 @@ def job_detail(spark: SparkSession, d: str) -> DataFrame:
     return out.select("job_id", F.coalesce(F.size("skills"), F.lit(0)).alias("n_skills"), F.array_join(F.transform("skills", lambda s: s["name"]), "; ").alias("skills"), F.array_join(F.transform("chunks", lambda c: c["text"]), "; ").alias("chunks"))
 
 
+def rescored_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The matches of an earlier state brought up to date: a tenth of the jobs is new, of others skills or passages were fewer, some profiles held nothing."""
+    now = m.resumes(spark, d), m.jobs(spark, d), m.job_skills(spark, d), m.skills(spark, d), m.resume_skills(spark, d), m.chunks(spark, d), m.resume_vectors(spark, d)
+    resumes, jobs, asked, skills, held, chunks, vectors = now
+    jobs_then = jobs.where("job_id % 10 <> 0")
+    asked_then = asked.where("job_id % 10 <> 0 and (job_id % 10 <> 1 or skill_id % 2 = 0)")
+    chunks_then = chunks.where("job_id % 10 <> 2 or chunk_index < 2")
+    held_then = held.where("resume_id % 7 <> 0")
+    matches = score.score_all(resumes, jobs_then, asked_then, skills, held_then, chunks_then, vectors, m.CONFIG, names=False)
+    job_changes = rescore.changes(rescore.job_digests(jobs_then, asked_then, skills, chunks_then, m.CONFIG), rescore.job_digests(jobs, asked, skills, chunks, m.CONFIG), "job_id")
+    resume_changes = rescore.changes(rescore.resume_digests(resumes, held_then, vectors), rescore.resume_digests(resumes, held, vectors), "resume_id")
+    out = rescore.rescore(matches, job_changes, resume_changes, *now, m.CONFIG)
+    return out.select("resume_id", "job_id", F.floor(F.col("overall_score") * 1000 + 1e-6).alias("thousandths"), "tier", "parsed_count", "rescored")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (flagship_rank, job_totals, recall_by_profile, passage_similarity, experience_mix, tier_distribution, evidence_distribution, score_bands, match_cards, second_page, requirements_split, skill_suggestions, explanations, score_breakdown, job_detail)
+    for f in (flagship_rank, job_totals, recall_by_profile, passage_similarity, experience_mix, tier_distribution, evidence_distribution, score_bands, match_cards, second_page, requirements_split, skill_suggestions, explanations, score_breakdown, job_detail, rescored_matches)
 }
 
 _W = f"WITH {m.SQL}"
@@ -119,6 +134,8 @@ ORACLE_SQL = {
         p AS (SELECT *, {PHRASE('have', 5)} AS h, {PHRASE('lack', 5)} AS l FROM x) SELECT resume_id, job_id, {EXPLANATION} AS explanation FROM p""",
     "score_breakdown": _W + _RANKED + """ SELECT resume_id, job_id, CAST(round(overall_score * 100) AS INTEGER) AS overall_score_pct, CAST(round(round(recall * confidence, 4) * 100) AS INTEGER) AS skill_score_pct,
         CAST(round(round(semantic, 4) * 100) AS INTEGER) AS semantic_score_pct, CAST(round(round(recall, 4) * 100) AS INTEGER) AS skill_recall_pct, CASE WHEN NOT skills_unparsed THEN CAST(round(round(confidence, 4) * 100) AS INTEGER) END AS skill_confidence_pct FROM ranked WHERE rank <= 20""",
+    "rescored_matches": _W + """, jc AS (SELECT job_id FROM jobs WHERE job_id % 10 = 0 UNION SELECT job_id FROM asked WHERE job_id % 10 = 1 AND skill_id % 2 = 1 UNION SELECT job_id FROM chunks WHERE job_id % 10 = 2 AND chunk_index >= 2), rc AS (SELECT resume_id FROM resume_skills WHERE resume_id % 7 = 0)
+        SELECT resume_id, job_id, CAST(floor(overall_score * 1000 + 0.000001::DOUBLE) AS BIGINT) AS thousandths, tier, parsed_count, job_id IN (SELECT job_id FROM jc) OR resume_id IN (SELECT resume_id FROM rc) AS rescored FROM scored""",
     "job_detail": _W + """, s AS (SELECT job_id, count(*) AS n, string_agg(name, '; ' ORDER BY name) AS skills FROM asked GROUP BY 1), c AS (SELECT job_id, string_agg('passage ' || chunk_index, '; ' ORDER BY chunk_index) AS chunks FROM chunks GROUP BY 1)
         SELECT j.job_id, CAST(coalesce(n, 0) AS INTEGER) AS n_skills, skills, chunks FROM jobs j LEFT JOIN s USING (job_id) LEFT JOIN c USING (job_id)""",
 }
