@@ -209,11 +209,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     classes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     edges = links(classes, radius, parts)
     linked = components(edges)
-    least = linked.hint("merge").join(classes, F.col("id") == F.col("fp")).groupBy("root").agg(F.min("rep").alias("least"))
+    least = keep(linked.hint("merge").join(classes, F.col("id") == F.col("fp")).groupBy("root").agg(F.min("rep").alias("least")), "least")
     named = linked.hint("merge").join(least, "root").select(F.col("id").alias("fp"), "least")
     known = keep(classes.hint("merge").join(named, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "rep").alias("component_id")), "named")
     out = marked.hint("merge").join(known, F.col("fp") == F.col("_fp"))
-    drop_kept(classes, edges, linked)
+    drop_kept(classes, edges, linked, least)
     return out.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
