@@ -2,9 +2,9 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word windows
 inside each row. The method's verdict is a hashed n-gram log-likelihood ratio:
-word unigrams and bigrams are hashed to buckets, of which there are the more the
-longer the corpus is (``bucket_count``); a trusted-target multinomial (texts
-labelled as good, a sample bounded by ``MOST_TRUSTED``) and a raw-corpus
+word unigrams and bigrams are hashed to ``BUCKETS`` buckets, as many whatever
+the corpus; a trusted-target multinomial (texts labelled as good, a sample
+bounded by ``MOST_TRUSTED``) and a raw-corpus
 multinomial (all texts) give each bucket the logarithm of how much more often
 trusted texts hold it than raw ones would, one count added to either; a
 document's score is the mean over its n-grams, and it is kept where the score
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from matchspark.llm._tables import table
 
-#: Least and most buckets (as powers of two; the ratios stand in the plan), and characters of the corpus for one.
-BUCKETS, CHARS_A_BUCKET = (13, 18), 1 << 14
+#: Buckets of n-grams; their ratios stand in the plan as one literal of about 0.6 MB, parsed once a task.
+BUCKETS = 1 << 16
 MOST_TRUSTED = 10_000
 SMOOTH = 1.0
 THRESHOLD = -0.04
@@ -108,15 +108,8 @@ def gram_buckets(words: Column, buckets: int) -> Column:
     return F.flatten(F.transform(words, lambda w, i: F.array(F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64(w, F.coalesce(F.get(words, i + 1), F.lit(""))), F.lit(buckets)).cast("int"))))
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """A power of two that grows with the characters of all texts."""
-    chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 1
-    return 1 << min(max(math.ceil(math.log2(chars / CHARS_A_BUCKET)), BUCKETS[0]), BUCKETS[1])
-
-
-def train(docs: DataFrame, trusted_ids: DataFrame, buckets: int | None = None) -> list[float]:
+def train(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """The log-likelihood ratio of each bucket: log((trusted + 1) / (expected + 1))."""
-    buckets = buckets or bucket_count(docs)
     n = trusted_ids.count()
     part = 1_000_000 if n <= MOST_TRUSTED else MOST_TRUSTED * 1_000_000 // n
     # about MOST_TRUSTED ids at most, so sending them to every task is bounded by that parameter
