@@ -1,10 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of a bounded sample of labelled rows (at most
-``per_lang`` for each of the ``MOST_LANGS`` most frequent languages, chosen by a hash of the id) inside Arrow
-batches and sums them in Spark; the log-probability matrix (``buckets`` x
-languages) is broadcast and whole texts are scored in numpy, by gathering the
-matrix rows of a text's n-grams and summing them.
+``per_lang`` of each language, chosen by a hash of the id) inside Arrow batches
+and sums them in Spark; the log-probability matrix (``buckets`` x languages) is
+broadcast and whole texts are scored in numpy, by gathering the matrix rows of a
+text's n-grams and summing them. Every language is learned: those beyond
+``LANGS_A_PASS`` are counted and scored in further passes, each of which keeps a
+text's best language so far and the sum of all odds, so that a task holds one
+pass's columns of the matrix; the driver holds 64 kB a language.
 
 Defined results. A text that is null or has no letter: ``und``, score 0. Where
 nothing can be learned (no labelled rows) every text is ``und``. Ties go to the
@@ -28,8 +31,8 @@ from matchspark.llm._tables import table
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 PER_LANG = 3000
-#: Languages that are learned, the most frequent; bounds the matrix that every task holds.
-MOST_LANGS = 500
+#: Languages that one pass counts or scores; bounds the matrix that every task holds.
+LANGS_A_PASS = 500
 UNKNOWN = "und"
 #: Characters that one numpy pass takes, unless a single text is longer.
 BLOCK_CHARS = 1 << 19
@@ -77,16 +80,28 @@ def _in_blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def train(labelled: DataFrame, buckets: int = BUCKETS, per_lang: int = PER_LANG) -> dict:
     """Languages, log priors and the log-probability matrix, from doc_id, text and non-null lang."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {"langs": [], "prior": np.zeros(0), "matrix": np.zeros((buckets, 0), np.float32)}
     langs = sorted(sizes)
-    parts = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1_000_000, per_lang * 1_000_000 // sizes[lang] + 1))))
-    sample = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000)) < F.coalesce(F.try_element_at(parts, F.col("lang")), F.lit(0)))
-    place = {lang: k for k, lang in enumerate(langs)}
+    counts = np.zeros((buckets, len(langs)), np.float32)
+    for at in range(0, len(langs), LANGS_A_PASS):
+        own = langs[at : at + LANGS_A_PASS]
+        for r in _counted(rows, {x: sizes[x] for x in own}, buckets, per_lang).collect():
+            counts[r["bucket"], at + r["lang"]] = r["n"]
+    smooth = counts + np.float32(0.5)
+    n = np.array([sizes[x] for x in langs], float)
+    return {"langs": langs, "prior": np.log(n / n.sum()), "matrix": np.log(smooth / smooth.sum(axis=0, dtype=np.float64)).astype(np.float32)}
+
+
+def _counted(rows: DataFrame, sizes: dict[str, int], buckets: int, per_lang: int) -> DataFrame:
+    """lang (its place), bucket, n: n-grams of the sample of some languages."""
+    place = {lang: k for k, lang in enumerate(sizes)}
+    parts = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, per_lang * 1_000_000 // n + 1))))
+    chosen = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000)) < F.coalesce(F.try_element_at(parts, F.col("lang")), F.lit(0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), buckets), np.int64)
+        total = np.zeros((len(place), buckets), np.int64)
         for batch in batches:
             own = np.array([place[x] for x in batch.column(1).to_pylist()])
             for at, texts in _in_blocks(batch.column(0).to_pylist()):
@@ -96,12 +111,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, per_lang: int = PER_LANG)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
 
-    counts = np.zeros((buckets, len(langs)))
-    for r in sample.select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r["bucket"], r["lang"]] = r["n"]
-    smooth = counts + 0.5
-    n = np.array([sizes[x] for x in langs], float)
-    return {"langs": langs, "prior": np.log(n / n.sum()), "matrix": np.log(smooth / smooth.sum(axis=0)).astype(np.float32)}
+    return rows.where(chosen).select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def _sums(low: list[str], columns: list[np.ndarray], buckets: int) -> np.ndarray:
@@ -127,12 +137,24 @@ def _long_sums(text: str, columns: list[np.ndarray], buckets: int) -> np.ndarray
 
 def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with lang_pred and score, the posterior probability of lang_pred."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    buckets = len(model["matrix"])
+    names = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.lit("").alias("best"), F.lit(float("-inf")).alias("log"), F.lit(0.0).alias("odds"), "text")
+    for at in range(0, max(1, len(model["langs"])), LANGS_A_PASS):
+        some = slice(at, at + LANGS_A_PASS)
+        rows = _pass(rows, model["langs"][some], model["prior"][some], model["matrix"][:, some], at + LANGS_A_PASS >= len(model["langs"]))
+    sure = F.col("best") != ""
+    return rows.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("lang_pred"), F.when(sure, 1 / F.col("odds")).otherwise(0.0).alias("score"))
+
+
+def _pass(rows: DataFrame, langs: list[str], prior: np.ndarray, matrix: np.ndarray, last: bool) -> DataFrame:
+    """rows (…, best, log, odds, text) after some more languages: the best one (of equals the first), its log-probability, the sum of all odds against it. The last pass drops the text."""
+    sent = rows.sparkSession.sparkContext.broadcast((langs, prior, matrix))
+    buckets, own_columns = len(matrix), rows.columns[:-4]
+    names = [*own_columns, "best", "log", "odds", *([] if last else ["text"])]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prior = sent.value["langs"], sent.value["prior"]
-        columns = [np.ascontiguousarray(sent.value["matrix"][:, k]) for k in range(len(langs))]
+        langs, prior, matrix = sent.value
+        columns = [np.ascontiguousarray(matrix[:, k]) for k in range(len(langs))]
         for batch in batches:
             size = pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 1)), 0).to_numpy().cumsum()
             at = 0
@@ -141,22 +163,18 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
                 part = batch.slice(at, to - at)
                 at = to
                 own = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                best, log, odds = part.column(len(own_columns)).to_pylist(), part.column(len(own_columns) + 1).to_numpy(), part.column(len(own_columns) + 2).to_numpy()
                 if langs:
                     total = prior + (_sums([folded(t) for t in own], columns, buckets) if len(own) > 1 or len(own[0]) <= BLOCK_CHARS else _long_sums(own[0], columns, buckets))
-                    odds = np.exp(total - total.max(axis=1, keepdims=True))
-                    best = total.argmax(axis=1)
-                    p = odds[np.arange(len(own)), best] / odds.sum(axis=1)
-                    known = [_LETTER.search(t) is not None for t in own]
-                    pred = [langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known)]
-                    probability = [x if ok else 0.0 for x, ok in zip(p.tolist(), known)]
-                else:
-                    pred, probability = [UNKNOWN] * len(own), [0.0] * len(own)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in out), pa.array(pred, pa.string()), pa.array(probability, pa.float64())], [*keep, "lang_pred", "score"])
-
-    columns_in = [*(c for c in keep if c != "text"), "text"]  # the text crosses once, as the last column
-    out = [columns_in.index(c) for c in keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*columns_in).mapInArrow(score, f"{schema}, lang_pred string, score double")
+                    here = total.max(axis=1)
+                    top = np.maximum(log, here)
+                    odds = odds * np.exp(log - top) + np.exp(total - top[:, None]).sum(axis=1)
+                    best = [b if old >= new or _LETTER.search(t) is None else langs[k] for b, old, new, k, t in zip(best, log.tolist(), here.tolist(), total.argmax(axis=1).tolist(), own)]
+                    log = top
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(own_columns))), pa.array(best, pa.string()), pa.array(log), pa.array(odds), *([] if last else [part.column(part.num_columns - 1)])], names)
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(score, schema)
 
 
 def held_out(doc_id: Column) -> Column:
