@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchspark.tables import keep
+
 
 def rank_matches(matches: DataFrame) -> DataFrame:
-    """matches with rank and total within (résumé, ranked or unparsed): the two are never mixed. Ties go to the smaller job."""
+    """matches with rank and total within (résumé, ranked or unparsed): the two are never mixed. Ties go to the smaller job.
+
+    Rows are dealt by range of (bucket, score, job); a range's rows are numbered
+    by themselves and begin where the ranges of the bucket before it end, so that
+    a bucket of any size is ranked by as many tasks as it has ranges.
+    """
+    order = [F.desc("overall_score"), F.asc("job_id")]
+    ranged = keep(matches.repartitionByRange("resume_id", "skills_unparsed", *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("resume_id", "skills_unparsed", "_part").agg(F.count(F.lit(1)).alias("_here"))  # a row a bucket and range
     bucket = Window.partitionBy("resume_id", "skills_unparsed")
-    return matches.withColumn("rank", F.row_number().over(bucket.orderBy(F.desc("overall_score"), "job_id"))).withColumn("total", F.count(F.lit(1)).over(bucket))
+    before = F.coalesce(F.sum("_here").over(bucket.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("resume_id", "skills_unparsed", "_part", before.alias("_before"), F.sum("_here").over(bucket).alias("total"))
+    own = F.row_number().over(Window.partitionBy("resume_id", "skills_unparsed", "_part").orderBy(*order))
+    placed = ranged.withColumn("_own", own).join(sizes.hint("merge"), ["resume_id", "skills_unparsed", "_part"])
+    return placed.select(*matches.columns, (F.col("_before") + F.col("_own")).alias("rank"), "total")
 
 
 def top_ranked(matches: DataFrame, most: int) -> DataFrame:
@@ -63,6 +77,19 @@ def skill_suggestions(matches: DataFrame, held: DataFrame) -> DataFrame:
     return wanted.hint("merge").join(held.select("resume_id", "name").distinct(), ["resume_id", "name"], "left_anti")
 
 
+def suggestions_for_all(resumes: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
+    """skill_suggestions where every pair is scored, without the pairs.
+
+    Every posting with skills is then among a résumé's ranked matches, so a
+    skill's demand is the number of postings that ask for it, the same for all;
+    what a résumé holds (resume_id, name) goes. The result is a row a résumé and
+    skill by definition.
+    """
+    demand = keep(asked.groupBy("name").agg(F.count_distinct("job_id").alias("demand")), "demand")
+    wanted = resumes.select("resume_id").distinct().hint("shuffle_replicate_nl").crossJoin(demand)
+    return wanted.hint("merge").join(held.select("resume_id", "name").distinct(), ["resume_id", "name"], "left_anti")
+
+
 def requirements_split(asked: DataFrame) -> DataFrame:
     """job_id with the names it requires and all others."""
     must = F.coalesce(F.col("requirement") == "required", F.lit(False))

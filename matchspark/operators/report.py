@@ -5,20 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
+from matchspark.tables import keep
 
+POINTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
-#: Values up to which percentiles are exact: one task holds the distinct ones.
-MOST_EXACT = 1_000_000
 
+def exact_percentiles(values: DataFrame, col: str, points: tuple = POINTS) -> DataFrame:
+    """n and p, the array of interpolated percentiles, of the values that are not null; exact whatever their number.
 
-def cosine_distribution(values: DataFrame, col: str, label: str, exact: bool | None = None) -> DataFrame:
-    """One row: label, n, min, mean, max and five percentiles. Percentiles interpolate up to MOST_EXACT values and come from a sketch beyond, unless ``exact`` says which."""
-    if exact is None:
-        exact = values.count() <= MOST_EXACT
-    points = F.percentile(col, F.array(*(F.lit(p) for p in POINTS))) if exact else F.percentile_approx(F.col(col).cast("double"), list(POINTS), 10_000)
-    agg = values.agg(F.count(col).alias("n"), F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max"), points.alias("p"))
-    return agg.select(F.lit(label).alias("label"), "n", "min", "mean", "max", *(F.get("p", F.lit(i)).alias(f"p{round(100 * p):02d}") for i, p in enumerate(POINTS)))
+    Equal values are counted first, so that a frequent one is a row. Distinct
+    values are dealt by range; the places before a range come from the sums of
+    the ranges, those within it from a window of its own, and only the values at
+    the wanted places go on.
+    """
+    counted = values.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("k"))
+    ranged = keep(counted.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("part").agg(F.sum("k").alias("here"))  # a row a partition
+    before = F.coalesce(F.sum("here").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("part", before.alias("before"), F.sum("here").over(Window.partitionBy(F.lit(0))).alias("n"))
+    own = F.sum("k").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("own", own).join(F.broadcast(sums), "part").select("x", "n", (F.col("before") + F.col("own") - F.col("k")).alias("low"), (F.col("before") + F.col("own")).alias("high"))
+    places = F.array(*(F.lit(float(p)) for p in points))
+    at = F.transform(places, lambda p: p * (F.col("n") - 1))
+    held = placed.withColumn("at", at).where(F.exists("at", lambda a: (F.col("low") <= F.ceil(a)) & (F.floor(a) < F.col("high"))))
+
+    def value(i: int) -> Column:
+        a = F.get("at", F.lit(i))
+        holds = lambda place: F.max(F.when((F.col("low") <= place) & (place < F.col("high")), F.col("x")))
+        low, high, share = holds(F.floor(a)), holds(F.ceil(a)), F.max(a - F.floor(a))
+        return low + (high - low) * share
+
+    return held.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.array(*(value(i) for i in range(len(points)))).alias("p"))
+
+
+def cosine_distribution(values: DataFrame, col: str, label: str) -> DataFrame:
+    """One row: label, n, min, mean, max and five exact, interpolated percentiles."""
+    values = keep(values.select(col), "values")
+    agg = values.agg(F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max"))
+    both = exact_percentiles(values, col).crossJoin(F.broadcast(agg))  # one row each
+    return both.select(F.lit(label).alias("label"), "n", "min", "mean", "max", *(F.get("p", F.lit(i)).alias(f"p{round(100 * p):02d}") for i, p in enumerate(POINTS)))
 
 
 def suggest_band(distribution: DataFrame) -> DataFrame:

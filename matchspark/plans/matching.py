@@ -76,6 +76,18 @@ def skill_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return rank.skill_suggestions(_top(spark, d), held)
 
 
+def all_skill_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Demand for what a profile lacks among all its ranked postings."""
+    held = m.resume_skills(spark, d).join(m.skills(spark, d), "skill_id").select("resume_id", "name")
+    return rank.suggestions_for_all(m.resumes(spark, d), _asked(spark, d), held)
+
+
+def ranked_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every match with its rank and its bucket's total."""
+    tied = _scored(spark, d).withColumn("overall_score", F.floor(F.col("overall_score") * 1000 + 1e-6))
+    return rank.rank_matches(tied).select("resume_id", "job_id", "skills_unparsed", "rank", "total")
+
+
 def explanations(spark: SparkSession, d: str) -> DataFrame:
     return explain.with_explanations(_top(spark, d)).select("resume_id", "job_id", "explanation")
 
@@ -107,7 +119,7 @@ def rescored_matches(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (flagship_rank, job_totals, recall_by_profile, passage_similarity, experience_mix, tier_distribution, evidence_distribution, score_bands, match_cards, second_page, requirements_split, skill_suggestions, explanations, score_breakdown, job_detail, rescored_matches)
+    for f in (flagship_rank, job_totals, recall_by_profile, passage_similarity, experience_mix, tier_distribution, evidence_distribution, score_bands, match_cards, second_page, requirements_split, skill_suggestions, explanations, score_breakdown, job_detail, rescored_matches, all_skill_suggestions, ranked_matches)
 }
 
 _W = f"WITH {m.SQL}"
@@ -134,6 +146,9 @@ ORACLE_SQL = {
         p AS (SELECT *, {PHRASE('have', 5)} AS h, {PHRASE('lack', 5)} AS l FROM x) SELECT resume_id, job_id, {EXPLANATION} AS explanation FROM p""",
     "score_breakdown": _W + _RANKED + """ SELECT resume_id, job_id, CAST(round(overall_score * 100) AS INTEGER) AS overall_score_pct, CAST(round(round(recall * confidence, 4) * 100) AS INTEGER) AS skill_score_pct,
         CAST(round(round(semantic, 4) * 100) AS INTEGER) AS semantic_score_pct, CAST(round(round(recall, 4) * 100) AS INTEGER) AS skill_recall_pct, CASE WHEN NOT skills_unparsed THEN CAST(round(round(confidence, 4) * 100) AS INTEGER) END AS skill_confidence_pct FROM ranked WHERE rank <= 20""",
+    "all_skill_suggestions": _W + " SELECT r.resume_id, d.name, d.demand FROM resumes r CROSS JOIN (SELECT name, count(DISTINCT job_id) AS demand FROM asked GROUP BY 1) d WHERE NOT EXISTS (SELECT 1 FROM resume_skills rs JOIN skills s USING (skill_id) WHERE rs.resume_id = r.resume_id AND s.name = d.name)",
+    "ranked_matches": _W + """, t AS (SELECT *, floor(overall_score * 1000 + 0.000001::DOUBLE) AS s FROM scored)
+        SELECT resume_id, job_id, skills_unparsed, row_number() OVER (PARTITION BY resume_id, skills_unparsed ORDER BY s DESC, job_id) AS rank, count(*) OVER (PARTITION BY resume_id, skills_unparsed) AS total FROM t""",
     "rescored_matches": _W + """, jc AS (SELECT job_id FROM jobs WHERE job_id % 10 = 0 UNION SELECT job_id FROM asked WHERE job_id % 10 = 1 AND skill_id % 2 = 1 UNION SELECT job_id FROM chunks WHERE job_id % 10 = 2 AND chunk_index >= 2), rc AS (SELECT resume_id FROM resume_skills WHERE resume_id % 7 = 0)
         SELECT resume_id, job_id, CAST(floor(overall_score * 1000 + 0.000001::DOUBLE) AS BIGINT) AS thousandths, tier, parsed_count, job_id IN (SELECT job_id FROM jc) OR resume_id IN (SELECT resume_id FROM rc) AS rescored FROM scored""",
     "job_detail": _W + """, s AS (SELECT job_id, count(*) AS n, string_agg(name, '; ' ORDER BY name) AS skills FROM asked GROUP BY 1), c AS (SELECT job_id, string_agg('passage ' || chunk_index, '; ' ORDER BY chunk_index) AS chunks FROM chunks GROUP BY 1)

@@ -27,6 +27,8 @@ def normalize_search_api(raw: DataFrame, country: str, payload: str = "payload",
     """One search result a row, as JSON text in column ``payload``."""
     r = raw.select(F.from_json(payload, SEARCH_RECORD).alias("r")).select("r.*")
     r = r.withColumn("_plain", X.strip_html_flat_all(F.col("title"), F.col("location.display_name"), F.col("description"), F.col("company.display_name")))
+    # an explode of one element: what asks for a title later cannot be moved below the decoding and repeat it
+    r = r.withColumn("_plain", F.explode(F.array("_plain")))
     flat = lambda i: F.get("_plain", F.lit(i))
     r = r.select("*", flat(0).alias("t"), flat(1).alias("l"), flat(2).alias("d"), flat(3).alias("c"), X.to_decimal(F.col("salary_min")).alias("lo"), X.to_decimal(F.col("salary_max")).alias("hi"))
     r = r.withColumn("x", X.min_experience(F.col("d")))
