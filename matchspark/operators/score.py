@@ -9,11 +9,16 @@ count, and only the mean of each pair's best goes on.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchspark.tables import keep
+
 SCORER_VERSION = "matchspark-1"
 # Requirement labels folded to two levels.
 REQUIREMENT_LEVELS = {
@@ -23,6 +28,8 @@ REQUIREMENT_LEVELS = {
 }
 #: Most profile vectors that are sent to every task at once (768 floats each: 60 MB).
 MOST_BROADCAST = 20_000
+#: Cosines that one matrix product makes at most.
+BLOCK_CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -153,6 +160,65 @@ def passage_similarity(resume_vectors: DataFrame, chunks: DataFrame, c: Config =
     return out
 
 
+def passage_similarity_blocks(resume_vectors: DataFrame, chunks: DataFrame, c: Config = Config()) -> DataFrame:
+    """passage_similarity by matrix products over Arrow blocks: worth its crossing to Python where profiles are many.
+
+    A pass sends at most MOST_BROADCAST profile vectors, of unit length, to every
+    task as one matrix. A task takes postings as they come, multiplies slices of
+    their passages by it, of which a slice's product holds BLOCK_CELLS numbers,
+    and keeps each posting's best ``top_k`` cosines so far for every vector.
+    Vectors of another width than the first profile's are an error.
+    """
+    given = lambda df, key: df.select(key, F.transform("vec", lambda x: x.cast("double")).alias("vec")).where("vec is not null and exists(vec, x -> x <> 0)")
+    passages = given(chunks, "job_id").groupBy("job_id").agg(F.collect_list("vec").alias("p"))
+    own = keep(given(resume_vectors, "resume_id"), "profiles")
+    kinds = {"job_id": chunks.schema["job_id"].dataType.simpleString(), "resume_id": resume_vectors.schema["resume_id"].dataType.simpleString()}
+    parts = max(1, -(-own.count() // MOST_BROADCAST))
+    out = None
+    for k in range(parts):
+        held = own.where(F.pmod(F.xxhash64("resume_id"), F.lit(parts)) == k).orderBy("resume_id").collect()  # at most about MOST_BROADCAST rows
+        if not held and k:
+            continue
+        made = passages.mapInArrow(_products(own.sparkSession, held, c.top_k), f"resume_id {kinds['resume_id']}, job_id {kinds['job_id']}, mean_cos double")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _products(spark: SparkSession, held: list, top: int):
+    """The function of a task of passage_similarity_blocks, for some profile vectors in order of their profile."""
+    matrix = np.array([r["vec"] for r in held], np.float64)
+    ids = list(dict.fromkeys(r["resume_id"] for r in held))
+    first = np.flatnonzero([i == 0 or held[i]["resume_id"] != held[i - 1]["resume_id"] for i in range(len(held))])
+    sent = spark.sparkContext.broadcast((matrix.T / np.linalg.norm(matrix, axis=1) if held else matrix, ids, first))
+
+    def best_of(own: np.ndarray) -> np.ndarray:
+        return own if len(own) <= top else np.partition(own, len(own) - top, axis=0)[len(own) - top :]
+
+    def means(best: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Mean of the best of each profile's columns."""
+        if len(first) == best.shape[1]:
+            return best.mean(axis=0)
+        return np.array([best_of(part.reshape(-1, 1)).mean() for part in np.split(best, first[1:], axis=1)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        across, ids, first = sent.value
+        for batch in batches if ids else ():
+            lists = batch.column(1)
+            for row in range(batch.num_rows):
+                vectors = lists[row].values
+                x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+                if x.shape[1] != across.shape[0]:
+                    raise ValueError("vectors of unequal width")
+                step, best = max(1, BLOCK_CELLS // across.shape[1]), None
+                for at in range(0, len(x), step):
+                    part = x[at : at + step]
+                    cosines = (part / np.linalg.norm(part, axis=1, keepdims=True)) @ across
+                    best = best_of(cosines if best is None else np.concatenate([best, cosines]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([batch.column(0)[row].as_py()] * len(ids), batch.column(0).type), pa.array(means(best, first))], ["resume_id", "job_id", "mean_cos"])
+
+    return run
+
+
 def score_all(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, resume_skills: DataFrame, chunks: DataFrame, resume_vectors: DataFrame, c: Config = Config(), names: bool = True) -> DataFrame:
     """Every pair of resumes (resume_id, candidate_years) and jobs (job_id, required_years), scored.
 

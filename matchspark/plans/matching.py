@@ -41,6 +41,11 @@ def passage_similarity(spark: SparkSession, d: str) -> DataFrame:
     return score.passage_similarity(m.resume_vectors(spark, d), m.chunks(spark, d), m.CONFIG).select("resume_id", "job_id", F.round("mean_cos", 6).alias("mean_cos"))
 
 
+def passage_products(spark: SparkSession, d: str) -> DataFrame:
+    """The same by matrix products."""
+    return score.passage_similarity_blocks(m.resume_vectors(spark, d), m.chunks(spark, d), m.CONFIG).select("resume_id", "job_id", F.round("mean_cos", 6).alias("mean_cos"))
+
+
 def experience_mix(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("resume_id", "experience_multiplier").agg(F.count(F.lit(1)).alias("n"))
 
@@ -119,7 +124,7 @@ def rescored_matches(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (flagship_rank, job_totals, recall_by_profile, passage_similarity, experience_mix, tier_distribution, evidence_distribution, score_bands, match_cards, second_page, requirements_split, skill_suggestions, explanations, score_breakdown, job_detail, rescored_matches, all_skill_suggestions, ranked_matches)
+    for f in (flagship_rank, job_totals, recall_by_profile, passage_similarity, passage_products, experience_mix, tier_distribution, evidence_distribution, score_bands, match_cards, second_page, requirements_split, skill_suggestions, explanations, score_breakdown, job_detail, rescored_matches, all_skill_suggestions, ranked_matches)
 }
 
 _W = f"WITH {m.SQL}"
@@ -131,6 +136,7 @@ ORACLE_SQL = {
     "job_totals": _W + " SELECT job_id, round(sum(w), 6) AS possible, count(*) AS parsed_count, string_agg(name, '; ' ORDER BY name) AS names FROM asked GROUP BY 1",
     "recall_by_profile": _W + " SELECT resume_id, count(*) AS n, count(*) FILTER (skills_unparsed) AS n_unparsed, round(avg(round(recall, 4)), 3) AS mean_recall, round(avg(CASE WHEN NOT skills_unparsed THEN round(confidence, 4) END), 3) AS mean_confidence, max(parsed_count) AS most_asked FROM scored GROUP BY 1",
     "passage_similarity": _W + " SELECT resume_id, job_id, round(mean_cos, 6) AS mean_cos FROM best",
+    "passage_products": _W + " SELECT resume_id, job_id, round(mean_cos, 6) AS mean_cos FROM best",
     "experience_mix": _W + " SELECT resume_id, mult AS experience_multiplier, count(*) AS n FROM scored GROUP BY 1, 2",
     "tier_distribution": _W + " SELECT tier, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM scored GROUP BY 1",
     "evidence_distribution": _W + " SELECT parsed_count, n, round(sum(n) OVER (ORDER BY parsed_count) / sum(n) OVER (), 6) AS cumulative_share FROM (SELECT parsed_count, count(*) AS n FROM scored WHERE NOT skills_unparsed GROUP BY 1)",

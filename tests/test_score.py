@@ -1,11 +1,13 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from matchspark.operators import rank, score
+from matchspark.operators import rank, report, score
 
 
 def one(spark, column):
@@ -79,6 +81,36 @@ def test_many_profiles_are_dealt_in_parts(spark, monkeypatch):
     assert sorted(score.passage_similarity(vectors, chunks).collect()) == whole
 
 
+@pytest.mark.parametrize("most,cells", [(20_000, 1 << 21), (3, 1 << 21), (3, 7)])
+def test_products_are_the_same(spark, monkeypatch, most, cells):
+    rnd = random.Random(5)
+    vec = lambda: [rnd.uniform(-1, 1) for _ in range(6)]
+    rows = [(i % 11, k, vec()) for k in range(9) for i in range(11) if rnd.random() < 0.7] + [(3, 20, [0.0] * 6), (4, 21, None)]
+    chunks = spark.createDataFrame(rows, "job_id long, chunk_index int, vec array<double>")
+    vectors = spark.createDataFrame([(str(i % 5), vec()) for i in range(8)] + [("z", [0.0] * 6)], "resume_id string, vec array<double>")
+    want = {(r.resume_id, r.job_id): r.mean_cos for r in score.passage_similarity(vectors, chunks).collect()}
+    monkeypatch.setattr(score, "MOST_BROADCAST", most)
+    monkeypatch.setattr(score, "BLOCK_CELLS", cells)
+    got = {(r.resume_id, r.job_id): r.mean_cos for r in score.passage_similarity_blocks(vectors, chunks).collect()}
+    assert got == pytest.approx(want) and len(got) == 55
+    assert score.passage_similarity_blocks(vectors.where("false"), chunks).count() == 0
+
+
+def test_ranks_by_ranges_and_exact_percentiles(spark):
+    rows = [(1, j, float(j % 7), j % 3 == 0) for j in range(500)] + [(2, 1, 0.5, False)]
+    ranked = rank.rank_matches(spark.createDataFrame(rows, "resume_id long, job_id long, overall_score double, skills_unparsed boolean").repartition(7))
+    for unparsed in (True, False):
+        own = sorted((x for x in rows if x[0] == 1 and x[3] == unparsed), key=lambda x: (-x[2], x[1]))
+        found = sorted((r.rank, r.job_id, r.total) for r in ranked.where(f"resume_id = 1 and skills_unparsed = {unparsed}").collect())
+        assert found == [(i + 1, x[1], len(own)) for i, x in enumerate(own)]
+    for values in ([3.0], [1.0, 2.0], [5.0] * 400 + [1.0, 9.0], [float(i * i % 101) for i in range(333)]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(5)
+        r = report.exact_percentiles(df, "v", (0.0, 0.05, 0.25, 0.5, 0.95, 1.0)).first()
+        assert r.n == len(values) and r.p == pytest.approx(list(np.quantile(values, [0.0, 0.05, 0.25, 0.5, 0.95, 1.0])))
+    none = report.exact_percentiles(spark.createDataFrame([], "v double"), "v").first()
+    assert none.n == 0 and set(none.p) == {None}
+
+
 def test_scores_need_no_python(spark):
     plan = score.score_all(*tables(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Broadcast" in plan
