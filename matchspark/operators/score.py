@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from matchspark.tables import keep
 
@@ -169,7 +170,7 @@ def passage_similarity_blocks(resume_vectors: DataFrame, chunks: DataFrame, c: C
     and keeps each posting's best ``top_k`` cosines so far for every vector.
     Vectors of another width than the first profile's are an error.
     """
-    given = lambda df, key: df.select(key, F.transform("vec", lambda x: x.cast("double")).alias("vec")).where("vec is not null and exists(vec, x -> x <> 0)")
+    given = lambda df, key: df.select(key, F.transform("vec", lambda x: x.cast("double")).alias("vec")).where("exists(vec, x -> x <> 0) and forall(vec, x -> x is not null)")
     passages = given(chunks, "job_id").groupBy("job_id").agg(F.collect_list("vec").alias("p"))
     own = keep(given(resume_vectors, "resume_id"), "profiles")
     kinds = {"job_id": chunks.schema["job_id"].dataType.simpleString(), "resume_id": resume_vectors.schema["resume_id"].dataType.simpleString()}
@@ -179,12 +180,12 @@ def passage_similarity_blocks(resume_vectors: DataFrame, chunks: DataFrame, c: C
         held = own.where(F.pmod(F.xxhash64("resume_id"), F.lit(parts)) == k).orderBy("resume_id").collect()  # at most about MOST_BROADCAST rows
         if not held and k:
             continue
-        made = passages.mapInArrow(_products(own.sparkSession, held, c.top_k), f"resume_id {kinds['resume_id']}, job_id {kinds['job_id']}, mean_cos double")
+        made = passages.mapInArrow(_products(own.sparkSession, held, to_arrow_type(own.schema["resume_id"].dataType), c.top_k), f"resume_id {kinds['resume_id']}, job_id {kinds['job_id']}, mean_cos double")
         out = made if out is None else out.unionByName(made)
     return out
 
 
-def _products(spark: SparkSession, held: list, top: int):
+def _products(spark: SparkSession, held: list, kind: pa.DataType, top: int):
     """The function of a task of passage_similarity_blocks, for some profile vectors in order of their profile."""
     matrix = np.array([r["vec"] for r in held], np.float64)
     ids = list(dict.fromkeys(r["resume_id"] for r in held))
@@ -214,7 +215,7 @@ def _products(spark: SparkSession, held: list, top: int):
                     part = x[at : at + step]
                     cosines = (part / np.linalg.norm(part, axis=1, keepdims=True)) @ across
                     best = best_of(cosines if best is None else np.concatenate([best, cosines]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([batch.column(0)[row].as_py()] * len(ids), batch.column(0).type), pa.array(means(best, first))], ["resume_id", "job_id", "mean_cos"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([batch.column(0)[row].as_py()] * len(ids), batch.column(0).type), pa.array(means(best, first))], ["resume_id", "job_id", "mean_cos"])
 
     return run
 
