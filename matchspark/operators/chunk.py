@@ -27,7 +27,9 @@ def _strip(x: Column) -> Column:
 
 
 def _n_words(x: Column) -> Column:
-    return F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    """Runs of other characters than white space: what a split gives, less an empty string at either end."""
+    blank = lambda c: F.when(c.rlike(r"\s"), 1).otherwise(0)
+    return F.when(x == "", 0).otherwise(F.size(F.split(x, r"\s+")) - blank(F.left(x, F.lit(1))) - blank(F.right(x, F.lit(1))))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -43,8 +45,8 @@ def is_heading(line: Column) -> Column:
     """A short line that ends with a colon, is in capitals, or begins like a section."""
 
     def of(s: Column) -> Column:
-        capitals = (s == F.upper(s)) & (s != F.lower(s)) & (F.length(s) > 2)
-        return (s != "") & (_n_words(s) <= 8) & ~s.rlike(BULLET) & (s.endswith(":") | capitals | s.rlike(SECTION))
+        capitals = ~s.rlike("[a-z]") & (s == F.upper(s)) & (s != F.lower(s)) & (F.length(s) > 2)
+        return (s != "") & (s.endswith(":") | capitals | s.rlike(SECTION)) & ~s.rlike(BULLET) & (_n_words(s) <= 8)
 
     return let(_strip(line), of)
 
@@ -86,9 +88,10 @@ def _counted(body: Column, opens: Column) -> Column:
 
 
 def split_oversized(body: Column) -> Column:
-    """A block of too many tokens packed by sentences; one that has none stays whole."""
+    """A block of too many tokens packed by sentences; one that has none stays whole. What is too short for that many words is not counted."""
     sentences = F.transform(F.split(body, SENTENCE), lambda s: _counted(s, F.lit(False)))
-    return F.when(estimate_tokens(body) <= HIGH, F.array(body)).otherwise(_fold(sentences, lambda a, x: a["n"] + x["n"] > HIGH, " "))
+    fits = (F.length(body) < 2 * int(HIGH / PER_WORD)) | (estimate_tokens(body) <= HIGH)
+    return F.when(fits, F.array(body)).otherwise(_fold(sentences, lambda a, x: a["n"] + x["n"] > HIGH, " "))
 
 
 def pack_chunks(parts: Column) -> Column:
