@@ -95,10 +95,14 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
-def _first_key(p: Column, i: Column) -> Column:
-    """What a form that begins with piece i is looked up by: the piece, and the run after it if it is none itself."""
-    here, after = F.translate(F.get(p, i), H1, ""), F.coalesce(F.get(p, i + 1), F.lit(""))
-    return F.when(here.rlike(_NAMING), here).otherwise(F.concat(here, F.when(after.rlike(_NAMING), F.translate(after, H1, "")).otherwise("")))
+def _unmarked(piece: Column) -> Column:
+    return F.when(piece.startswith(H1), F.translate(piece, H1, "")).otherwise(piece)
+
+
+def _first_key(p: Column, x: Column, i: Column) -> Column:
+    """What a form that begins with piece x, the i-th, is looked up by: the piece, and the run after it if it is none itself."""
+    after = F.get(p, i + 1)
+    return F.when(x.rlike(_NAMING), _unmarked(x)).when(F.coalesce(after.rlike(_NAMING), F.lit(False)), F.concat(x, _unmarked(after))).otherwise(x)
 
 
 def match_surfaces(spans: DataFrame, index: DataFrame) -> DataFrame:
@@ -117,10 +121,16 @@ def match_surfaces(spans: DataFrame, index: DataFrame) -> DataFrame:
     facts = known.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("most")).first()
     most = facts["most"] or 1
     sent = (lambda df: F.broadcast(df)) if facts["n"] <= MOST_BROADCAST else (lambda df: df.hint("merge"))
-    first = known.select(_first_key(F.col("_p"), F.lit(0)).alias("key"), "k").groupBy("key").agg(F.sort_array(F.collect_set("k")).alias("ks"))
+    first = known.select(_first_key(F.col("_p"), F.get("_p", F.lit(0)), F.lit(0)).alias("key"), "k").groupBy("key").agg(F.sort_array(F.collect_set("k")).alias("ks"))
 
     def starts(p: Column) -> Column:
-        places = F.transform(p, lambda x, i: F.when(let(F.coalesce(F.get(p, i - 1), F.lit(" ")), lambda before: (before != ".") & ~(before.rlike(_NAMING) & ~x.rlike(_NAMING))) & ~x.rlike(r"^\s$"), F.struct(i.alias("pos"), _first_key(p, i).alias("key"), F.slice(p, i + 1, F.lit(most + 1)).alias("here"))))
+        def place(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(p, i - 1), F.lit(" "))
+            # blanks are most of the other pieces; a run is never next to a run
+            begins = (x != " ") & (before != ".") & (x.rlike(_NAMING) | (~before.rlike(_NAMING) & ~x.rlike(r"^\s$")))
+            return F.when(begins, F.struct(i.alias("pos"), _first_key(p, x, i).alias("key"), F.slice(p, i + 1, F.lit(most + 1)).alias("here")))
+
+        places = F.transform(p, place)
         return F.filter(places, lambda x: x.isNotNull())
 
     pieces = _pieces(F.lower(guard_marks(F.col("span"))))
