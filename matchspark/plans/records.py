@@ -10,7 +10,7 @@ from matchspark.operators import embed, explain, extract, rank, report, resumes,
 from matchspark.plans import mapping as m
 from matchspark.plans.mapping import table
 from matchspark.sources import boards, files
-from matchspark.tables import new_folder
+from matchspark.tables import keep, new_folder
 
 
 def sectioned_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +48,28 @@ def remote_postings(spark: SparkSession, d: str) -> DataFrame:
     return boards.remote_only(_board(spark, d), True).select("source_job_id")
 
 
+#: Elements of a board by the remainder of the order key: what makes each odd, and its JSON.
+ODD = {3: ("unreadable", '"oops"'), 4: ("not an object", "null"), 5: ("no id", '{"title":"x"}'), 6: ("no title", '{"id":1,"title":" "}'), 7: ("location of another kind", '{"id":1,"title":"x","location":"Oslo"}'), 8: ("title of another kind", '{"id":1,"title":5}'), 9: ("unreadable", '{"id":1,"id":2,"title":"x"}')}
+
+
+def _mixed_boards(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's orders as one board with odd elements among good ones; some boards are cut off as a whole."""
+    key = F.col("o_orderkey")
+    element = F.to_json(F.struct(key.cast("string").alias("id"), F.col("o_orderpriority").alias("title"), F.struct(F.lit("Bonn").alias("name")).alias("location"), F.concat(F.lit("&lt;p&gt;"), "o_orderstatus", F.lit("&lt;/p&gt;")).alias("content")))
+    for k, (_, odd) in ODD.items():
+        element = F.when(key % 20 == k, odd).otherwise(element)
+    boards_ = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("company")).agg(F.array_sort(F.collect_list(F.struct(key, element.alias("e")))).alias("es"))
+    listed = F.concat(F.lit('{"jobs":['), F.array_join(F.col("es.e"), ","), F.lit("]"))
+    return boards_.select("company", F.when(F.col("company").cast("long") % 10 == 4, listed).otherwise(F.concat(listed, F.lit("}"))).alias("payload"))
+
+
+def mixed_boards(spark: SparkSession, d: str) -> DataFrame:
+    """The postings of boards that hold odd elements, and what was set aside."""
+    records = keep(boards.company_board_records(_mixed_boards(spark, d)), "records")
+    good = boards.company_postings(records).select("company", F.lit(None).cast("int").alias("position"), "source_job_id", "title", "description", F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(boards.set_aside(records).select("company", "position", "reason"), allowMissingColumns=True)
+
+
 def salary_texts(spark: SparkSession, d: str) -> DataFrame:
     key, low = F.col("o_orderkey"), F.floor("o_totalprice").cast("decimal(14,2)")
     high = F.when(key % 3 == 0, low).when(key % 3 == 1, low + 1000)
@@ -204,6 +226,16 @@ def match_prompts(spark: SparkSession, d: str) -> DataFrame:
     return explain.explanation_prompts(_matches(spark, d)).select("job_id", "prompt")
 
 
+def _echo(prompts: list[str]) -> list[str]:
+    """Stands for a model: says the prompt's first line and its number of lines, in a fence."""
+    return [f"```text\nSure! {p.splitlines()[0]}: {len(p.splitlines())} lines.\n```" for p in prompts]
+
+
+def model_replies(spark: SparkSession, d: str) -> DataFrame:
+    """What a model makes of the prompts of all matches."""
+    return explain.explain_with(explain.explanation_prompts(_matches(spark, d)), _echo).select("job_id", "explanation")
+
+
 def tidied_replies(spark: SparkSession, d: str) -> DataFrame:
     key, said = F.col("o_orderkey") % 5, F.concat(F.lit("You  fit\n"), "o_orderpriority")
     reply = F.when(key == 0, F.concat(F.lit("```text\n"), said, F.lit("\n```"))).when(key == 1, F.concat(F.lit('"'), said, F.lit('"'))).when(key == 2, F.concat(F.lit("Sure! "), said)).when(key == 3, "  ").otherwise(said)
@@ -246,8 +278,8 @@ def checked_extractions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sectioned_postings, company_postings, remote_postings, salary_texts, usable_rows, landed_sources, vocabulary_file, blocklist_file, resume_files, strongest_skills, audited_aliases, pending_jobs, extraction_texts,
-        guarded_skills, faulty_vectors, replaced_skills, stored_users, resume_profiles, loaded_postings, listed_names, explained_matches, top_for_explanation, match_prompts, tidied_replies, relabelled, placed_page, refused, checked_extractions,
+        sectioned_postings, company_postings, remote_postings, mixed_boards, salary_texts, usable_rows, landed_sources, vocabulary_file, blocklist_file, resume_files, strongest_skills, audited_aliases, pending_jobs, extraction_texts,
+        guarded_skills, faulty_vectors, replaced_skills, stored_users, resume_profiles, loaded_postings, listed_names, explained_matches, top_for_explanation, match_prompts, model_replies, tidied_replies, relabelled, placed_page, refused, checked_extractions,
     )
 }
 
@@ -262,6 +294,7 @@ EXPLANATION = """CASE WHEN skills_unparsed THEN 'The requirements of this postin
              WHEN tier = 'moderate' AND h <> '' AND l <> '' THEN 'A fair match: you bring ' || h || '; ' || l || ' would make it stronger.' WHEN tier = 'moderate' AND h <> '' THEN 'A fair match: you bring ' || h || '.' WHEN tier = 'moderate' THEN 'A fair match in outline, though nothing it names (' || l || ') is on your résumé.'
              WHEN h <> '' AND l <> '' THEN 'A weak match: you bring ' || h || ', but it needs ' || l || ' too.' WHEN l <> '' THEN 'A weak match: it needs ' || l || CASE WHEN len(lack) = 1 THEN ', which is not on your résumé.' ELSE ', which are not on your résumé.' END ELSE 'A weak match: it shares little with your résumé.' END
         || CASE WHEN n = 1 THEN ' This rests on only 1 stated requirement.' WHEN n = 2 THEN ' This rests on only 2 stated requirements.' ELSE '' END END"""
+_ODD = ", ".join(f"({k}, '{reason}')" for k, (reason, _) in ODD.items())
 _GUARDED = ", ".join(f"({k}, '{name}', '{level}')" for k, found in _FOUND.items() for name, level in found)
 ORACLE_SQL = {
     "sectioned_postings": f"""SELECT 'acme:' || o_orderkey AS source_job_id, o_orderpriority AS title, CASE WHEN o_orderkey % 5 = 0 THEN 'Remote, EU' ELSE 'Bonn' END AS location, o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 AS is_remote,
@@ -270,6 +303,9 @@ ORACLE_SQL = {
     "company_postings": f"""SELECT 'acme:' || o_orderkey AS source_job_id, o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 AS is_remote, 'At least ' || (o_orderkey % 20) || ' years' || {_NL} || {_NL} || CASE WHEN o_orderkey % 7 = 0 THEN 'remote & free' ELSE 'desk' END AS description,
         CASE WHEN o_orderkey % 20 BETWEEN 1 AND 15 THEN CAST(o_orderkey % 20 AS DOUBLE) END AS years, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2020-02-03' END AS posted FROM orders""",
     "remote_postings": "SELECT 'acme:' || o_orderkey AS source_job_id FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0",
+    "mixed_boards": f"""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS company, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS position, o_orderkey, o_orderpriority, o_orderstatus, k.reason, o_custkey % 10 = 4 AS lost FROM orders LEFT JOIN (VALUES {_ODD}) k(k, reason) ON o_orderkey % 20 = k.k)
+        SELECT company, CASE WHEN reason IS NOT NULL THEN position END AS position, CASE WHEN reason IS NULL THEN company || ':' || o_orderkey END AS source_job_id, CASE WHEN reason IS NULL THEN o_orderpriority END AS title, CASE WHEN reason IS NULL THEN o_orderstatus END AS description, reason FROM o WHERE NOT lost
+        UNION ALL SELECT DISTINCT company, NULL, NULL, NULL, NULL, 'unreadable' FROM o WHERE lost""",
     "salary_texts": """SELECT o_orderkey, CASE WHEN lo IS NULL AND hi IS NULL THEN NULL ELSE CASE WHEN lo IS NOT NULL AND hi IS NOT NULL AND lo <> hi THEN cur || format('{:,}', lo) || ' - ' || cur || format('{:,}', hi) ELSE cur || format('{:,}', coalesce(lo, hi)) END || ' per year' || CASE WHEN o_orderkey % 5 = 0 THEN ' (estimated)' ELSE '' END END AS salary
         FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS lo, CASE o_orderkey % 3 WHEN 0 THEN CAST(floor(o_totalprice) AS BIGINT) WHEN 1 THEN CAST(floor(o_totalprice) AS BIGINT) + 1000 END AS hi, CASE WHEN o_orderkey % 2 = 0 THEN 'GBP' ELSE '' END AS cur FROM orders)""",
     "usable_rows": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'no id' WHEN c_custkey % 5 = 0 THEN 'no title' ELSE '' END AS reason FROM customer",
@@ -295,6 +331,7 @@ ORACLE_SQL = {
     "match_prompts": f"""WITH {_MATCHES} SELECT job_id, 'Posting: ' || title || {_NL} || 'Company: ' || coalesce(company, 'not stated') || {_NL} || 'Score: ' || CAST(round(overall_score * 100) AS INTEGER) || '%' || {_NL} ||
         CASE WHEN skills_unparsed THEN 'The posting''s requirements are unknown: say so, and name none.' ELSE 'Asked for and held: ' || CASE WHEN len(have) = 0 THEN 'none' ELSE array_to_string(have[1:6], ', ') END || {_NL} || 'Asked for and not held: ' || CASE WHEN len(lack) = 0 THEN 'none' ELSE array_to_string(lack[1:6], ', ') END END || {_NL} ||
         CASE WHEN cy IS NOT NULL AND ry IS NOT NULL THEN 'Years asked for: ' || ry || '; years held: ' || cy || {_NL} ELSE '' END || 'Explain the match to the candidate in two or three plain sentences.' AS prompt FROM m""",
+    "model_replies": f"WITH {_MATCHES} SELECT job_id, 'Posting: ' || title || ': ' || CASE WHEN skills_unparsed THEN 5 ELSE 6 END + CASE WHEN cy IS NOT NULL AND ry IS NOT NULL THEN 1 ELSE 0 END || ' lines.' AS explanation FROM m",
     "tidied_replies": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 3 THEN 'You fit ' || o_orderpriority END AS reply FROM orders",
     "relabelled": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'A strong match:' WHEN 1 THEN 'A fair match:' WHEN 2 THEN 'A fair match:' WHEN 3 THEN 'A weak match:' ELSE 'So: Weak fit.' END || ' ' || o_orderpriority AS text, CASE o_orderkey % 5 WHEN 0 THEN 'Strong match' WHEN 1 THEN 'Decent match' WHEN 2 THEN 'Weak fit' END AS label FROM orders",
     "placed_page": f"""WITH {_MATCHES}, r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY resume_id, skills_unparsed) AS total FROM m WINDOW w AS (PARTITION BY resume_id, skills_unparsed ORDER BY overall_score DESC, job_id))

@@ -12,8 +12,11 @@ from matchspark.functions.normalize import dedup_hash, extract_city
 from matchspark.schema import JOB_COLUMNS
 
 SEARCH_RECORD = "id string, title string, company struct<display_name:string>, location struct<display_name:string>, description string, redirect_url string, salary_min string, salary_max string, salary_is_predicted string, created string"
-BOARD_PAYLOAD = "jobs array<struct<id:string,title:string,location:struct<name:string>,content:string,updated_at:string,first_published:string,absolute_url:string>>"
-SECTIONED_PAYLOAD = "array<struct<id:string,text:string,categories:struct<location:string>,description:string,lists:array<struct<text:string,content:string>>,additional:string,createdAt:string,workplaceType:string,hostedUrl:string,applyUrl:string>>"
+#: Fields of a posting by the kind that each must have where it is there.
+BOARD_FIELDS = {"title": "STRING", "location": "OBJECT", "content": "STRING"}
+SECTIONED_FIELDS = {"text": "STRING", "categories": "OBJECT", "description": "STRING", "lists": "ARRAY", "additional": "STRING", "workplaceType": "STRING"}
+#: JSON that counts as an absent field.
+NOTHING = ("null", '""', "false", "0", "[]", "{}")
 
 
 def _posting(df: DataFrame, source: str, columns: dict[str, Column]) -> DataFrame:
@@ -47,17 +50,103 @@ def _with_experience(parse: bool) -> dict[str, Column]:
     return {"experience_raw": found["raw"], "experience_min_years": found["years"]} if parse else {}
 
 
-def normalize_company_board(raw: DataFrame, payload: str = "payload", company: str = "company", source: str = "company_board", parse_experience: bool = False) -> DataFrame:
-    """One board's response a row: ``company`` and JSON text with an array of jobs. Ids are held within the company's name."""
-    r = raw.select(F.col(company).alias("c"), F.explode(F.from_json(payload, BOARD_PAYLOAD)["jobs"]).alias("r")).select("c", "r.*")
-    r = r.select("*", F.trim("title").alias("t"), F.col("location.name").alias("l"), X.html_to_text(F.col("content")).alias("d"))
-    return _posting(r.where("coalesce(id, '') <> ''"), source, {
+def _field(name: str) -> Column:
+    return F.try_variant_get("v", f"$.{name}", "variant")
+
+
+def _absent(v: Column) -> Column:
+    return F.coalesce(F.to_json(v), F.lit("null")).isin(*NOTHING)
+
+
+def _another(v: Column, kind: str) -> Column:
+    """Whether a field is there and not of the kind that it should have."""
+    return ~F.startswith(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), F.lit(kind)) & ~_absent(v)
+
+
+def _string(name: str) -> Column:
+    return F.when(F.schema_of_variant(_field(name)) == "STRING", F.try_variant_get("v", f"$.{name}", "string"))
+
+
+def _text(name: str) -> Column:
+    return F.try_variant_get("v", f"$.{name}", "string")
+
+
+def _records(raw: DataFrame, elements: Column, company: str, payload: str, title: str, kinds: dict[str, str], odd: Column, fields: dict[str, Column]) -> DataFrame:
+    """Every posting of every board by itself; see ``company_board_records``.
+
+    A board is split into the JSON texts of its postings, and each of these is
+    parsed apart, so that whatever one of them holds, its neighbours are read.
+    """
+    blank = F.trim(F.coalesce(payload, F.lit(""))) == ""
+    lost = F.when(elements.isNotNull(), None).when(blank, "empty").when(F.get_json_object(payload, "$").isNull(), "unreadable").otherwise("no list of postings")
+    boards = raw.select(F.col(company).alias("company"), lost.alias("_lost"), F.when(elements.isNull(), F.col(payload)).alias("_payload"), elements.alias("_elements"))
+    each = boards.select("company", "_lost", "_payload", F.posexplode_outer("_elements").alias("position", "_element")).where("position is not null or _lost is not null")
+    each = each.withColumn("v", F.explode(F.array(F.try_parse_json("_element"))))
+    identity, kind = _field("id"), F.schema_of_variant("v")
+    reason = F.col("_lost")
+    tests = [("unreadable", F.col("_element").isNotNull() & kind.isNull()), ("not an object", ~F.startswith(F.coalesce(kind, F.lit("VOID")), F.lit("OBJECT"))), ("no id", _absent(identity) | ~F.coalesce(_text("id"), F.lit("x")).rlike(r"\S"))]
+    tests += [("id of another kind", F.schema_of_variant(identity).rlike("^(OBJECT|ARRAY)"))] + [(f"{name} of another kind", _another(_field(name), kind)) for name, kind in kinds.items()]
+    tests += [("no title", ~F.coalesce(_string(title), F.lit("")).rlike(r"\S")), ("date or list of another kind", odd)]
+    why = F.when(reason.isNotNull(), reason)
+    for name, test in tests:
+        why = why.when(test, name)
+    # an explode of one element: a filter on the reason cannot be moved below the parsing and repeat it
+    one = F.struct(why.alias("reason"), F.struct(*(c.alias(n) for n, c in fields.items())).alias("r"))
+    out = each.select("company", "position", F.coalesce("_payload", "_element").alias("record"), F.explode(F.array(one)).alias("x"))
+    return out.select("company", "position", F.when(F.col("x.reason").isNotNull(), F.col("record")).alias("record"), "x.reason", "x.r")
+
+
+def company_board_records(raw: DataFrame, payload: str = "payload", company: str = "company") -> DataFrame:
+    """Every posting of every board: company, position (from 0), reason, record and r.
+
+    Postings that can be used have no reason, and their fields as text in r; all
+    others have a reason and the JSON text that was landed in record. One odd
+    posting takes nothing from its neighbours. A payload that cannot be read, or
+    that holds no list, is one row without a position; an empty list is none. A
+    bare string among the postings, or one that names a field twice, is unreadable.
+    Absent fields, null, "", false, 0, [] and {} count as nothing. A title,
+    content or date must be a text and a location an object.
+    """
+    elements = F.from_json(payload, "jobs array<string>")["jobs"]
+    changed, first = _field("updated_at"), _field("first_published")
+    date = F.when(_absent(changed), _another(first, "STRING")).otherwise(_another(changed, "STRING"))
+    fields = {"id": _text("id"), "title": _string("title"), "location": _text("location.name"), "content": _string("content"), "updated_at": _string("updated_at"), "first_published": _string("first_published"), "absolute_url": _text("absolute_url")}
+    return _records(raw, elements, company, payload, "title", BOARD_FIELDS, date, fields)
+
+
+def sectioned_board_records(raw: DataFrame, payload: str = "payload", company: str = "company") -> DataFrame:
+    """The same of boards that are a bare list. Parts of ``lists`` that are no objects are passed over; headings and contents must be texts."""
+    elements = F.from_json(payload, "array<string>")
+    parts = F.filter(F.coalesce(F.try_variant_get("v", "$.lists", "array<variant>"), F.array().cast("array<variant>")), lambda b: F.startswith(F.coalesce(F.schema_of_variant(b), F.lit("VOID")), F.lit("OBJECT")))
+    part = lambda b, name: F.try_variant_get(b, f"$.{name}", "variant")
+    odd = F.exists(parts, lambda b: _another(part(b, "text"), "STRING") | _another(part(b, "content"), "STRING"))
+    words = lambda b, name: F.when(F.schema_of_variant(part(b, name)) == "STRING", F.try_variant_get(b, f"$.{name}", "string"))
+    lists = F.transform(parts, lambda b: F.struct(words(b, "text").alias("text"), words(b, "content").alias("content")))
+    fields = {"id": _text("id"), "text": _string("text"), "location": _text("categories.location"), "description": _string("description"), "lists": lists, "additional": _string("additional"), "createdAt": _text("createdAt"), "workplaceType": _string("workplaceType"), "hostedUrl": _text("hostedUrl"), "applyUrl": _text("applyUrl")}
+    return _records(raw, elements, company, payload, "text", SECTIONED_FIELDS, odd, fields)
+
+
+def set_aside(records: DataFrame) -> DataFrame:
+    """What of the boards is no posting, with the reason."""
+    return records.where("reason is not null").select("company", "position", "record", "reason")
+
+
+def company_postings(records: DataFrame, source: str = "company_board", parse_experience: bool = False) -> DataFrame:
+    """The usable records of company boards as postings. Ids are held within the company's name."""
+    r = records.where("reason is null").select(F.col("company").alias("c"), "r.*")
+    r = r.select("c", "id", "updated_at", "first_published", "absolute_url", F.trim("title").alias("t"), F.col("location").alias("l"), X.html_to_text(F.col("content")).alias("d"))
+    return _posting(r, source, {
         "source_job_id": F.concat_ws(":", "c", "id"), "title": F.col("t"), "company": F.col("c"), "location": F.col("l"),
         "is_remote": X.mentions_remote(F.col("t"), F.col("l"), F.substring("d", 1, 2000)), "description": F.nullif("d", F.lit("")), "apply_url": F.col("absolute_url"),
         "posted_date": X.iso_date(F.coalesce(F.nullif("updated_at", F.lit("")), "first_published")),
     } | _with_experience(parse_experience))
 
 
+def normalize_company_board(raw: DataFrame, payload: str = "payload", company: str = "company", source: str = "company_board", parse_experience: bool = False) -> DataFrame:
+    """One board's response a row: ``company`` and JSON text with an array of jobs. Odd postings are left out (``company_board_records`` tells which)."""
+    return company_postings(company_board_records(raw, payload, company), source, parse_experience)
+
+
 def sections_to_text(opening: Column, lists: Column, closing: Column) -> Column:
     """Opening, ``heading:`` blocks and closing of (already plain) texts."""
     def block(b: Column) -> Column:
@@ -67,9 +156,9 @@ def sections_to_text(opening: Column, lists: Column, closing: Column) -> Column:
     return X.join_blocks(F.concat(F.array(opening), F.coalesce(F.transform(lists, block), F.array().cast("array<string>")), F.array(closing)))
 
 
-def normalize_sectioned_board(raw: DataFrame, payload: str = "payload", company: str = "company", source: str = "sectioned_board", parse_experience: bool = False) -> DataFrame:
-    """One board's response a row: ``company`` and a JSON array of postings with headed lists."""
-    r = raw.select(F.col(company).alias("c"), F.explode(F.from_json(payload, SECTIONED_PAYLOAD)).alias("r")).select("c", "r.*")
+def sectioned_postings(records: DataFrame, source: str = "sectioned_board", parse_experience: bool = False) -> DataFrame:
+    """The usable records of sectioned boards as postings."""
+    r = records.where("reason is null").select(F.col("company").alias("c"), "r.*")
     # the texts of the lists are decoded as one column with a mark between, since the decoder takes columns
     mark = X.MARK
     joined = F.array_join(F.transform("lists", lambda b: F.translate(F.coalesce(b["content"], F.lit("")), mark, "")), f"\n{mark}\n")
@@ -77,14 +166,19 @@ def normalize_sectioned_board(raw: DataFrame, payload: str = "payload", company:
     bodies = F.split("_bodies", f"\n*{mark}\n*")
     pairs = F.transform(F.coalesce("lists", F.array().cast("array<struct<text:string,content:string>>")), lambda b, i: F.struct(b["text"].alias("text"), F.trim(F.coalesce(F.get(bodies, i), F.lit(""))).alias("content")))
     r = r.withColumn("d", sections_to_text(F.col("_open"), pairs, F.col("_close")))
-    place, kind = F.col("categories.location"), F.lower(F.coalesce("workplaceType", F.lit("")))
-    return _posting(r.where("coalesce(id, '') <> ''"), source, {
+    place, kind = F.col("location"), F.lower(F.coalesce("workplaceType", F.lit("")))
+    return _posting(r, source, {
         "source_job_id": F.concat_ws(":", "c", "id"), "title": F.trim("text"), "company": F.col("c"), "location": place,
         "is_remote": (kind == "remote") | X.mentions_remote(F.trim("text"), place, kind), "description": F.nullif("d", F.lit("")),
         "apply_url": F.coalesce(F.nullif("hostedUrl", F.lit("")), "applyUrl"), "posted_date": X.epoch_date(F.col("createdAt")),
     } | _with_experience(parse_experience))
 
 
+def normalize_sectioned_board(raw: DataFrame, payload: str = "payload", company: str = "company", source: str = "sectioned_board", parse_experience: bool = False) -> DataFrame:
+    """One board's response a row: ``company`` and a JSON array of postings with headed lists. Odd postings are left out."""
+    return sectioned_postings(sectioned_board_records(raw, payload, company), source, parse_experience)
+
+
 def remote_only(jobs: DataFrame, wanted: bool) -> DataFrame:
     return jobs.where("is_remote") if wanted else jobs
 

@@ -89,6 +89,34 @@ def test_a_failing_source_does_not_lose_the_others(spark):
     assert ok.count() == 1 and {r.reason for r in bad.collect()} == {"no id", "no title"}
 
 
+def test_one_odd_posting_takes_nothing_from_its_board(spark):
+    fine = {"id": 7, "title": " A ", "location": {"name": "Oslo"}, "content": "&lt;p&gt;x&lt;/p&gt;", "updated_at": "2024-01-02T00:00:00Z", "absolute_url": "u"}
+    odd = ["oops", 5, None, [1], {}, {"id": 0, "title": "a"}, {"id": " ", "title": "a"}, {"id": 1}, {"id": 1, "title": "\n"}, {"id": 1, "title": 5}, {"id": {"a": 1}, "title": "a"}, {"id": 1, "title": "a", "location": "Oslo"}, {"id": 1, "title": "a", "content": [1]}, {"id": 1, "title": "a", "updated_at": 5}, {"id": 1, "title": "a", "first_published": 5}]
+    bare = {"id": "8", "title": "b", "location": "", "content": False, "updated_at": 0, "first_published": "2024-01-03", "absolute_url": None}
+    many = [fine, *odd, bare, fine]
+    raw = [("c", json.dumps({"jobs": many, "meta": 1})), ("cut", json.dumps({"jobs": [fine]})[:-1]), ("none", "{}"), ("null", None), ("blank", " "), ("empty", '{"jobs":[]}'), ("list", "[]"), ("twice", '{"jobs":[{"id":1,"id":2,"title":"x"},{"id":3,"title":"y"}]}')]
+    raw = spark.createDataFrame([(c, p, "r") for c, p in raw], "company string, payload string, r string")
+    records = boards.company_board_records(raw).cache()
+    good = sorted(tuple(r) for r in boards.company_postings(records).select("source_job_id", "title", "location", "description", "apply_url", F.col("posted_date").cast("string")).collect())
+    assert good == [("c:7", "A", "Oslo", "x", "u", "2024-01-02")] * 2 + [("c:8", "b", None, None, None, "2024-01-03"), ("twice:3", "y", None, None, None, None)]
+    aside = {(r.company, r.position): (r.reason, r.record) for r in boards.set_aside(records).collect()}
+    reasons = ["unreadable", "not an object", "not an object", "not an object", "no id", "no id", "no id", "no title", "no title", "title of another kind", "id of another kind", "location of another kind", "content of another kind", "date or list of another kind", "date or list of another kind"]
+    assert [aside.pop(("c", i + 1))[0] for i in range(len(odd))] == reasons
+    assert {k: v[0] for k, v in aside.items()} == {("cut", None): "unreadable", ("none", None): "no list of postings", ("null", None): "empty", ("blank", None): "empty", ("list", None): "no list of postings", ("twice", 0): "unreadable"}
+    assert aside[("cut", None)][1].startswith('{"jobs"') and aside[("twice", 0)][1] == '{"id":1,"id":2,"title":"x"}'
+    assert boards.normalize_company_board(raw.limit(0)).count() == 0
+
+
+def test_odd_sections(spark):
+    fine = {"id": "a", "text": "T", "categories": {"location": "Rome"}, "lists": [{"text": "Needs", "content": "<li>x</li>"}, 5, "y"], "createdAt": 86400000, "hostedUrl": "", "applyUrl": "u"}
+    odd = [{"id": "b", "text": "T", "lists": [{"text": 1}]}, {"id": "c", "text": "T", "categories": ["x"]}, {"id": "d", "text": "T", "lists": "x"}, {"id": "e", "text": "T", "workplaceType": 3}, {"text": "T"}, 1]
+    raw = spark.createDataFrame([("s", json.dumps([odd[0], fine, *odd[1:], fine | {"id": "z", "lists": None, "createdAt": None}])), ("t", json.dumps({"ok": False}))], "company string, payload string")
+    got = sorted(tuple(r) for r in boards.normalize_sectioned_board(raw).select("source_job_id", "location", "description", "apply_url", F.col("posted_date").cast("string")).collect())
+    assert got == [("s:a", "Rome", "Needs:\nx", "u", "1970-01-02"), ("s:z", "Rome", None, "u", None)]
+    aside = sorted((r.company, r.position, r.reason) for r in boards.set_aside(boards.sectioned_board_records(raw)).na.fill(-1).collect())
+    assert aside == [("s", 0, "date or list of another kind"), ("s", 2, "categories of another kind"), ("s", 3, "lists of another kind"), ("s", 4, "workplaceType of another kind"), ("s", 5, "no id"), ("s", 6, "not an object"), ("t", -1, "no list of postings")]
+
+
 def test_first_rows_and_caps(spark):
     rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("b", 1, 2), ("b", 2, 3), ("b", 3, 4)], "g string, p int, k int")
     assert sorted((r.g, r.p) for r in dedupe.first_per_key(rows, ["k"], ["g", "p"]).collect()) == [("a", 1), ("b", 1), ("b", 2), ("b", 3)]
