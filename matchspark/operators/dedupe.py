@@ -46,12 +46,14 @@ def split_budget(most: Column, queries: Column) -> Column:
 def upsert_jobs(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """The state after ``incoming`` (with fetched_at and seq), one row a (source, source_job_id).
 
-    The last incoming version wins, its nulls too; job_id is that of the current
-    row, or made from the key. is_new marks keys that current did not hold.
+    The last incoming version wins, its nulls too; of versions with one time and
+    seq the first in the order of what they say, null before all. job_id is that
+    of the current row, or made from the key. is_new marks keys that current did
+    not hold.
     """
     key = ["source", "source_job_id"]
-    last = first_per_key(incoming, key, [F.desc("fetched_at"), F.desc("seq")])
     shared = [c for c in REFRESHED if c in incoming.columns and c in current.columns]
+    last = first_per_key(incoming, key, [F.desc("fetched_at"), F.desc("seq"), *(F.asc_nulls_first(c) for c in shared if c != "fetched_at")])
     old, new = current.withColumn("_old", F.lit(True)).alias("o"), last.withColumn("_new", F.lit(True)).alias("n")
     joined = old.join(new, key, "full_outer")
     pick = lambda c: F.when(F.col("_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)

@@ -31,3 +31,12 @@ def compare(spark, tmp_path):
 def test_references_without_semicolon(spark, compare, name):
     pages = [(1, "<p>a &amp</p>b &quotc&quot; &copy 2 &middot; &am"), (2, "x &amp;&amp y"), (3, "plain")]
     assert len(compare(name, pages=spark.createDataFrame(pages, "page_id long, html string"))) == 3
+
+
+def test_upsert_of_versions_at_one_time(spark, compare):
+    day, later = dt.datetime(1995, 1, 1), dt.datetime(1995, 1, 2)
+    orders = spark.createDataFrame([(8, "P", day), (9, "P", day), (10, "P", day)], "o_orderkey long, o_orderstatus string, o_orderdate timestamp")
+    lines = [(k, n, s, later) for k, n, states in ((1, 1, "FO"), (2, 1, "OF"), (3, 2, "FFOF"), (4, 1, "F")) for s in states]
+    lines = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_linestatus string, l_shipdate timestamp")
+    got = compare("upserted_jobs", orders=orders, lineitem=lines.repartition(3))
+    assert {r[0]: r[2] for r in got} == {"8": None, "9": None, "10": None, "11": "F"}
