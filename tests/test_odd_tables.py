@@ -4,7 +4,6 @@ import datetime as dt
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from matchspark import catalog
 
@@ -40,3 +39,19 @@ def test_upsert_of_versions_at_one_time(spark, compare):
     lines = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_linestatus string, l_shipdate timestamp")
     got = compare("upserted_jobs", orders=orders, lineitem=lines.repartition(3))
     assert {r[0]: r[2] for r in got} == {"8": None, "9": None, "10": None, "11": "F"}
+
+
+def test_score_at_a_half(spark, compare):
+    rows = [(k, k, 26970.0 + 6000 * k, "1-URGENT") for k in range(80)]  # 0.04495, 0.05495 and so on
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string")
+    got = {r[0]: r[1] for r in compare("match_prompts", orders=orders)}
+    assert "Score: 5%" in got[0]
+
+
+@pytest.mark.parametrize("name, number", [("activity_in_time", 5), ("late_activity", 2)])
+def test_deliveries_of_two_months(spark, compare, name, number):
+    at = lambda *x: dt.datetime(2024, *x)
+    # February's early days are delivered before January's later ones; the newest row is half a second short of an hour
+    times = {1: at(1, 3, 5), 2: at(2, 9, 7), 3: at(2, 9, 8), 4: at(1, 20, 5), 5: at(2, 9, 1), 6: at(2, 25, 4, 10), 7: at(2, 25, 10), 8: at(2, 25, 11, 59, 59, 500000), 10: at(1, 3, 5), 20: at(2, 25, 5, 30)}
+    events = spark.createDataFrame([(i, t, "view", 1.0) for i, t in times.items()], "event_id long, ts timestamp, event_type string, value double")
+    assert len(compare(name, events=events)) == number
