@@ -29,6 +29,8 @@ REQUIREMENT_LEVELS = {
 }
 #: Most profile vectors that are sent to every task at once (768 floats each: 60 MB).
 MOST_BROADCAST = 20_000
+#: Most profiles whose recall is read within a posting's row; more are joined on the skill.
+MOST_IN_ROW = 500
 #: Cosines that one matrix product makes at most.
 BLOCK_CELLS = 1 << 21
 
@@ -125,6 +127,30 @@ def skill_recall(asked: DataFrame, resume_skills: DataFrame, pairs: DataFrame, c
     )
 
 
+def _pairs_in_rows(resumes: DataFrame, own: DataFrame, asked: DataFrame, resume_skills: DataFrame, cosines: DataFrame, c: Config) -> DataFrame:
+    """The pairs of few profiles as skill_recall gives them, with candidate_years and mean_cos.
+
+    What a posting asks for stands in its row, each skill with the profiles that
+    hold it, and so do its cosines: pairs are made within the row and none is
+    shuffled, sorted or held.
+    """
+    holders = resume_skills.groupBy("skill_id").agg(F.collect_set("resume_id").alias("holders"))
+    weighed = asked.select("job_id", "skill_id", requirement_weight(F.col("requirement"), c).alias("w")).hint("merge").join(holders, "skill_id", "left")
+    totals = weighed.groupBy("job_id").agg(F.sum("w").alias("possible"), F.count(F.lit(1)).alias("parsed_count"), F.collect_list(F.when(F.col("holders").isNotNull(), F.struct("w", "holders"))).alias("asked"))
+    near = cosines.where("resume_id is not null").groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("resume_id", "mean_cos"))).alias("near"))
+    every = resumes.select(F.struct("resume_id", "candidate_years").alias("r")).groupBy().agg(F.collect_list("r").alias("every"))
+    rows = own.hint("merge").join(totals, "job_id", "left").hint("merge").join(near, "job_id", "left").crossJoin(F.broadcast(every))
+    earned = lambda r: F.aggregate("asked", F.lit(0.0), lambda acc, a: acc + F.when(F.array_contains(a["holders"], r["resume_id"]), a["w"]).otherwise(0.0))
+    pair = lambda r: F.struct(r["resume_id"].alias("resume_id"), r["candidate_years"].alias("candidate_years"), earned(r).alias("earned"), F.when(F.col("near").isNotNull(), F.try_element_at("near", r["resume_id"])).alias("mean_cos"))
+    pairs = rows.select("job_id", "required_years", "possible", "parsed_count", F.explode(F.transform("every", pair)).alias("p"))
+    return pairs.select(
+        "p.resume_id", "job_id", "required_years", "p.candidate_years", "p.mean_cos",
+        F.when(F.col("possible").isNotNull(), F.least(F.lit(1.0), F.col("p.earned") / F.col("possible"))).alias("skill_recall"),  # sums may differ in the last bit
+        F.when(F.col("parsed_count").isNotNull(), skill_confidence(F.col("parsed_count"), c)).alias("skill_confidence"),
+        F.coalesce("parsed_count", F.lit(0)).cast("long").alias("parsed_count"), F.col("parsed_count").isNull().alias("skills_unparsed"),
+    )
+
+
 def with_skill_names(matches: DataFrame, asked: DataFrame, resume_skills: DataFrame) -> DataFrame:
     """matches with matching_skills and missing_skills, by name. For all pairs this collects what every job asks for once a profile."""
     held = resume_skills.select("resume_id", "skill_id", F.lit(True).alias("held")).distinct()
@@ -223,15 +249,21 @@ def _products(spark: SparkSession, held: list, kind: pa.DataType, top: int):
 def score_all(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, resume_skills: DataFrame, chunks: DataFrame, resume_vectors: DataFrame, c: Config = Config(), names: bool = True) -> DataFrame:
     """Every pair of resumes (resume_id, candidate_years) and jobs (job_id, required_years), scored.
 
-    The pair table is the result's size by definition; profiles are counted and
-    broadcast, in several passes over the jobs where they are many.
+    The pair table is the result's size by definition; profiles are counted. Up
+    to MOST_IN_ROW are paired within each posting's row; more are broadcast, in
+    several passes over the jobs where they are very many, and meet what they
+    earn and their cosines by joins.
     """
-    own, pairs = jobs.select("job_id", "required_years"), None
-    for part in _passes(resumes.select("resume_id", "candidate_years"), "resume_id"):
-        both = own.crossJoin(part)
-        pairs = both if pairs is None else pairs.unionByName(both)
-    asked = active_job_skills(job_skills, skills)
-    scored = skill_recall(asked, resume_skills, pairs, c).join(passage_similarity(resume_vectors, chunks, c).hint("merge"), ["resume_id", "job_id"], "left")
+    own = jobs.select("job_id", "required_years")
+    asked, cosines = active_job_skills(job_skills, skills), passage_similarity(resume_vectors, chunks, c)
+    if resumes.count() <= MOST_IN_ROW:
+        scored = _pairs_in_rows(resumes, own, asked, resume_skills, cosines, c)
+    else:
+        pairs = None
+        for part in _passes(resumes.select("resume_id", "candidate_years"), "resume_id"):
+            both = own.crossJoin(part)
+            pairs = both if pairs is None else pairs.unionByName(both)
+        scored = skill_recall(asked, resume_skills, pairs, c).join(cosines.hint("merge"), ["resume_id", "job_id"], "left")
     scored = scored.withColumn("semantic_score", rescale_clamp(F.col("mean_cos"), c.cos_lo, c.cos_hi)).withColumn("multiplier", experience_multiplier(F.col("required_years"), F.col("candidate_years")))
     scored = scored.withColumn("overall", overall_score(F.col("skill_recall"), F.col("skill_confidence"), F.col("semantic_score"), F.col("multiplier"), c))
     r4 = lambda name: F.round(name, 4)

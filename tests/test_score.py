@@ -132,3 +132,14 @@ def test_ranks_do_not_mix_and_page_apart(spark):
     assert {r.job_id: (r.rank, r.total) for r in ranked.collect()} == {3: (1, 3), 4: (2, 3), 1: (3, 3), 2: (1, 1)}
     assert {r.job_id for r in rank.page(ranked, 1, 1, 1).collect()} == {4, 2}
     assert {r.job_id for r in rank.min_score(ranked, 0.7).collect()} == {2, 3, 4}
+
+
+def test_pairs_of_few_profiles_are_made_in_rows(spark, monkeypatch):
+    def rows():
+        df = score.score_all(*tables(spark), score.Config(cos_lo=0.0, cos_hi=1.0), names=False)
+        return sorted(map(str, df.collect())), df._jdf.queryExecution().executedPlan().toString()
+
+    some, plan = rows()
+    assert "[resume_id" not in "".join(x for x in plan.splitlines() if "SortMergeJoin" in x or "hashpartitioning" in x)
+    monkeypatch.setattr(score, "MOST_IN_ROW", 0)
+    assert some == rows()[0]
