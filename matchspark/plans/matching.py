@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchspark.operators import explain, rank, report, rescore, score
 from matchspark.plans import mapping as m
 from matchspark.plans.records import EXPLANATION, PHRASE
+from matchspark.tables import keep
 
 
 def _scored(spark: SparkSession, d: str, names: bool = False) -> DataFrame:
@@ -18,8 +19,16 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return score.active_job_skills(m.job_skills(spark, d), m.skills(spark, d))
 
 
-def _top(spark: SparkSession, d: str, most: int = 20) -> DataFrame:
-    return score.with_skill_names(rank.top_ranked(_scored(spark, d), most), _asked(spark, d), m.resume_skills(spark, d))
+def _top(spark: SparkSession, d: str, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The best postings of every profile with names of skills, and (resume_id, name) of what profiles hold of what these ask for.
+
+    The best are few, and written: every table is brought down to what concerns them before it is joined.
+    """
+    top = keep(rank.top_ranked(_scored(spark, d), most), "top")
+    asked = keep(_asked(spark, d).join(F.broadcast(top.select("job_id").distinct()), "job_id", "left_semi"), "asked")
+    skills = keep(asked.select("skill_id", "name").distinct(), "skills")
+    held = keep(m.resume_skills(spark, d).join(F.broadcast(skills), "skill_id"), "held")
+    return score.with_skill_names(top, asked, held), held.select("resume_id", "name")
 
 
 def flagship_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -77,8 +86,7 @@ def requirements_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def skill_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    held = m.resume_skills(spark, d).join(m.skills(spark, d), "skill_id").select("resume_id", "name")
-    return rank.skill_suggestions(_top(spark, d), held)
+    return rank.skill_suggestions(*_top(spark, d))
 
 
 def all_skill_suggestions(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +102,7 @@ def ranked_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def explanations(spark: SparkSession, d: str) -> DataFrame:
-    return explain.with_explanations(_top(spark, d)).select("resume_id", "job_id", "explanation")
+    return explain.with_explanations(_top(spark, d)[0]).select("resume_id", "job_id", "explanation")
 
 
 def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
