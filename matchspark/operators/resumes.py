@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchspark.functions.arrays import let
 from matchspark.functions.normalize import _squeezed
 from matchspark.operators.dedupe import split_budget
 from matchspark.operators.vocabulary import canonicalize_all
@@ -106,7 +107,8 @@ def build_search_queries(resumes: DataFrame, max_results: int = 100, max_queries
     p = F.col("parsed")
     titles = F.filter(F.transform(F.coalesce(p["experience"]["role"], F.array().cast("array<string>")), lambda t: clean_title(F.coalesce(t, F.lit("")))), lambda t: F.size(F.split(t, " ")) >= 2)
     keyed = lambda a: F.transform(a, lambda x: _squeezed(F.lower(x)))
-    once = lambda a: F.filter(a, lambda x, i: (F.array_position(keyed(a), _squeezed(F.lower(x))) == i + 1) & (_squeezed(F.lower(x)) != ""))
+    # each is keyed once, not once for every other
+    once = lambda a: let(keyed(a), lambda k: F.filter(a, lambda x, i: (F.array_position(k, F.get(k, i)) == i + 1) & (F.get(k, i) != "")))
     skills = F.filter(F.transform(F.coalesce(p["skills"], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: ~_squeezed(F.lower(x)).isin(*GENERIC_SKILLS))
     rows = resumes.select("resume_id", titles.alias("t"), skills.alias("s")).select("resume_id", once(F.col("t")).alias("t"), once(F.col("s")).alias("s"))
     bag = F.when(F.size("s") > 0, F.array_join(F.slice("s", 1, SKILLS_PER_QUERY), " "))

@@ -1,11 +1,13 @@
 """Queries against their SQL on tables that hold what the supplied small ones lack."""
 
 import datetime as dt
+import time
 
 import duckdb
 import pytest
 
 from matchspark import catalog
+from matchspark.operators import resumes
 
 
 @pytest.fixture
@@ -55,3 +57,13 @@ def test_deliveries_of_two_months(spark, compare, name, number):
     times = {1: at(1, 3, 5), 2: at(2, 9, 7), 3: at(2, 9, 8), 4: at(1, 20, 5), 5: at(2, 9, 1), 6: at(2, 25, 4, 10), 7: at(2, 25, 10), 8: at(2, 25, 11, 59, 59, 500000), 10: at(1, 3, 5), 20: at(2, 25, 5, 30)}
     events = spark.createDataFrame([(i, t, "view", 1.0) for i, t in times.items()], "event_id long, ts timestamp, event_type string, value double")
     assert len(compare(name, events=events)) == number
+
+
+def test_queries_of_a_long_list_of_skills(spark):
+    names = [f"Skill {k % 1500}" for k in range(3000)]
+    parsed = "struct<skills:array<string>,experience:array<struct<role:string>>>"
+    df = spark.createDataFrame([(1, (names, [("Data Engineer",), ("data  engineer",)]))], f"resume_id long, parsed {parsed}")
+    start = time.monotonic()
+    got = resumes.build_search_queries(df)[0].collect()
+    assert [r.keywords.split()[:2] for r in got] == [["Data", "Engineer"], ["Skill", "0"]]
+    assert time.monotonic() - start < 15
