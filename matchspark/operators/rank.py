@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from matchspark.tables import keep
 
+#: What stands in one ranked list; one posting in how many tells how far down such a list its first rows reach.
+BUCKET, SOME = ("resume_id", "skills_unparsed"), 64
+
 
 def rank_matches(matches: DataFrame) -> DataFrame:
     """matches with rank and total within (résumé, ranked or unparsed): the two are never mixed. Ties go to the smaller job.
@@ -26,21 +29,40 @@ def rank_matches(matches: DataFrame) -> DataFrame:
     return placed.select(*matches.columns, (F.col("_before") + F.col("_own")).alias("rank"), "total")
 
 
-def top_ranked(matches: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` of each bucket, without totals: partial top-k runs before the shuffle."""
-    bucket = Window.partitionBy("resume_id", "skills_unparsed").orderBy(F.desc("overall_score"), "job_id")
-    return matches.withColumn("rank", F.row_number().over(bucket)).where(F.col("rank") <= most)
+def some_postings(df: DataFrame) -> DataFrame:
+    """Rows of one posting in SOME, by a hash."""
+    return df.where(F.pmod(F.xxhash64("job_id"), F.lit(SOME)) == 0)
+
+
+def reachable(matches: DataFrame, some: DataFrame, most: int, bucket: tuple = BUCKET) -> DataFrame:
+    """matches without rows that cannot be among the first ``most`` of their bucket.
+
+    The ``most``-th of a part of the matches stands no earlier than that of all:
+    what comes after it in order is left out before anything is sorted. A bucket
+    with fewer rows in the part loses none.
+    """
+    order = Window.partitionBy(*bucket).orderBy(F.desc("overall_score"), "job_id")
+    last = some.select(*bucket, F.col("overall_score").alias("_score"), F.col("job_id").alias("_job"), F.row_number().over(order).alias("_n")).where(F.col("_n") == most)
+    near = F.col("_score").isNull() | (F.col("overall_score") > F.col("_score")) | ((F.col("overall_score") == F.col("_score")) & (F.col("job_id") <= F.col("_job")))
+    return matches.join(F.broadcast(last), list(bucket), "left").where(near).select(*matches.columns)  # a row a bucket
+
+
+def top_ranked(matches: DataFrame, most: int, some: DataFrame | None = None) -> DataFrame:
+    """The first ``most`` of each bucket, without totals. ``some``: matches of some of the postings, which tell what need not be sorted."""
+    bucket = Window.partitionBy(*BUCKET).orderBy(F.desc("overall_score"), "job_id")
+    rows = matches if some is None else reachable(matches, some, most)
+    return rows.withColumn("rank", F.row_number().over(bucket)).where(F.col("rank") <= most)
 
 
-def page(matches: DataFrame, limit: int, offset: int = 0, unparsed_limit: int | None = None, unparsed_offset: int = 0) -> DataFrame:
+def page(matches: DataFrame, limit: int, offset: int = 0, unparsed_limit: int | None = None, unparsed_offset: int = 0, some: DataFrame | None = None) -> DataFrame:
     """One page of either bucket, each with its own limit and offset, with rank and the bucket's total.
 
-    Only the first rows of a bucket are ranked, and totals are counted apart, so no bucket is gathered.
+    Only the first rows of a bucket are ranked, and totals are counted apart, so no bucket is gathered. ``some`` as in top_ranked.
     """
     rest = unparsed_limit if unparsed_limit is not None else limit
     own = (F.col("rank") > offset) & (F.col("rank") <= offset + limit)
     other = (F.col("rank") > unparsed_offset) & (F.col("rank") <= unparsed_offset + rest)
-    shown = top_ranked(matches, max(offset + limit, unparsed_offset + rest)).where(F.when(F.col("skills_unparsed"), other).otherwise(own))
+    shown = top_ranked(matches, max(offset + limit, unparsed_offset + rest), some).where(F.when(F.col("skills_unparsed"), other).otherwise(own))
     totals = matches.groupBy("resume_id", "skills_unparsed").agg(F.count(F.lit(1)).alias("total"))
     return shown.join(totals.hint("shuffle_hash"), ["resume_id", "skills_unparsed"])
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ REQUIREMENT_LEVELS = {
 MOST_BROADCAST = 20_000
 #: Most profiles whose recall is read within a posting's row; more are joined on the skill.
 MOST_IN_ROW = 500
+#: Profiles whose sums stand in one row; their holders are bits of a long.
+IN_SUMS = 64
 #: Cosines that one matrix product makes at most.
 BLOCK_CELLS = 1 << 21
 
@@ -96,9 +99,15 @@ def overall_score(recall: Column, confidence: Column, semantic: Column, multipli
 
 
 def tier(overall: Column, unparsed: Column, c: Config = Config()) -> Column:
-    """By the score before its rounding to four places; nine places settle scores that stand exactly at a bound."""
-    overall = F.round(overall, 9)
-    return F.when(unparsed, None).when(overall >= c.strong, "strong").when(overall >= c.moderate, "moderate").otherwise("weak")
+    """By the score before its rounding to four places; nine places settle scores that stand exactly at a bound: what rounds to it is at least half a unit below it."""
+    bound = lambda x: F.lit(float(Decimal(repr(round(x, 9))) - Decimal("5e-10")))
+    return F.when(unparsed, None).when(overall >= bound(c.strong), "strong").when(overall >= bound(c.moderate), "moderate").otherwise("weak")
+
+
+def round4(x: Column) -> Column:
+    """F.round(x, 4), which goes through decimals, for the few numbers that stand near a tie or are none; others by arithmetic."""
+    y = x * 10000.0
+    return F.when(F.abs(y - F.rint(y)) > 0.4999, F.round(x, 4)).otherwise(F.rint(y) / 10000.0 + 0.0)
 
 
 def active_job_skills(job_skills: DataFrame, skills: DataFrame) -> DataFrame:
@@ -130,25 +139,40 @@ def skill_recall(asked: DataFrame, resume_skills: DataFrame, pairs: DataFrame, c
 def _pairs_in_rows(resumes: DataFrame, own: DataFrame, asked: DataFrame, resume_skills: DataFrame, cosines: DataFrame, c: Config) -> DataFrame:
     """The pairs of few profiles as skill_recall gives them, with candidate_years and mean_cos.
 
-    What a posting asks for stands in its row, each skill with the profiles that
-    hold it, and so do its cosines: pairs are made within the row and none is
-    shuffled, sorted or held.
+    Profiles are numbered, and a skill's holders are the bits of a number. What a
+    posting asks for is summed once, for each of up to IN_SUMS profiles in a
+    column of its own; its pairs are made from that row, so none is shuffled,
+    sorted or held and no function is called for a pair and skill. More profiles
+    go in further passes.
     """
-    holders = resume_skills.groupBy("skill_id").agg(F.collect_set("resume_id").alias("holders"))
-    weighed = asked.select("job_id", "skill_id", requirement_weight(F.col("requirement"), c).alias("w")).hint("merge").join(holders, "skill_id", "left")
-    totals = weighed.groupBy("job_id").agg(F.sum("w").alias("possible"), F.count(F.lit(1)).alias("parsed_count"), F.collect_list(F.when(F.col("holders").isNotNull(), F.struct("w", "holders"))).alias("asked"))
+    profiles = resumes.select("resume_id", "candidate_years").collect()  # at most MOST_IN_ROW
+    place = {x: i for i, x in enumerate(dict.fromkeys(r["resume_id"] for r in profiles if r["resume_id"] is not None))}
+    kind = {f.name: f.dataType.simpleString() for f in resumes.select("resume_id", "candidate_years").schema}
+    passes = [[r for r in profiles if place.get(r["resume_id"], 0) // IN_SUMS == k] for k in range(max(1, -(-len(place) // IN_SUMS)))]
     near = cosines.where("resume_id is not null").groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("resume_id", "mean_cos"))).alias("near"))
-    every = resumes.select(F.struct("resume_id", "candidate_years").alias("r")).groupBy().agg(F.collect_list("r").alias("every"))
-    rows = own.hint("merge").join(totals, "job_id", "left").hint("merge").join(near, "job_id", "left").crossJoin(F.broadcast(every))
-    earned = lambda r: F.aggregate("asked", F.lit(0.0), lambda acc, a: acc + F.when(F.array_contains(a["holders"], r["resume_id"]), a["w"]).otherwise(0.0))
-    pair = lambda r: F.struct(r["resume_id"].alias("resume_id"), r["candidate_years"].alias("candidate_years"), earned(r).alias("earned"), F.when(F.col("near").isNotNull(), F.try_element_at("near", r["resume_id"])).alias("mean_cos"))
-    pairs = rows.select("job_id", "required_years", "possible", "parsed_count", F.explode(F.transform("every", pair)).alias("p"))
-    return pairs.select(
-        "p.resume_id", "job_id", "required_years", "p.candidate_years", "p.mean_cos",
-        F.when(F.col("possible").isNotNull(), F.least(F.lit(1.0), F.col("p.earned") / F.col("possible"))).alias("skill_recall"),  # sums may differ in the last bit
-        F.when(F.col("parsed_count").isNotNull(), skill_confidence(F.col("parsed_count"), c)).alias("skill_confidence"),
-        F.coalesce("parsed_count", F.lit(0)).cast("long").alias("parsed_count"), F.col("parsed_count").isNull().alias("skills_unparsed"),
-    )
+    weighed = asked.select("job_id", "skill_id", requirement_weight(F.col("requirement"), c).alias("w"))
+    weighed, near = (weighed, near) if len(passes) == 1 else (keep(weighed, "weighed"), keep(near, "near"))
+    out = None
+    for some in passes:
+        rows = [(r["resume_id"], r["candidate_years"], None if r["resume_id"] is None else place[r["resume_id"]] % IN_SUMS) for r in some]
+        given = own.sparkSession.createDataFrame(rows, f"resume_id {kind['resume_id']}, candidate_years {kind['candidate_years']}, slot int")
+        bits = F.broadcast(given.where("slot is not null").select("resume_id", F.expr("shiftleft(1L, slot)").alias("bit")).distinct())
+        holders = resume_skills.join(bits, "resume_id").groupBy("skill_id").agg(F.bit_or("bit").alias("bits"))
+        earned = [F.sum(F.when(F.col("bits").bitwiseAND(F.lit(int(np.uint64(1 << i).view(np.int64)))) != 0, F.col("w")).otherwise(0.0)) for i in range(min(IN_SUMS, max(1, len(place))))]
+        # dealt while rows are short: sums go nowhere any more
+        dealt = weighed.hint("merge").join(holders.hint("merge"), "skill_id", "left").select("job_id", "w", F.coalesce("bits", F.lit(0)).alias("bits")).repartition("job_id")
+        totals = dealt.groupBy("job_id").agg(F.sum("w").alias("possible"), F.count(F.lit(1)).alias("parsed_count"), F.array(*earned).alias("earned"))
+        every = given.agg(F.collect_list(F.struct("resume_id", "candidate_years", "slot")).alias("every"))
+        both = own.hint("merge").join(totals, "job_id", "left").hint("merge").join(near, "job_id", "left").crossJoin(F.broadcast(every))
+        pairs = both.select("job_id", "required_years", "possible", "parsed_count", "earned", "near", F.inline("every"))
+        made = pairs.select(
+            "resume_id", "job_id", "required_years", "candidate_years", F.when(F.col("near").isNotNull(), F.try_element_at("near", "resume_id")).alias("mean_cos"),
+            F.when(F.col("possible").isNotNull(), F.least(F.lit(1.0), F.coalesce(F.get("earned", "slot"), F.lit(0.0)) / F.col("possible"))).alias("skill_recall"),  # sums may differ in the last bit
+            F.when(F.col("parsed_count").isNotNull(), skill_confidence(F.col("parsed_count"), c)).alias("skill_confidence"),
+            F.coalesce("parsed_count", F.lit(0)).cast("long").alias("parsed_count"), F.col("parsed_count").isNull().alias("skills_unparsed"),
+        )
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 def with_skill_names(matches: DataFrame, asked: DataFrame, resume_skills: DataFrame) -> DataFrame:
@@ -266,7 +290,10 @@ def score_all(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, skills
         scored = skill_recall(asked, resume_skills, pairs, c).join(cosines.hint("merge"), ["resume_id", "job_id"], "left")
     scored = scored.withColumn("semantic_score", rescale_clamp(F.col("mean_cos"), c.cos_lo, c.cos_hi)).withColumn("multiplier", experience_multiplier(F.col("required_years"), F.col("candidate_years")))
     scored = scored.withColumn("overall", overall_score(F.col("skill_recall"), F.col("skill_confidence"), F.col("semantic_score"), F.col("multiplier"), c))
-    r4 = lambda name: F.round(name, 4)
+    # by way of a generator, so that a filter on the score does not take all that it is made of in once more for each time it is named
+    made = ["overall", "semantic_score", "multiplier"]
+    scored = scored.select(*(x for x in scored.columns if x not in made), F.inline(F.array(F.struct(*made))))
+    r4 = lambda x: round4(F.col(x) if isinstance(x, str) else x)
     scored = scored.select(
         "resume_id", "job_id", r4("overall").alias("overall_score"), r4("semantic_score").alias("semantic_score"),
         r4(F.col("skill_recall") * F.col("skill_confidence")).alias("skill_score"), r4("skill_recall").alias("skill_recall"), r4("skill_confidence").alias("skill_confidence"),

@@ -15,6 +15,16 @@ def _scored(spark: SparkSession, d: str, names: bool = False) -> DataFrame:
     return score.score_all(m.resumes(spark, d), m.jobs(spark, d), m.job_skills(spark, d), m.skills(spark, d), m.resume_skills(spark, d), m.chunks(spark, d), m.resume_vectors(spark, d), m.CONFIG, names)
 
 
+def _some(spark: SparkSession, d: str) -> DataFrame:
+    """The same for one posting in rank.SOME."""
+    few = rank.some_postings
+    return score.score_all(m.resumes(spark, d), few(m.jobs(spark, d)), few(m.job_skills(spark, d)), m.skills(spark, d), m.resume_skills(spark, d), few(m.chunks(spark, d)), m.resume_vectors(spark, d), m.CONFIG, False)
+
+
+def _best(spark: SparkSession, d: str, most: int = 20) -> DataFrame:
+    return rank.top_ranked(_scored(spark, d), most, _some(spark, d))
+
+
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     return score.active_job_skills(m.job_skills(spark, d), m.skills(spark, d))
 
@@ -24,7 +34,7 @@ def _top(spark: SparkSession, d: str, most: int = 20) -> tuple[DataFrame, DataFr
 
     The best are few, and written: every table is brought down to what concerns them before it is joined.
     """
-    top = keep(rank.top_ranked(_scored(spark, d), most), "top")
+    top = keep(_best(spark, d, most), "top")
     asked = keep(_asked(spark, d).join(F.broadcast(top.select("job_id").distinct()), "job_id", "left_semi"), "asked")
     skills = keep(asked.select("skill_id", "name").distinct(), "skills")
     held = keep(m.resume_skills(spark, d).join(F.broadcast(skills), "skill_id"), "held")
@@ -33,7 +43,7 @@ def _top(spark: SparkSession, d: str, most: int = 20) -> tuple[DataFrame, DataFr
 
 def flagship_rank(spark: SparkSession, d: str) -> DataFrame:
     """The 20 best postings of every profile in either bucket."""
-    top = rank.top_ranked(_scored(spark, d), 20)
+    top = _best(spark, d)
     return top.select("resume_id", "job_id", "rank", "skills_unparsed", F.round("overall_score", 3).alias("overall_score"), "parsed_count", "tier")
 
 
@@ -68,17 +78,17 @@ def evidence_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_bands(spark: SparkSession, d: str) -> DataFrame:
-    titled = _scored(spark, d).join(m.jobs(spark, d).select("job_id", "title"), "job_id")
+    titled = _scored(spark, d).hint("merge").join(m.jobs(spark, d).select("job_id", "title"), "job_id")
     return report.score_bands(titled, F.col("title") == "1-URGENT").select("band", "n", F.round("share_of_class", 6).alias("share_of_class"))
 
 
 def match_cards(spark: SparkSession, d: str) -> DataFrame:
-    cards = rank.match_cards(rank.top_ranked(_scored(spark, d), 20), m.jobs(spark, d), ("title",))
+    cards = rank.match_cards(_best(spark, d), m.jobs(spark, d), ("title",))
     return cards.select("resume_id", "job_id", "rank", "skills_unparsed", "title", rank.thin_evidence(F.col("parsed_count"), F.col("skills_unparsed")).alias("thin"))
 
 
 def second_page(spark: SparkSession, d: str) -> DataFrame:
-    return rank.page(rank.min_score(_scored(spark, d), 0.3), 10, 10, 5, 0).select("resume_id", "job_id", "skills_unparsed", "rank", "total")
+    return rank.page(rank.min_score(_scored(spark, d), 0.3), 10, 10, 5, 0, rank.min_score(_some(spark, d), 0.3)).select("resume_id", "job_id", "skills_unparsed", "rank", "total")
 
 
 def requirements_split(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +116,7 @@ def explanations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    return explain.score_breakdown(rank.top_ranked(_scored(spark, d), 20))
+    return explain.score_breakdown(_best(spark, d))
 
 
 def job_detail(spark: SparkSession, d: str) -> DataFrame:
