@@ -273,7 +273,8 @@ def _visit(nodes: DataFrame, front: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["q", "id", "s"])
 
-    none = lambda t: F.lit(None).cast(t)
+    # lists are empty, not null: Spark goes through the null ones of a batch again for each row that it adds
+    none = lambda t: (F.array() if t.startswith("array") else F.lit(None)).cast(t)
     kinds = {"tos": "array<long>", "codes": "array<binary>", "scales": "array<float>"}
     visits = front.select("at", "q", F.col("qvec").cast("array<float>").alias("qvec"), "worst", *(none(t).alias(c) for c, t in kinds.items()))
     both = nodes.select("at", none("long").alias("q"), none("array<float>").alias("qvec"), none("double").alias("worst"), *kinds).unionByName(visits)
