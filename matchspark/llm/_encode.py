@@ -5,9 +5,10 @@ of white space before anything else gives up its last character to what follows,
 so these are boundaries of its matches whatever stands around them: before a
 white-space character that follows none, and before the last white-space
 character of a run. A text whose spaces all stand at such places is cut at its
-spaces, any other one by a pattern that finds the places. Each distinct piece is
-encoded once while it is remembered; pieces are compared as strings. Arrow splits
-a block of texts and numbers its distinct pieces, so only those meet Python.
+spaces, any other one by a pattern that finds the places. Arrow splits a block
+of texts and numbers its distinct pieces, so only those meet Python. They are
+encoded one by one, and remembered as strings, or joined again and encoded in
+one call: the only token of a piece that begins with a space is its first.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ _WHITE_RE2 = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 _INSIDE = f"[{_WHITE_RE2}] (?:[{_WHITE_RE2}]|$)"
 #: Characters after which a long text is cut at the next boundary, and bytes of texts that go through together.
 STRETCH, BLOCK = 1 << 18, 1 << 21
+#: Where pieces are joined: how many at once, and bytes of texts whose distinct pieces are.
+JOINED, JOINED_BLOCK = 4096, 1 << 24
 
 
 def is_white(piece: str) -> bool:
@@ -52,10 +55,12 @@ def stretches(text: str) -> Iterator[str]:
 class PieceEncoder:
     """Ids of texts by ``encode``, which takes one piece. Pieces of up to ``longest`` characters are remembered, of ``most`` in all.
 
-    Texts that hold one of ``apart`` go to ``encode_whole`` as they are.
+    Texts that hold one of ``apart`` go to ``encode_whole`` as they are. Where ``encode_joined`` is given, with a mark
+    of the ids whose token begins with a space, it takes what follows a space, joined, and nothing of that is remembered.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], apart: tuple[str, ...] = (), encode_whole: Callable[[str], list[int]] | None = None, most: int = 4_000_000, longest: int = 64):
+    def __init__(self, encode: Callable[[str], list[int]], apart: tuple[str, ...] = (), encode_whole: Callable[[str], list[int]] | None = None, most: int = 4_000_000, longest: int = 64, encode_joined: Callable[[str], list[int]] | None = None, spaced: np.ndarray | None = None):
+        self.encode_joined, self.spaced = encode_joined, spaced
         self.encode, self.apart, self.encode_whole = encode, apart, encode_whole
         self.most, self.longest, self.held = most, longest, 0
         self.known: dict[str, bytes] = {}
@@ -64,14 +69,19 @@ class PieceEncoder:
     def rows(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of rows: the first row, all ids, and where those of each row begin (with an end). Null: empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
-        at = 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK, side="right")))
-            yield at, *self._block(texts.slice(at, to - at))
-            at = to
-
-    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        for at, to in _runs(texts, JOINED_BLOCK if self.encode_joined else BLOCK):
+            part = texts.slice(at, to - at)
+            flat, count, which, bounds = self._numbered(part)
+            begin = np.cumsum(count) - count
+            for low, high in _runs(part, BLOCK):
+                own = which[bounds[low] : bounds[high]]
+                n = count[own]
+                ends = np.cumsum(n)
+                ids = flat[np.repeat(begin[own] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+                yield at + low, ids, np.append(0, ends)[bounds[low : high + 1] - bounds[low]]
+
+    def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct pieces one after the other, how many each has, the numbers of the pieces of all texts, and where those of each text begin (with an end)."""
         if 2 * self.held > self.most:
             self.known, self.before, self.held = {}, self.known, 0
         odd = pc.match_substring_regex(texts, _INSIDE)
@@ -83,16 +93,36 @@ class PieceEncoder:
         parts = split.flatten()
         numbered = parts.dictionary_encode()
         first = _strings(parts.take(pa.array(bounds[:-1])))
-        raw = self._after_space(_strings(numbered.dictionary))
-        raw += [alone[i] if i in alone else self._cut(x) for i, x in enumerate(first)]
-        which = numbered.indices.to_numpy().astype(np.int64)
+        flat, count = self._joined(numbered.dictionary) if self.encode_joined else _flat(self._after_space(_strings(numbered.dictionary)))
+        begun, more = _flat([alone[i] if i in alone else self._cut(x) for i, x in enumerate(first)])
+        which = numbered.indices.to_numpy().copy()
         which[bounds[:-1]] = len(numbered.dictionary) + np.arange(len(first))  # what begins a text has no space before it
-        count = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        flat, begin = np.frombuffer(b"".join(raw), np.uint32), np.cumsum(count) - count
-        n = count[which]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[which] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return ids, np.append(0, ends)[bounds]
+        return np.concatenate([flat, begun]), np.concatenate([count, more]), which, bounds
+
+    def _joined(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a space and each part, and how many each has. Parts that are empty or hold other white space stand between words, so that no two of them meet."""
+        white = pc.match_substring_regex(parts, f"[{_WHITE_RE2}]|^$").to_numpy(zero_copy_only=False)
+        own, count, at = [np.zeros(0, np.uint32)], np.zeros(len(parts), np.int64), []
+        for rows, filler in ((np.flatnonzero(~white), ""), (np.flatnonzero(white), " a")):
+            texts = _strings(parts.take(pa.array(rows)))
+            for k in range(0, len(rows), JOINED):
+                some = texts[k : k + JOINED]
+                ids = np.array(self.encode_joined("".join([f" {x}{filler}" for x in some])), np.uint32)
+                begin = np.flatnonzero(self.spaced[ids])
+                n = np.diff(np.append(begin, len(ids)))
+                if filler:
+                    ids, n = ids[np.repeat(np.arange(len(n)) % 2 == 0, n)], n[::2]
+                if len(n) != len(some) or begin[0]:
+                    raise ValueError("a piece does not begin with a token of its own")
+                count[rows[k : k + JOINED]] = n
+                own.append(ids)
+                at.append(rows[k : k + JOINED])
+        order = np.concatenate(at) if at else np.zeros(0, np.int64)
+        flat, n = np.concatenate(own), count[order]
+        begin = np.empty(len(parts), np.int64)
+        begin[order] = np.cumsum(n) - n
+        ends = np.cumsum(count)
+        return flat[np.repeat(begin - (ends - count), count) + np.arange(len(flat))], count
 
     def _alone(self, text: str) -> bytes:
         if any(mark in text for mark in self.apart):
@@ -128,5 +158,18 @@ class PieceEncoder:
         return raw
 
 
+def _runs(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about so many bytes, one row at least."""
+    sizes, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, side="right")))
+        yield at, to
+        at = to
+
+
+def _flat(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(raw), np.uint32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+
 def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from matchspark.llm._encode import PieceEncoder
 from matchspark.llm._tables import keep, table
-from matchspark.llm._text import mix
+from matchspark.llm._text import mix, trimmed
 
 DIMS, BITS = 4, 8
 HASHED = 256
@@ -84,7 +84,10 @@ def _encoder(path: str) -> PieceEncoder:
         # one match of the pattern, or two: straight to the model
         return [t.id for part in word.groups() if part for t in model.tokenize(part.encode().decode("latin-1").translate(letters))]
 
-    return PieceEncoder(encode, _special(path), lambda text: tokenizer.encode(text, add_special_tokens=False).ids)
+    begins = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    begins[[i for token, i in tokenizer.get_vocab().items() if token.startswith(letters[0x20])]] = True
+    joined = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    return PieceEncoder(encode, _special(path), lambda text: tokenizer.encode(text, add_special_tokens=False).ids, encode_joined=joined, spaced=begins)
 
 
 @lru_cache(maxsize=2)
@@ -155,7 +158,7 @@ def tokenized(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                 row += n
 
     schema = f"doc_id {kind}, row long, n long, ids binary, " + ", ".join(f"c{i} double" for i in range(DIMS))
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 def with_key(made: DataFrame) -> DataFrame:
@@ -172,7 +175,7 @@ def with_key(made: DataFrame) -> DataFrame:
             key = hilbert_key(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(key)], ["doc_id", "row", "n", "key"])
 
-    return made.select("doc_id", "row", "n", *(f"c{i}" for i in range(DIMS))).mapInArrow(run, f"doc_id {kind}, row long, n long, key long")
+    return made.select("doc_id", "row", "n", *(f"c{i}" for i in range(DIMS))).mapInArrow(trimmed(run), f"doc_id {kind}, row long, n long, key long")
 
 
 def placed(keyed: DataFrame) -> DataFrame:
@@ -187,7 +190,7 @@ def placed(keyed: DataFrame) -> DataFrame:
             total = int(ends[-1]) if len(n) else total
 
     order = ["key", F.col("doc_id").asc_nulls_first(), "row"]
-    along = keep(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "n").mapInArrow(run, "row long, within long, n long, part long"), "curve")
+    along = keep(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "n").mapInArrow(trimmed(run), "row long, within long, n long, part long"), "curve")
     totals = sorted((r["part"], r["n"]) for r in along.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row for each partition
     base, bases = 0, []
     for part, n in totals:
@@ -218,7 +221,7 @@ def pack(docs: DataFrame, tokenizer_file: str, sequence: int = SEQUENCE) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int32())), *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 6))], names)
 
     joined = made.select("doc_id", "row", "n", "ids").join(placed(with_key(made)).hint("merge"), "row")
-    return joined.select("doc_id", "n", "ids", "first").mapInArrow(cut, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
+    return joined.select("doc_id", "n", "ids", "first").mapInArrow(trimmed(cut), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

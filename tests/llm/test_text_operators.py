@@ -101,6 +101,22 @@ def test_remembered_pieces_age(monkeypatch):
         assert ids_of_rows(small, [text, "alpha"]) == [bpe(text), bpe("alpha")]
 
 
+def test_packing_joins_pieces_and_remembers_few(monkeypatch):
+    tok, encoder = own_tokenizer(), packing._encoder.__wrapped__(VOCAB)
+    calls = []
+    once = encoder.encode_joined
+    encoder.encode_joined = lambda text: calls.append(text) or once(text)
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdeé'1&") for _ in range(rnd.randint(1, 9)))
+    texts = ["".join(word() + rnd.choice([" ", " ", "\n", "  ", " \n", "\u00a0 "]) for _ in range(400)) + "z" for _ in range(20)] + ["", " ", "\n", "a ", "a \n", None]
+    for size in (1 << 24, 3000):
+        monkeypatch.setattr(_encode, "JOINED_BLOCK", size)
+        monkeypatch.setattr(_encode, "JOINED", 1000 if size > 3000 else 7)
+        assert ids_of_rows(encoder, texts) == [tok(t or "") for t in texts]
+        if size > 3000:
+            assert len(calls) < 20 and len(encoder.known) < 100
+
+
 def test_bpe_of_odd_rows(spark):
     docs = odd_docs(spark)
     out = byte_bpe.round_trip(docs, RANKS, P.PATTERN).collect()
