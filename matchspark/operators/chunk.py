@@ -23,7 +23,7 @@ _CUT, _OPENS = "\u0001", "\u0002"
 
 
 def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def _n_words(x: Column) -> Column:
@@ -37,7 +37,7 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")
+    out = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]{2,}|\t", " ")
     return _strip(F.regexp_replace(out, "\n{3,}", "\n\n"))
 
 
@@ -53,10 +53,12 @@ def is_heading(line: Column) -> Column:
 
 def split_blocks(text: Column) -> Column:
     """Array of (body, opens): paragraphs, cut again before heading lines; opens marks a block that begins a section."""
-    paragraphs = F.filter(F.split(F.translate(text, _CUT + _OPENS, ""), r"\n\s*\n"), lambda p: _strip(p) != "")
+    # a mark in the input is rare, and looking for it cheaper than taking it out
+    plain = F.when(text.rlike(f"[{_CUT}{_OPENS}]"), F.translate(text, _CUT + _OPENS, "")).otherwise(text)
+    paragraphs = F.filter(F.split(plain, r"\n\s*\n"), lambda p: p.rlike(r"\S"))
     # a mark before each line that begins a block, then one split at the marks
     marked = F.transform(paragraphs, lambda p: F.array_join(F.transform(F.split(p, "\n"), lambda x, i: F.concat(F.when(is_heading(x), _CUT + _OPENS).when(i == 0, _CUT).otherwise("\n"), x)), ""))
-    blocks = F.transform(F.split(F.array_join(marked, ""), _CUT), lambda b: F.struct(_strip(F.translate(b, _OPENS, "")).alias("body"), b.startswith(_OPENS).alias("opens")))
+    blocks = F.transform(F.split(F.array_join(marked, ""), _CUT), lambda b: F.struct(_strip(F.when(b.startswith(_OPENS), F.substr(b, F.lit(2))).otherwise(b)).alias("body"), b.startswith(_OPENS).alias("opens")))
     return F.filter(blocks, lambda b: b["body"] != "")
 
 
@@ -122,5 +124,5 @@ def chunk_jobs(jobs: DataFrame, chunks: DataFrame | None = None, text: str = "de
     # blank texts are found as they came, so that nothing is cleaned twice
     rows = todo.where(F.col(text).rlike(r"\S")).select("job_id", split_blocks(clean_text(F.col(text))).alias("b"))
     parts = F.flatten(F.transform("b", lambda b: F.transform(split_oversized(b["body"]), lambda p, i: _counted(p, b["opens"] & (i == 0)))))
-    rows = rows.select("job_id", merge_short(pack_chunks(parts)).alias("c"))
-    return rows.select("job_id", F.posexplode("c").alias("chunk_index", "text"))
+    # exploded as it is made: from a column of its own Spark would infer a filter on its size, and make all passages twice
+    return rows.select("job_id", F.posexplode(merge_short(pack_chunks(parts))).alias("chunk_index", "text"))

@@ -7,23 +7,30 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, BATCH = 768, 32
+WIDTH, BATCH, MOST_PLACES = 768, 32, 100_000
+#: Rows whose vectors are held at once.
+VECTORS = 2048
 _TOKEN = re.compile(r"[^\W_]+")
 
 
 def hashed_bag(width: int = WIDTH) -> Callable[[list[str]], list[np.ndarray]]:
     """An embedder without a model: word counts hashed to ``width`` places, at unit length."""
 
+    place: dict[str, int] = {}  # of the tokens of this task; begun anew where they are many
+
     def embed(texts: list[str]) -> list[np.ndarray]:
+        found = [_TOKEN.findall(text.lower()) for text in texts]
+        if len(place) > MOST_PLACES:
+            place.clear()
+        for token in {x for tokens in found for x in tokens}.difference(place):
+            place[token] = zlib.crc32(token.encode()) % width
         out = []
-        for text in texts:
-            v = np.zeros(width, np.float32)
-            for token in _TOKEN.findall(text.lower()):
-                v[zlib.crc32(token.encode()) % width] += 1
+        for tokens in found:
+            v = np.bincount(np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens)), minlength=width).astype(np.float32)
             n = float(np.sqrt((v * v).sum()))
             out.append(v / n if n else v)
         return out
@@ -35,24 +42,31 @@ def embed_table(df: DataFrame, text_col: str, embedder: Callable | None = None,
     """df with a vector of each text, ``batch`` texts a call across rows. Blank texts get null; a wrong count or width is an error."""
     embed = embedder or hashed_bag(width)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            texts = [(i, t) for i, t in enumerate(pdf[text_col].tolist()) if t is not None and t.strip()]
-            found: list = [None] * len(pdf)
-            for at in range(0, len(texts), batch):
-                part = texts[at : at + batch]
-                vectors = embed([t for _, t in part])
-                if len(vectors) != len(part):
-                    raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
-                for (i, _), v in zip(part, vectors):
-                    if len(v) != width:
-                        raise ValueError(f"a vector of width {len(v)}, not {width}")
-                    found[i] = [float(x) for x in v]
-            pdf[out_col] = found
-            yield pdf
+    at, names = df.columns.index(text_col), [*df.columns, out_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for low in range(0, rows.num_rows, VECTORS):
+                part = rows.slice(low, VECTORS)
+                texts = part.column(at).to_pylist()
+                full = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+                made = np.zeros((len(full), width), np.float32)
+                for k in range(0, len(full), batch):
+                    some = [texts[i] for i in full[k : k + batch]]
+                    vectors = embed(some)
+                    if len(vectors) != len(some):
+                        raise ValueError(f"{len(vectors)} vectors for {len(some)} texts")
+                    for i, v in enumerate(vectors):
+                        if len(v) != width:
+                            raise ValueError(f"a vector of width {len(v)}, not {width}")
+                        made[k + i] = v
+                given = np.zeros(len(texts), bool)
+                given[full] = True
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(given) * width), pa.int32()), pa.array(made.reshape(-1)), mask=pa.array(~given))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{schema}, {out_col} array<float>")
+    return df.mapInArrow(run, f"{schema}, {out_col} array<float>")
 
 
 def check_vectors(df: DataFrame, key: list[str], vec: str = "vec", width: int = WIDTH) -> DataFrame:

@@ -91,7 +91,7 @@ def estimated_tokens(spark: SparkSession, d: str) -> DataFrame:
 def passage_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Passages of every document through the default embedder, and their squared lengths."""
     made = embed.embed_table(chunk.chunk_jobs(_jobs(spark, d)), "text")
-    length = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    length = F.aggregate(F.array_remove("vec", 0.0), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return made.select("job_id", "chunk_index", F.size("vec").alias("width"), F.round(length, 3).alias("squared"))
 
 

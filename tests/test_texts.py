@@ -226,3 +226,22 @@ def test_chunking_follows_the_length_of_a_block(spark):
 
     seconds(100)
     assert seconds(6400) < 8 * seconds(400)
+
+
+def test_passages_are_made_once(spark):
+    """A filter on the size of the passages would make them twice."""
+    jobs = spark.createDataFrame([("a", "Intro\n\nSkills:\nspark\n"), ("b", "\x01x\x02 y\t z  w ")], "job_id string, description string")
+    out = chunk.chunk_jobs(jobs)
+    assert not re.search(r"Filter .*\bsize\(", out._jdf.queryExecution().optimizedPlan().toString())
+    assert [(r.job_id, r.text) for r in out.orderBy("job_id").collect()] == [("a", "Intro\n\nSkills:\nspark"), ("b", "x y z w")]
+
+
+def test_vectors_of_a_batch(spark):
+    """Whole numbers of tokens, blank rows null, and what a caller's embedder gives as lists."""
+    rows = [(i, None if i % 7 == 0 else " " if i % 5 == 0 else f"word{i % 3} Word{i % 3} other") for i in range(3000)]
+    out = embed.embed_table(spark.createDataFrame(rows, "i int, t string").coalesce(1), "t", width=16).orderBy("i").collect()
+    for r in out:
+        if r.t is None or not r.t.strip():
+            assert r.vec is None
+        else:
+            assert abs(sum(x * x for x in r.vec) - 1) < 1e-5 and len(r.vec) == 16
