@@ -35,6 +35,8 @@ QUALIFIERS = (
 S1, S2, H1, H2 = "\u0001", "\u0002", "\u0003", "\u0004"
 #: Surface forms up to which their tables are broadcast; beyond, joins shuffle.
 MOST_BROADCAST = 500_000
+#: First pieces of forms up to which a task tests a place by a set of them before it makes a row of it.
+MOST_IN_SET = 4000
 #: A piece of a text: a run of what names are made of, or any other character.
 PIECE = r"(?s)\x03?[A-Za-z0-9+#]+|[^\x03]"
 _NAMING = r"[A-Za-z0-9+#]"
@@ -54,7 +56,9 @@ def split_sections(text: Column) -> Column:
     names = sorted(PREFERRED_MARKERS + REQUIRED_MARKERS, key=len, reverse=True)
     # Fixed value: how a section opens.
     opening = r"(?i)(?:^|\n)[ \t]*(?:[-*•\d.)\s]{0,4})?(" + "|".join(re.escape(m).replace("\\ ", " ") for m in names) + r")(?![\p{L}\p{N}_])[ \t]*:?"
-    clean = F.translate(F.coalesce(text, F.lit("")), S1 + S2 + H1 + H2, "")
+    given = F.coalesce(text, F.lit(""))
+    # a mark in the input is rare, and looking for it cheaper than taking it out
+    clean = F.when(given.rlike(f"[{S1}{S2}{H1}{H2}]"), F.translate(given, S1 + S2 + H1 + H2, "")).otherwise(given)
     pieces = F.split(F.regexp_replace(clean, opening, f"{S1}$1{S2}"), S1)
 
     def span(piece: Column, i: Column) -> Column:
@@ -76,7 +80,8 @@ def guard_marks(span: Column) -> Column:
     as the text.
     """
     names = "|".join(re.escape(x) for x in sorted(SHORT + AMBIGUOUS, key=len, reverse=True))
-    parts = F.split(F.regexp_replace(span, rf"(?i)(?<![A-Za-z0-9+#.])({names})(?![A-Za-z0-9+#])", f"{H1}$1{H2}"), H1)
+    firsts = "".join(sorted({x[0] for x in SHORT + AMBIGUOUS} | {x[0].upper() for x in SHORT + AMBIGUOUS}))
+    parts = F.split(F.regexp_replace(span, rf"(?=[{firsts}])(?<![A-Za-z0-9+#.])((?i:{names}))(?![A-Za-z0-9+#])", f"{H1}$1{H2}"), H1)
 
     def marked(p: Column) -> Column:
         plain = lambda i: F.translate(F.coalesce(F.get(p, i), F.lit("")), H2, "")
@@ -84,7 +89,7 @@ def guard_marks(span: Column) -> Column:
         def one(part: Column, i: Column) -> Column:
             name, rest = F.substring_index(part, H2, 1), F.substring_index(part, H2, -1)
             counts = evidence_guard(name, plain(i - 1), F.concat(rest, plain(i + 1)))
-            return F.when(i == 0, part).otherwise(F.concat(F.when(counts, "").otherwise(H1), name, rest))
+            return F.when(i == 0, part).otherwise(F.concat(F.when(counts, "").otherwise(H1), F.translate(part, H2, "")))
 
         return F.when(F.size(p) == 1, span).otherwise(F.array_join(F.transform(p, one), ""))
 
@@ -123,11 +128,14 @@ def match_surfaces(spans: DataFrame, index: DataFrame) -> DataFrame:
     sent = (lambda df: F.broadcast(df)) if facts["n"] <= MOST_BROADCAST else (lambda df: df.hint("merge"))
     first = known.select(_first_key(F.col("_p"), F.get("_p", F.lit(0)), F.lit(0)).alias("key"), "k").groupBy("key").agg(F.sort_array(F.collect_set("k")).alias("ks"))
 
+    some = [r["key"] for r in first.select("key").limit(MOST_IN_SET + 1).collect()]
+    wanted = (lambda key: key.isin(some)) if len(some) <= MOST_IN_SET else (lambda key: F.lit(True))
+
     def starts(p: Column) -> Column:
         def place(x: Column, i: Column) -> Column:
             before = F.coalesce(F.get(p, i - 1), F.lit(" "))
             # blanks are most of the other pieces; a run is never next to a run
-            begins = (x != " ") & (before != ".") & (x.rlike(_NAMING) | (~before.rlike(_NAMING) & ~x.rlike(r"^\s$")))
+            begins = (x != " ") & wanted(_first_key(p, x, i)) & (before != ".") & (x.rlike(_NAMING) | (~before.rlike(_NAMING) & ~x.rlike(r"^\s$")))
             return F.when(begins, F.struct(i.alias("pos"), _first_key(p, x, i).alias("key"), F.slice(p, i + 1, F.lit(most + 1)).alias("here")))
 
         places = F.transform(p, place)
@@ -136,7 +144,8 @@ def match_surfaces(spans: DataFrame, index: DataFrame) -> DataFrame:
     pieces = _pieces(F.lower(guard_marks(F.col("span"))))
     places = spans.select("job_id", "section", "level", F.explode(let(pieces, starts)).alias("s")).select("job_id", "section", "level", "s.*")
     met = places.join(sent(first), "key")
-    here = lambda k: F.translate(F.array_join(F.slice("here", F.lit(1), k), ""), H1, "")
+    joined = lambda k: F.array_join(F.slice("here", F.lit(1), k), "")
+    here = lambda k: let(joined(k), lambda x: F.when(x.contains(H1), F.translate(x, H1, "")).otherwise(x))
     # a form that ends in another character than those of names ends before such a one
     ends = lambda k: (F.size("here") >= k) & (F.get("here", k - 1).rlike(_NAMING) | ~F.coalesce(F.get("here", k), F.lit(" ")).rlike(_NAMING))
     tried = F.transform(F.filter("ks", ends), lambda k: F.struct(k.alias("k"), here(k).alias("surface")))
@@ -167,11 +176,17 @@ def _without_overlaps(hits: DataFrame) -> DataFrame:
 def evidence_guard(surface: Column, left: Column, right: Column) -> Column:
     """Whether a hit counts: guarded surfaces need list punctuation or a qualifier beside them, and no ``&`` or quote."""
     guarded = F.lower(surface).isin(*SHORT, *AMBIGUOUS)
-    bound = F.coalesce(left.rlike(r"[&'’]$"), F.lit(False)) | right.rlike(r"^[&'’]")
-    words = "|".join(QUALIFIERS)
-    listed = left.rlike(r"[,;/|(\[{•\-–—\n\t][ \t]*$") | right.rlike(r"^[ \t]*[,;/|)\]}•\n\t]")
-    named = right.rlike(rf"(?i)^[ \t]*(?:{words})(?![A-Za-z0-9.+#_-])") | left.rlike(rf"(?i)(?:^|[^A-Za-z0-9.+#_-])(?:{words})[^A-Za-z0-9.+#_-]*$")
-    return ~guarded | (~bound & (listed | named))
+    words, back = "|".join(QUALIFIERS), "|".join(x[::-1] for x in QUALIFIERS)
+    end = r"^(?:\n\r|[\n\r\x85\u2028\u2029])?"  # the left side is read from its end, which a line's end may follow
+
+    def told(both: Column) -> Column:
+        left, right = both["left"], both["right"]
+        bound = F.coalesce(left.rlike(end + r"[&'’]"), F.lit(False)) | right.rlike(r"^[&'’]")
+        listed = left.rlike(end + r"[ \t]*[,;/|(\[{•\-–—\n\t]") | right.rlike(r"^[ \t]*[,;/|)\]}•\n\t]")
+        named = right.rlike(rf"(?i)^[ \t]*(?:{words})(?![A-Za-z0-9.+#_-])") | left.rlike(rf"(?i)^[^A-Za-z0-9.+#_-]*(?:{back})(?:[^A-Za-z0-9.+#_-]|\z)")
+        return ~bound & (listed | named)
+
+    return ~guarded | let(F.struct(F.reverse(left).alias("left"), right.alias("right")), told)
 
 
 def extract_skills(jobs: DataFrame, index: DataFrame, text: str = "text") -> DataFrame:

@@ -76,3 +76,10 @@ def test_odd_spans(spark):
     out = extract.extract_skills(jobs, index).collect()
     assert sorted((r.job_id, r.name) for r in out) == [(3, "SQL"), (4, "SQL")]
     assert extract.extract_skills(jobs.where(F.lit(False)), index).count() == 0
+
+
+def test_evidence_before_a_line_end(spark):
+    """The left side is read from its end, past a line's end there, as far as it goes."""
+    rows = [("Go", "&\n", "", False), ("go", "R&D, ", "", True), ("R", "programming" + " " * 300, "", True), ("r", "xprogramming ", "", False), ("r", "programming\r\n", "", True), ("java", "", "", True), ("go", "", " lang", True), ("go", "x", "' lang", False)]
+    got = spark.createDataFrame(rows, "s string, l string, r string, want boolean").select(extract.evidence_guard(F.col("s"), F.col("l"), F.col("r")).alias("x"), "want").collect()
+    assert [r.x for r in got] == [r.want for r in got]
