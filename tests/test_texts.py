@@ -245,3 +245,10 @@ def test_vectors_of_a_batch(spark):
             assert r.vec is None
         else:
             assert abs(sum(x * x for x in r.vec) - 1) < 1e-5 and len(r.vec) == 16
+
+
+def test_names_cleaned_beforehand(spark):
+    entries = spark.createDataFrame([(1, 1, "Python and SQL", "preferred"), (1, 2, "python", "required"), (1, 3, "...", "required"), (2, 1, "C++/Java", "required"), (2, 2, None, "required")], "job_id int, pos int, name string, requirement string")
+    own = vocabulary.strongest_per_skill(entries)
+    made = entries.select("job_id", "pos", "requirement", vocabulary.cleaned_names(F.col("name")).alias("names"))
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, vocabulary.strongest_per_skill(made).collect()))
