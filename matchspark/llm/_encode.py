@@ -32,7 +32,7 @@ _INSIDE = f"[{_WHITE_RE2}] (?:[{_WHITE_RE2}]|$)"
 #: Characters after which a long text is cut at the next boundary, and bytes of texts that go through together.
 STRETCH, BLOCK = 1 << 18, 1 << 21
 #: Where pieces are joined: how many at once, and bytes of texts whose distinct pieces are.
-JOINED, JOINED_BLOCK = 4096, 1 << 24
+JOINED, JOINED_BLOCK = 4096, 1 << 22
 
 
 def is_white(piece: str) -> bool:

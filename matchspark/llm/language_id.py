@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchspark.llm._tables import table
+from matchspark.llm._text import trimmed
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -111,7 +112,7 @@ def _counted(rows: DataFrame, sizes: dict[str, int], buckets: int, per_lang: int
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
 
-    return rows.where(chosen).select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.where(chosen).select("text", "lang").mapInArrow(trimmed(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def _sums(low: list[str], columns: list[np.ndarray], buckets: int) -> np.ndarray:
@@ -174,7 +175,7 @@ def _pass(rows: DataFrame, langs: list[str], prior: np.ndarray, matrix: np.ndarr
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(own_columns))), pa.array(best, pa.string()), pa.array(log), pa.array(odds), *([] if last else [part.column(part.num_columns - 1)])], names)
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(trimmed(score), schema)
 
 
 def held_out(doc_id: Column) -> Column:

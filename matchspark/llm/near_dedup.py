@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from matchspark.llm._components import components
 from matchspark.llm._tables import drop_kept, keep, table
-from matchspark.llm._text import blocks, mix, sequence_hashes, words
+from matchspark.llm._text import blocks, mix, sequence_hashes, trimmed, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 FUNCTIONS, CHOOSE_FROM = 64, 64
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 longs = [pa.array(x.view(np.int64)) for x in (s1, s2, _bits(low & np.uint32(1)), _bits((low >> np.uint32(1)) & np.uint32(1)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(size), *longs, chosen], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, s1 long, s2 long, a long, b long, values array<int>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, n_shingles long, s1 long, s2 long, a long, b long, values array<int>")
 
 
 def _children(node: Column, values: Column, branches: float) -> Column:
@@ -149,7 +149,7 @@ def candidates(classes: DataFrame, spent: list[DataFrame]) -> DataFrame:
         drop_kept(stepped)
         spent += [sizes, sized]
         small = sized.where(F.col("n") <= SMALL)
-        edges = small.select("node", "doc_id", "a", "b").repartition("node").sortWithinPartitions("node").mapInArrow(_compare, "a long, b long")
+        edges = small.select("node", "doc_id", "a", "b").repartition("node").sortWithinPartitions("node").mapInArrow(trimmed(_compare), "a long, b long")
         at = sized.where(F.col("n") > SMALL).select("doc_id", "node")
         if depth == DEPTH:
             least = keep(at.groupBy("node").agg(F.min("doc_id").alias("b")), "heads")
@@ -305,7 +305,7 @@ def _in_blocks(rows: DataFrame, keys: list[str], shingle: int, links) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("visits"))
-    return dealt.select(*keys, "visits", "label", "doc_id", "text").mapInArrow(search, "a long, b long")
+    return dealt.select(*keys, "visits", "label", "doc_id", "text").mapInArrow(trimmed(search), "a long, b long")
 
 
 def _block_of(seed: int) -> Column:

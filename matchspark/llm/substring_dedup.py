@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchspark.llm._tables import drop_kept, keep, table
-from matchspark.llm._text import blocks, sequence_hashes, words
+from matchspark.llm._text import blocks, sequence_hashes, trimmed, words
 
 K, M = 20, 6
 #: A minimiser's share of all paths from which it is crowded, and rows at least; rows of a partition from which it is reported; minimisers that a partition's sketch holds.
@@ -175,7 +175,7 @@ def crowded_minimisers(docs: DataFrame, k: int = K, m: int = M) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([*key[many].view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(n[many], total))], ["h", "n"])
 
     # the sums stay in Spark; only minimisers beyond the limit, about 1 / SHARE at most, come to the driver
-    counts = keep(docs.select("doc_id", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "minimisers")
+    counts = keep(docs.select("doc_id", "text").mapInArrow(trimmed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "minimisers")
     total = counts.where("h is null").agg(F.sum("n").alias("n")).first()["n"] or 0
     found = counts.where(F.col("h").isNotNull() & (F.col("n") > max(LEAST, int(total * SHARE)))).select("h").collect()
     drop_kept(counts)
@@ -204,7 +204,7 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
             yield from _combined(*_paths_of_batch(batch, sent.value, k, m))
 
     by_minimiser = Window.partitionBy("h")
-    dealt = _with_source(rows.mapInArrow(paths, _SCHEMA).repartition("h"))
+    dealt = _with_source(rows.mapInArrow(trimmed(paths), _SCHEMA).repartition("h"))
     found = keep(dealt.withColumn("branching", F.min("c").over(by_minimiser) != F.max("c").over(by_minimiser)).where("from_doc is not null or branching").select("h", *_SPAN), "paths")
     spans = keep(_long_spans(found.where("from_doc is not null").select(*_SPAN)), "spans")
     opened = keep(_opened(rows, found.where("from_doc is null"), spans, k), "opened")
@@ -248,7 +248,7 @@ def _opened(rows: DataFrame, branching: DataFrame, spans: DataFrame, k: int) ->
 
     wanted = branching.select("doc_id", "start", "n", F.lit(True).alias("edge")).unionByName(spans.select(F.col("from_doc").alias("doc_id"), F.col("from_start").alias("start"), "n", F.lit(False).alias("edge")).distinct())
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "edge")).alias("wanted"))
-    return rows.hint("merge").join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(read, _SCHEMA)
+    return rows.hint("merge").join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(trimmed(read), _SCHEMA)
 
 
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
@@ -283,7 +283,7 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*own, "n_words", "n_removed", "kept"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own) + ", n_words long, n_removed long, kept string"
-    return joined.select(*own, "_spans").mapInArrow(strike, schema)
+    return joined.select(*own, "_spans").mapInArrow(trimmed(strike), schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

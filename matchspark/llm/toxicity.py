@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from matchspark.llm._tables import keep as keep_table
 from matchspark.llm._tables import table
-from matchspark.llm._text import blocks, span_hashes, _LOWER, words
+from matchspark.llm._text import _LOWER, blocks, span_hashes, trimmed, words
 
 PER_CLASS = 3000
 #: Weight of the prior, as a multiple of the smaller class's tokens.
@@ -147,7 +147,7 @@ def _tokens(rows: DataFrame) -> DataFrame:
                     token, n = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), label, np.int32)), pa.array(token), pa.array(n)], ["toxic", "token", "n"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, token long, n long")
+    return rows.select("text", "toxic").mapInArrow(trimmed(run), "toxic int, token long, n long")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -232,7 +232,7 @@ def _evidence(rows: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(found)).columns, pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int32())], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, evidence double, n_passages int")
+    return rows.mapInArrow(trimmed(run), f"{schema}, evidence double, n_passages int")
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -257,7 +257,7 @@ def find_passages(docs: DataFrame, model: Model) -> DataFrame:
                 kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, first_word long, end_word long, segment_score double, surprise double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, first_word long, end_word long, segment_score double, surprise double")
 
 
 def held_out(doc_id: Column) -> Column:

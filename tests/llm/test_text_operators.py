@@ -608,3 +608,12 @@ def test_hilbert_neighbours_touch():
     walk = side[np.argsort(key)]
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
+
+
+def test_tasks_of_the_pipeline_give_memory_back(monkeypatch):
+    """After its last batch a task returns what it freed; its rows are untouched."""
+    from matchspark.llm import _text
+
+    calls = []
+    monkeypatch.setattr(_text.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: calls.append(1)})())
+    assert list(_text.trimmed(lambda batches: (b + 1 for b in batches))(iter([1, 2, 3]))) == [2, 3, 4] and calls == [1]
