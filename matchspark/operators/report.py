@@ -79,7 +79,14 @@ def corpus_report(jobs: DataFrame, job_skills: DataFrame) -> DataFrame:
 
 
 def skill_demand(job_skills: DataFrame) -> DataFrame:
-    return job_skills.groupBy("skill_id").agg(F.count_distinct("job_id").alias("n_jobs"))
+    """skill_id, n_jobs: how many distinct postings ask for each skill.
+
+    Pairs are dealt by both keys to all shuffle partitions, unmerged, before any
+    is held: neither a frequent skill nor a large table fills one task.
+    """
+    parts = int(job_skills.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = job_skills.select("skill_id", "job_id").repartition(parts, "skill_id", "job_id").distinct()
+    return pairs.groupBy("skill_id").agg(F.count("job_id").alias("n_jobs"))
 
 
 def demand_change(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -88,6 +95,14 @@ def demand_change(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("skill_id", F.col("b").alias("n_before"), F.col("a").alias("n_after"), (F.col("a") - F.col("b")).alias("change"))
 
 
+def demand_without_inactive(job_skills: DataFrame, skills: DataFrame) -> DataFrame:
+    """demand_change to the vocabulary without its inactive skills: pairs are counted once, and only counts meet the vocabulary."""
+    stays = skills.where("active").select("skill_id").distinct().withColumn("stays", F.lit(True))
+    both = skill_demand(job_skills).hint("merge").join(stays.hint("merge"), "skill_id", "left")
+    n_after = F.when(F.col("stays"), F.col("n_jobs")).otherwise(F.lit(0).cast("long"))
+    return both.select("skill_id", F.col("n_jobs").alias("n_before"), n_after.alias("n_after"), (n_after - F.col("n_jobs")).alias("change"))
+
+
 def score_bands(matches: DataFrame, title_class: Column, width: float = 0.1) -> DataFrame:
     """Ranked matches by score band, with the share whose title is of the class."""
     band = F.floor(F.round(F.col("overall_score") / width, 6)).cast("int")

@@ -43,14 +43,18 @@ def corpus_report(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("mean_skills", "share_none")})
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """A job and part for each line, as often as it stands there."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_partkey").alias("skill_id"))
+
+
 def skill_demand(spark: SparkSession, d: str) -> DataFrame:
-    return report.skill_demand(m.job_skills(spark, d))
+    return report.skill_demand(_lines(spark, d))
 
 
 def demand_change(spark: SparkSession, d: str) -> DataFrame:
     """Demand before and after inactive skills go."""
-    every = m.job_skills(spark, d)
-    return report.demand_change(every, score.active_job_skills(every, m.skills(spark, d)))
+    return report.demand_without_inactive(_lines(spark, d), m.skills(spark, d))
 
 
 def compared_extractions(spark: SparkSession, d: str) -> DataFrame:

@@ -182,3 +182,18 @@ def test_first_rows_are_found_without_sorting_all(spark):
     assert rank.reachable(matches, few, 3).count() < matches.count() / 4
     shown = lambda df: sorted(map(tuple, df.select("resume_id", "job_id", "rank", "total").collect()))
     assert shown(rank.page(matches, 2, 1, some=few)) == shown(rank.page(matches, 2, 1))
+
+
+def test_demand_is_counted_once_and_dealt_out(spark, sf_dir):
+    """Odd pairs and a vocabulary with repeats give what two counts give; the query reads the lines once, and deals a frequent skill to all partitions."""
+    from matchspark import catalog
+
+    pairs = [(j, 1) for j in range(400)] * 2 + [(1, 2), (None, 2), (None, 3), (1, None), (2, None), (3, 4), (3, 4), (5, 6)]
+    lines = spark.createDataFrame(pairs, "job_id long, skill_id long")
+    skills = spark.createDataFrame([(1, True), (1, True), (2, True), (3, False), (4, False), (4, None), (6, None), (9, True), (None, True)], "skill_id long, active boolean")
+    shown = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got = shown(report.demand_without_inactive(lines, skills))
+    assert got == sorted([(1, 400, 400, 0), (2, 1, 1, 0), (3, 0, 0, 0), (None, 2, 0, -2), (4, 1, 0, -1), (6, 1, 0, -1)], key=repr)
+    assert got == shown(report.demand_change(lines, lines.join(skills.where("active"), "skill_id").select("job_id", "skill_id")))
+    plan = catalog.QUERIES["report_demand_change"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_orderkey") and plan.count("lineitem.parquet") == 1 and "REPARTITION_BY_NUM" in plan
