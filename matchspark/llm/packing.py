@@ -23,6 +23,7 @@ read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm._encode import PieceEncoder
+from matchspark.llm._encode import LATIN, MARKS, PieceEncoder
 from matchspark.llm._tables import keep, table
 from matchspark.llm._text import mix, trimmed
 
@@ -44,7 +45,7 @@ HASHED = 256
 SEQUENCE = 1024
 END_ID = 0
 #: A word of Latin letters, and marks after it.
-_WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+_WORD = re.compile(f"( ?[{LATIN}]+)([{MARKS}]*)")
 
 
 @lru_cache(maxsize=2)
@@ -74,6 +75,8 @@ def _byte_letters(path: str) -> dict[int, str]:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> PieceEncoder:
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
     tokenizer, letters = _tokenizer(path), _byte_letters(path)
     model = tokenizer.model
 
@@ -87,7 +90,14 @@ def _encoder(path: str) -> PieceEncoder:
     begins = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
     begins[[i for token, i in tokenizer.get_vocab().items() if token.startswith(letters[0x20])]] = True
     joined = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-    return PieceEncoder(encode, _special(path), lambda text: tokenizer.encode(text, add_special_tokens=False).ids, encode_joined=joined, spaced=begins)
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)["model"]
+    # words as the model has them, one at a time; each is new to it, so that its cache would not be hit
+    told |= {"merges": [tuple(x.split(" ") if isinstance(x, str) else x) for x in told["merges"]], "cache_capacity": 0}
+    bare = Tokenizer(models.BPE(**{k: v for k, v in told.items() if k != "type" and v is not None}))
+    bare.pre_tokenizer = pre_tokenizers.Split(letters[0x20], "merged_with_next")
+    words = lambda text: bare.encode_batch_fast([text.encode().decode("latin-1").translate(letters)], add_special_tokens=False)[0].ids
+    return PieceEncoder(encode, _special(path), lambda text: tokenizer.encode(text, add_special_tokens=False).ids, encode_joined=joined, encode_words=words, spaced=begins)
 
 
 @lru_cache(maxsize=2)

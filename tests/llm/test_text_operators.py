@@ -117,6 +117,25 @@ def test_packing_joins_pieces_and_remembers_few(monkeypatch):
             assert len(calls) < 20 and len(encoder.known) < 100
 
 
+def test_packing_encodes_a_plain_word_once(monkeypatch):
+    """Whatever marks follow it, and in later blocks too; beyond MOST_WORDS, words are encoded again."""
+    tok, encoder = own_tokenizer(), packing._encoder.__wrapped__(VOCAB)
+    seen = Counter()
+    once = encoder.encode_words
+    encoder.encode_words = lambda text: seen.update(text.split()) or once(text)
+    rnd = random.Random(3)
+    words = sorted({"".join(rnd.choice("abcdeéßɏÀ") for _ in range(rnd.randint(1, 9))) for _ in range(300)})
+    texts = [" ".join(rnd.choice(words) + rnd.choice(["", "", ".", ",", "!?", "...", "'s", "1", ".\nAb", "×", "Ġ", "ɐ"]) for _ in range(200)) for _ in range(30)] + ["", " ", " .", " a.", None]
+    monkeypatch.setattr(_encode, "JOINED_BLOCK", 3000)
+    monkeypatch.setattr(_encode, "JOINED", 50)
+    want = [tok(t or "") for t in texts]
+    assert ids_of_rows(encoder, texts) == want
+    assert len(seen) > 250 and max(seen.values()) == 1
+    monkeypatch.setattr(_encode, "MOST_WORDS", 100)
+    assert ids_of_rows(encoder, texts + texts) == want + want
+    assert len(encoder.words) <= len(words) + 1 and max(seen.values()) > 1
+
+
 def test_bpe_of_odd_rows(spark):
     docs = odd_docs(spark)
     out = byte_bpe.round_trip(docs, RANKS, P.PATTERN).collect()
