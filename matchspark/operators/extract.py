@@ -151,7 +151,8 @@ def match_surfaces(spans: DataFrame, index: DataFrame) -> DataFrame:
     tried = F.transform(F.filter("ks", ends), lambda k: F.struct(k.alias("k"), here(k).alias("surface")))
     tried = met.select("job_id", "section", "level", "pos", F.get("here", F.lit(0)).startswith(H1).alias("unproven"), F.explode(tried).alias("t")).select("job_id", "section", "level", "pos", "unproven", "t.*")
     hits = tried.join(sent(known.select("surface", "skill_id", "name")), "surface")
-    hits = _without_overlaps(hits)
+    # dealt once by posting: the windows and sums that follow are all within one, and find their rows where they are
+    hits = _without_overlaps(hits.repartition("job_id"))
     return hits.where(~((F.col("k") == 1) & F.col("unproven") & F.col("surface").isin(*SHORT, *AMBIGUOUS))).drop("k", "unproven")
 
 

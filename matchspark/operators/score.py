@@ -34,6 +34,8 @@ MOST_BROADCAST = 20_000
 MOST_IN_ROW = 500
 #: Profiles whose sums stand in one row; their holders are bits of a long.
 IN_SUMS = 64
+#: Skills that some profile holds up to which the holders are sent to every task; more are joined by a shuffle.
+MOST_HELD = 100_000
 #: Cosines that one matrix product makes at most.
 BLOCK_CELLS = 1 << 21
 
@@ -143,8 +145,9 @@ def _pairs_in_rows(resumes: DataFrame, own: DataFrame, asked: DataFrame, resume_
     posting asks for is summed once, for each of up to IN_SUMS profiles in a
     column of its own; its pairs are made from that row, so none is shuffled,
     sorted or held and no function is called for a pair and skill. More profiles
-    go in further passes.
+    go in further passes. Other columns of ``own`` stay with its pairs.
     """
+    carried = [x for x in own.columns if x not in ("job_id", "required_years")]
     profiles = resumes.select("resume_id", "candidate_years").collect()  # at most MOST_IN_ROW
     place = {x: i for i, x in enumerate(dict.fromkeys(r["resume_id"] for r in profiles if r["resume_id"] is not None))}
     kind = {f.name: f.dataType.simpleString() for f in resumes.select("resume_id", "candidate_years").schema}
@@ -157,16 +160,17 @@ def _pairs_in_rows(resumes: DataFrame, own: DataFrame, asked: DataFrame, resume_
         rows = [(r["resume_id"], r["candidate_years"], None if r["resume_id"] is None else place[r["resume_id"]] % IN_SUMS) for r in some]
         given = own.sparkSession.createDataFrame(rows, f"resume_id {kind['resume_id']}, candidate_years {kind['candidate_years']}, slot int")
         bits = F.broadcast(given.where("slot is not null").select("resume_id", F.expr("shiftleft(1L, slot)").alias("bit")).distinct())
-        holders = resume_skills.join(bits, "resume_id").groupBy("skill_id").agg(F.bit_or("bit").alias("bits"))
+        holders = keep(resume_skills.join(bits, "resume_id").groupBy("skill_id").agg(F.bit_or("bit").alias("bits")), "holders")
+        holders = F.broadcast(holders) if holders.count() <= MOST_HELD else holders.hint("merge")
         earned = [F.sum(F.when(F.col("bits").bitwiseAND(F.lit(int(np.uint64(1 << i).view(np.int64)))) != 0, F.col("w")).otherwise(0.0)) for i in range(min(IN_SUMS, max(1, len(place))))]
         # dealt while rows are short: sums go nowhere any more
-        dealt = weighed.hint("merge").join(holders.hint("merge"), "skill_id", "left").select("job_id", "w", F.coalesce("bits", F.lit(0)).alias("bits")).repartition("job_id")
+        dealt = weighed.join(holders, "skill_id", "left").select("job_id", "w", F.coalesce("bits", F.lit(0)).alias("bits")).repartition("job_id")
         totals = dealt.groupBy("job_id").agg(F.sum("w").alias("possible"), F.count(F.lit(1)).alias("parsed_count"), F.array(*earned).alias("earned"))
         every = given.agg(F.collect_list(F.struct("resume_id", "candidate_years", "slot")).alias("every"))
         both = own.hint("merge").join(totals, "job_id", "left").hint("merge").join(near, "job_id", "left").crossJoin(F.broadcast(every))
-        pairs = both.select("job_id", "required_years", "possible", "parsed_count", "earned", "near", F.inline("every"))
+        pairs = both.select("job_id", "required_years", *carried, "possible", "parsed_count", "earned", "near", F.inline("every"))
         made = pairs.select(
-            "resume_id", "job_id", "required_years", "candidate_years", F.when(F.col("near").isNotNull(), F.try_element_at("near", "resume_id")).alias("mean_cos"),
+            "resume_id", "job_id", "required_years", *carried, "candidate_years", F.when(F.col("near").isNotNull(), F.try_element_at("near", "resume_id")).alias("mean_cos"),
             F.when(F.col("possible").isNotNull(), F.least(F.lit(1.0), F.coalesce(F.get("earned", "slot"), F.lit(0.0)) / F.col("possible"))).alias("skill_recall"),  # sums may differ in the last bit
             F.when(F.col("parsed_count").isNotNull(), skill_confidence(F.col("parsed_count"), c)).alias("skill_confidence"),
             F.coalesce("parsed_count", F.lit(0)).cast("long").alias("parsed_count"), F.col("parsed_count").isNull().alias("skills_unparsed"),
@@ -270,15 +274,16 @@ def _products(spark: SparkSession, held: list, kind: pa.DataType, top: int):
     return run
 
 
-def score_all(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, resume_skills: DataFrame, chunks: DataFrame, resume_vectors: DataFrame, c: Config = Config(), names: bool = True) -> DataFrame:
+def score_all(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, resume_skills: DataFrame, chunks: DataFrame, resume_vectors: DataFrame, c: Config = Config(), names: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
     """Every pair of resumes (resume_id, candidate_years) and jobs (job_id, required_years), scored.
 
     The pair table is the result's size by definition; profiles are counted. Up
     to MOST_IN_ROW are paired within each posting's row; more are broadcast, in
     several passes over the jobs where they are very many, and meet what they
-    earn and their cosines by joins.
+    earn and their cosines by joins. ``carried`` names columns of jobs that stay
+    with every pair, so that no one has to join them to all pairs.
     """
-    own = jobs.select("job_id", "required_years")
+    own = jobs.select("job_id", "required_years", *carried)
     asked, cosines = active_job_skills(job_skills, skills), passage_similarity(resume_vectors, chunks, c)
     if resumes.count() <= MOST_IN_ROW:
         scored = _pairs_in_rows(resumes, own, asked, resume_skills, cosines, c)
@@ -298,7 +303,7 @@ def score_all(resumes: DataFrame, jobs: DataFrame, job_skills: DataFrame, skills
         "resume_id", "job_id", r4("overall").alias("overall_score"), r4("semantic_score").alias("semantic_score"),
         r4(F.col("skill_recall") * F.col("skill_confidence")).alias("skill_score"), r4("skill_recall").alias("skill_recall"), r4("skill_confidence").alias("skill_confidence"),
         "parsed_count", "skills_unparsed", F.col("multiplier").alias("experience_multiplier"), tier(F.col("overall"), F.col("skills_unparsed"), c).alias("tier"),
-        F.lit(SCORER_VERSION).alias("model_version"),
+        F.lit(SCORER_VERSION).alias("model_version"), *carried,
     )
     return with_skill_names(scored, asked, resume_skills) if names else scored
 

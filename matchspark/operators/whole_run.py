@@ -4,6 +4,10 @@ The stages follow each other as tables in the run's folder. A stage's table is
 written once and read by those after it, so that nothing is computed twice and
 every join knows its sizes. A run that is started again under its folder takes
 the tables that are complete as they are and goes on with the first that is not.
+
+The pairs are by far the largest table and are written once: where no earlier
+matches are stored, the matches are the scored pairs, to which the few
+explanations are sent as they are read. Shuffle files go with each stage.
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ from pyspark.sql import functions as F
 
 from matchspark.operators import chunk, dedupe, embed, explain, extract, resumes, runs, score, vocabulary
 from matchspark.sources.boards import with_dedup_hash
-from matchspark.tables import is_complete
+from matchspark.tables import freed, is_complete
 
 LINKS = "resume_id string, skill_id string, source string"
+#: Rows of a written table up to which a join sends them to every task.
+MOST_SENT = 20_000
 
 
 @dataclass(frozen=True)
@@ -41,6 +47,8 @@ class Settings:
     model: Callable[[list[str]], list[str]] | None = None
     most_explained: int = explain.MOST_EXPLAINED
     max_results: int = 100
+    #: Columns of postings that matches keep; stored matches have them too.
+    carried: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -68,7 +76,8 @@ class _Folder:
     def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.path}/{name}"
         if not is_complete(self.spark, path):
-            make().write.mode("overwrite").parquet(path)
+            with freed(self.spark):
+                make().write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.parquet(path)
 
     def enter(self, stage: str, status: str = "running", jobs_found: int = 0, errors: list[str] | None = None) -> None:
@@ -79,6 +88,11 @@ class _Folder:
         return self.spark.read.parquet(f"{self.path}/events")
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table to join with: sent to every task where it has few rows, which its footers tell, else dealt by key."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df.hint("merge")
+
+
 def _profiles(at: _Folder, parsed: DataFrame, skills: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Accepted profiles with their vectors, rejected ones, links to skills, and the vocabulary with what profiles add."""
     checked = at.table("checked", lambda: parsed.select("resume_id", "parsed"))
@@ -142,7 +156,7 @@ def run(spark: SparkSession, folder: str, run_id: str, parsed: DataFrame, source
 
 
 def _run(at: _Folder, parsed: DataFrame, sources: dict, skills: DataFrame, stored: Stored, s: Settings) -> Outcome:
-    only = lambda df, some: df.hint("merge").join(some.select("job_id"), "job_id", "left_semi")
+    only = lambda df, old, some: df if old is None else df.hint("merge").join(some.select("job_id"), "job_id", "left_semi")
     plus = lambda old, new: new if old is None else old.select(*new.columns).unionByName(new)
 
     at.enter("loading_resume")
@@ -160,7 +174,9 @@ def _run(at: _Folder, parsed: DataFrame, sources: dict, skills: DataFrame, store
     current = found.limit(0).withColumn("job_id", F.lit("")).drop("seq") if stored.jobs is None else stored.jobs
     jobs = at.table("jobs", lambda: dedupe.upsert_jobs(current, found))
     key = ["source", "source_job_id"]
-    mine = at.table("found-jobs", lambda: jobs.hint("merge").join(found.select(*key), key, "left_semi").withColumn("required_years", F.col("experience_min_years").cast("double")))
+    # without stored postings all are found now
+    mine = jobs.dropna(subset=key) if stored.jobs is None else at.table("found-jobs", lambda: jobs.hint("merge").join(found.select(*key), key, "left_semi"))
+    mine = mine.withColumn("required_years", F.col("experience_min_years").cast("double"))
 
     at.enter("extracting_skills", jobs_found=n)
     todo = mine if stored.job_skills is None else extract.pending_jobs(mine, stored.job_skills)
@@ -173,20 +189,22 @@ def _run(at: _Folder, parsed: DataFrame, sources: dict, skills: DataFrame, store
     passages = plus(stored.passages, made)
 
     at.enter("scoring", jobs_found=n)
-    asked, vectors = only(job_skills, mine), profiles.where("vec is not null").select("resume_id", "vec")
-    scored = at.table("scored", lambda: score.score_all(profiles, mine, asked, known, links, only(passages, mine), vectors, s.config, names=False))
+    asked, vectors = only(job_skills, stored.job_skills, mine), profiles.where("vec is not null").select("resume_id", "vec")
+    pairs = lambda: score.score_all(profiles, mine, asked, _sent(known), links, only(passages, stored.passages, mine), vectors, s.config, names=False, carried=s.carried)
+    scored = at.table("scored", lambda: pairs().withColumns({"explanation": F.lit(None).cast("string"), "created_at": F.current_timestamp()}))
 
     at.enter("writing_matches", jobs_found=n)
-    kept = stored.matches if stored.matches is not None else scored.limit(0).withColumns({"explanation": F.lit(None).cast("string"), "created_at": F.lit(None).cast("timestamp")})
-    stamped = scored.withColumn("created_at", F.current_timestamp())
-    written = at.table("written", lambda: dedupe.upsert_matches(kept, stamped))
+    written = scored if stored.matches is None else at.table("written", lambda: dedupe.upsert_matches(stored.matches, scored))
 
     at.enter("explaining", jobs_found=n)
     pair = ["resume_id", "job_id"]
-    best = at.table("best", lambda: explain.top_n_for_explanation(scored, s.most_explained).hint("merge").join(written.where("explanation is null").select(*pair), pair, "left_semi"))
-    top = score.with_skill_names(best, score.active_job_skills(asked, known), links)
+    first_of = lambda: explain.top_n_for_explanation(scored.drop("explanation", "created_at", *s.carried), s.most_explained).dropna(subset=pair)
+    best = at.table("best", lambda: first_of() if stored.matches is None else first_of().hint("merge").join(stored.matches.where("explanation is not null").select(*pair), pair, "left_anti"))
+    wanted = asked.join(_sent(best.select("job_id")), "job_id", "left_semi")
+    top = score.with_skill_names(best, score.active_job_skills(wanted, known), links)
     new = at.table("explained", lambda: _explained(top, mine, profiles, s.model).withColumnRenamed("explanation", "_new"))
-    matches = at.table("matches", lambda: written.hint("merge").join(new, pair, "left").withColumn("explanation", F.coalesce("explanation", "_new")).drop("_new"))
+    told_of = lambda: written.join(_sent(new), pair, "left").withColumn("explanation", F.coalesce("explanation", "_new")).drop("_new")
+    matches = told_of() if new.count() <= MOST_SENT else at.table("matches", told_of)
 
     status = "failed" if errors and not n else "partial" if errors else "success"
     at.enter("done", status, n, told or None)

@@ -72,10 +72,9 @@ def _sources(spark: SparkSession, d: str) -> dict:
 def full_run(spark: SparkSession, d: str) -> DataFrame:
     """Every match of a run, the best 20 of each profile with their explanations."""
     skills = _names(spark, d).where("id % 6 <> 0").select(F.col("id").cast("string").alias("skill_id"), F.col("p_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(True).alias("active"))
-    settings = whole_run.Settings(CONFIG, letter_counts, len(LETTERS))
+    settings = whole_run.Settings(CONFIG, letter_counts, len(LETTERS), carried=("source", "source_job_id"))
     out = whole_run.run(spark, new_folder(spark, "run"), "r", _parsed(spark, d), _sources(spark, d), skills, settings=settings)
-    jobs = out.jobs.select("job_id", "source", "source_job_id")
-    return out.matches.hint("merge").join(jobs, "job_id").select(
+    return out.matches.select(
         "resume_id", "source", "source_job_id", F.floor(F.col("overall_score") * 1000 + 1e-6).alias("thousandths"), "tier", "parsed_count", "explanation", F.lit(out.status).alias("run_status"), F.lit(out.error).alias("run_error"),
     )
 

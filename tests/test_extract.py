@@ -83,3 +83,12 @@ def test_evidence_before_a_line_end(spark):
     rows = [("Go", "&\n", "", False), ("go", "R&D, ", "", True), ("R", "programming" + " " * 300, "", True), ("r", "xprogramming ", "", False), ("r", "programming\r\n", "", True), ("java", "", "", True), ("go", "", " lang", True), ("go", "x", "' lang", False)]
     got = spark.createDataFrame(rows, "s string, l string, r string, want boolean").select(extract.evidence_guard(F.col("s"), F.col("l"), F.col("r")).alias("x"), "want").collect()
     assert [r.x for r in got] == [r.want for r in got]
+
+
+def test_hits_are_dealt_once(spark):
+    """Windows over a place, a section and a posting, and the sums after them, share one exchange."""
+    index = spark.createDataFrame([("kafka", "1", "Kafka"), ("spark sql", "2", "Spark SQL"), ("sql", "3", "SQL")], SCHEMA)
+    jobs = spark.createDataFrame([(1, "Kafka, Spark SQL\nPreferred: sql"), (2, "kafka kafka"), (3, None)], "job_id int, text string")
+    got = extract.extract_skills(jobs, index)
+    assert sorted((r.job_id, r.skill_id, r.requirement) for r in got.collect()) == [(1, "1", "required"), (1, "2", "required"), (1, "3", "preferred"), (2, "1", "required")]
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("hashpartitioning(job_id") == 1

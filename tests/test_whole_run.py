@@ -1,3 +1,5 @@
+import dataclasses
+import os
 import tempfile
 
 import pytest
@@ -8,6 +10,7 @@ from matchspark.operators import whole_run
 from matchspark.operators.score import Config
 from matchspark.plans.runs import LETTERS, letter_counts
 from matchspark.schema import JOB_COLUMNS, RESUME
+from matchspark.tables import FREES, freed
 
 SETTINGS = whole_run.Settings(Config(cos_lo=0.0, cos_hi=1.0), letter_counts, len(LETTERS), most_explained=1)
 
@@ -102,3 +105,42 @@ def test_no_source_delivers_and_nothing_found(spark, folder):
     assert (out.status, out.error, out.matches) == ("failed", "c: no route", None)
     empty = run(spark, f"{folder}/2", {"a": lambda q: postings(spark, "a", ("1", "x", "y")).limit(0)})
     assert empty.status == "success" and empty.matches.isEmpty() and empty.jobs.isEmpty()
+
+
+def test_pairs_are_written_once_and_never_dealt(spark, folder):
+    a = postings(spark, "a", ("1", "Engineer", "Kafka and Airflow"), ("2", "Clerk", None), ("3", "Analyst", "Spark"))
+    settings = dataclasses.replace(SETTINGS, carried=("source", "source_job_id"))
+    out = run(spark, folder, {"a": lambda q: a}, ((1, ["Kafka", "Airflow"]), (2, ["Spark"])), settings=settings)
+    rows = {(r["resume_id"], r["source"], r["source_job_id"]): r for r in out.matches.collect()}
+    assert set(rows) == {(i, "a", k) for i in (1, 2) for k in "123"}
+    assert {k for k, r in rows.items() if r["explanation"]} == {(1, "a", "1"), (2, "a", "3")}
+    sizes = {t: spark.read.parquet(f"{folder}/{t}").count() for t in os.listdir(folder) if {"resume_id", "job_id"} <= set(spark.read.parquet(f"{folder}/{t}").columns)}
+    assert sizes == {"scored": 6, "best": 2, "explained": 2}
+    assert "hashpartitioning" not in out.matches._jdf.queryExecution().executedPlan().toString()
+    assert out.matches.select("created_at").distinct().collect() == out.matches.select("created_at").distinct().collect()
+
+
+def test_carried_columns_of_stored_matches_stay(spark, folder):
+    settings = dataclasses.replace(SETTINGS, carried=("source_job_id",), most_explained=2)
+    first = run(spark, f"{folder}/1", {"a": lambda q: postings(spark, "a", ("1", "Engineer", "Kafka"), ("2", "Clerk", "Spark"))}, settings=settings)
+    told = first.matches.withColumn("explanation", F.when(F.col("explanation").isNotNull(), "as told"))
+    stored = whole_run.Stored(first.jobs.drop("is_new"), first.job_skills, first.passages, told)
+    out = run(spark, f"{folder}/2", {"a": lambda q: postings(spark, "a", ("1", "Engineer", "Kafka, new"), ("3", "Lead", "Kafka"))}, stored=stored, settings=settings)
+    said = {r["source_job_id"]: r["explanation"] for r in out.matches.collect()}
+    assert (said["1"], said["2"]) == ("as told", "as told") and said["3"] not in (None, "as told")
+    assert out.matches.columns == first.matches.columns and spark.read.parquet(f"{folder}/2/best").count() == 1
+
+
+def test_many_explanations_are_joined_by_a_shuffle(spark, folder, monkeypatch):
+    monkeypatch.setattr(whole_run, "MOST_SENT", 0)
+    out = run(spark, folder, {"a": lambda q: postings(spark, "a", ("1", "Engineer", "Kafka"), ("2", "Clerk", "Spark"))})
+    assert {k: r["explanation"] is not None for k, r in found(out).items()} == {(1, "a", "1"): True, (1, "a", "2"): False}
+    assert os.path.isdir(f"{folder}/matches")
+
+
+def test_freed_is_set_within_only(spark):
+    before = spark.conf.get(FREES)
+    with pytest.raises(KeyError), freed(spark):
+        assert spark.conf.get(FREES) == "true"
+        raise KeyError
+    assert spark.conf.get(FREES) == before
